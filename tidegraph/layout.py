@@ -54,6 +54,23 @@ def ordered_position(df: DataFrame, order: Sequence[Column | str], *, keys=KEYS,
     )
 
 
+def with_halo(df: DataFrame, *, t="t", before=0, after=0, block=BLOCK) -> tuple[DataFrame, Column | None]:
+    """Add the block number ``_blk``, copy border rows into the neighbour block, and give the
+    condition that tells own rows from copies (None when nothing was copied)."""
+    size = max(block, before + after, 1)
+    own = _div(F.col(t), size)
+    offset = F.col(t) - own * size
+    copies = [own]
+    if before:
+        copies.append(F.when(offset >= size - before, own + 1))
+    if after:
+        copies.append(F.when((offset < after) & (own > 0), own - 1))
+    if len(copies) == 1:
+        return df.withColumn("_blk", own), None
+    wide = df.withColumn("_blk", F.explode(F.filter(F.array(*copies), lambda b: b.isNotNull())))
+    return wide, F.col("_blk") == own
+
+
 def over_time(
     df: DataFrame,
     *layers: Callable[[Window], dict[str, Column]],
@@ -69,23 +86,12 @@ def over_time(
     into the neighbour as halo and dropped again. ``layers`` are applied in turn, so a
     later layer may use columns of an earlier one; the reach must cover their sum.
     """
-    size = max(block, before + after, 1)
-    own = _div(F.col(t), size)
-    offset = F.col(t) - own * size
-    copies = [own]
-    if before:
-        copies.append(F.when(offset >= size - before, own + 1))
-    if after:
-        copies.append(F.when((offset < after) & (own > 0), own - 1))
-    if len(copies) == 1:
-        wide = df.withColumn("_blk", own)
-    else:
-        wide = df.withColumn("_blk", F.explode(F.filter(F.array(*copies), lambda b: b.isNotNull())))
+    wide, core = with_halo(df, t=t, before=before, after=after, block=block)
     w = Window.partitionBy(*keys, "_blk").orderBy(t)
     for layer in layers:
         wide = wide.withColumns(layer(w))
-    if len(copies) > 1:
-        wide = wide.where(F.col("_blk") == own)
+    if core is not None:
+        wide = wide.where(core)
     return wide.drop("_blk")
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegraph.core import KEYS
 from tidegraph.functions.noise import between, uniform
-from tidegraph.layout import BLOCK, attach, over_time, scan
+from tidegraph.layout import BLOCK, attach, over_time, scan, with_halo
 
 
 def _full(w, width: int, agg: Column) -> Column:
@@ -74,38 +78,42 @@ def amplitude_variability(df: DataFrame, width: int = 252, *, keys=KEYS, **kw) -
     )
 
 
-def frequency_variability(df: DataFrame, width: int = 252, *, keys=KEYS, t="t", x="x", block=BLOCK) -> DataFrame:
+def frequency_variability(df: DataFrame, width: int = 252, *, keys=KEYS, t="t", x="x", block=1 << 14) -> DataFrame:
     """WIN-6: sign changes about the window's own mean in the ``width`` points before each row,
-    and crossings of the rolling mean where it is defined."""
-
-    def first(w):
-        past = w.rowsBetween(-width, -1)
-        return {
-            "_past": F.when(F.count("_v").over(past) == width, F.collect_list("_v").over(past)),
-            "_side": F.signum(F.col("_v") - _full(w, width, F.avg("_v"))),
-        }
-
-    rows = over_time(
-        df.withColumn("_v", F.col(x)),
-        first,
-        lambda w: {"_turn": F.col("_side") != F.lag("_side").over(w)},
-        keys=keys, t=t, before=width + 1, block=block,
-    )
-    # the mean is one pass per window: bind it before the element-wise comparison
-    sides = rows.withColumn("_m", F.aggregate("_past", F.lit(0.0), lambda a, b: a + b) / width).withColumn(
-        "_signs", F.transform("_past", lambda v: F.signum(v - F.col("_m")))
-    )
-    changes = F.aggregate(
-        F.zip_with(
-            F.slice("_signs", 1, width - 1), F.slice("_signs", 2, width - 1), lambda a, b: (a != b).cast("int")
-        ),
-        F.lit(0),
-        lambda a, b: a + b,
+    and crossings of the rolling mean where it is defined.
+
+    The own mean differs from window to window, so counts cannot be carried from row to row;
+    each block with its halo is compared as one small array.
+    """
+    wide, _ = with_halo(df.select(*keys, t, F.col(x).cast("double").alias("x")), t=t, before=width + 1, block=block)
+    size = max(block, width + 1)
+    schema = T.StructType(
+        [wide.schema[k] for k in keys]
+        + [T.StructField("c", T.DoubleType()), T.StructField("turn", T.LongType())]
     )
-    g = sides.withColumn("_c", changes.cast("double")).groupBy(*keys).agg(
-        F.sum(F.coalesce(F.col("_turn").cast("long"), F.lit(0))).alias("crossings"),
-        F.avg("_c").alias("freq_mean"),
-        F.stddev_pop("_c").alias("freq_std"),
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(t)
+        own = (pdf[t] // size == pdf["_blk"]).to_numpy()
+        v = pdf["x"].to_numpy()
+        c, turn = np.full(len(v), np.nan), np.zeros(len(v), dtype="int64")
+        if len(v) >= width:
+            past = sliding_window_view(v, width)
+            mean = np.concatenate([m.mean(axis=1) for m in np.array_split(past, len(past) // 4096 + 1)])
+            for lo in range(0, len(past) - 1, 4096):
+                hi = min(lo + 4096, len(past) - 1)
+                side = np.sign(past[lo:hi] - mean[lo:hi, None])
+                c[width + lo : width + hi] = (side[:, 1:] != side[:, :-1]).sum(axis=1)
+            level = np.sign(v[width - 1 :] - mean)
+            turn[width:] = level[1:] != level[:-1]
+        out = pdf.loc[own, list(keys)].copy()
+        out["c"], out["turn"] = c[own], turn[own]
+        return out
+
+    rows = wide.groupBy(*keys, "_blk").applyInPandas(count, schema)
+    c = F.when(~F.isnan("c"), F.col("c"))
+    g = rows.groupBy(*keys).agg(
+        F.sum("turn").alias("crossings"), F.avg(c).alias("freq_mean"), F.stddev_pop(c).alias("freq_std")
     )
     cv = _cv(F.col("freq_mean"), F.col("freq_std"))
     return g.select(
@@ -193,25 +201,18 @@ def random_windows(
     if mode == 1:
         slab = max_size * 1024
         most = -(-slab // min_size)
-        slabs = sizes.withColumn("_slab", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / slab))))
-        draws = F.transform(
-            F.sequence(F.lit(0), F.lit(most - 1)),
-            lambda i: between(min_size, max_size, ident, F.col("_slab"), i, F.lit(seed)),
-        )
-        starts = F.aggregate(
-            draws, F.array(F.lit(0).cast("long")), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s))
+        draws = (
+            sizes.withColumn("_slab", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / slab))))
+            .withColumn("_need", F.least(F.lit(slab), F.col("_n") - F.col("_slab") * slab))
+            .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_need") / min_size) - 1)).alias("_w"))
+            .withColumn("_size", between(min_size, max_size, ident, F.col("_slab"), F.col("_w"), F.lit(seed)))
         )
+        end = F.sum("_size").over(Window.partitionBy(*keys, "_slab").orderBy("_w"))
         spans = (
-            slabs.withColumn("_starts", F.filter(starts, lambda s: s < slab))
-            .select(*keys, "_n", "_slab", F.posexplode("_starts").alias("_w", "_off"), F.col("_starts"))
-            .withColumn("_from", F.col("_slab") * slab + F.col("_off"))
-            .withColumn(
-                "_to",
-                F.least(
-                    F.col("_slab") * slab + F.coalesce(F.try_element_at("_starts", F.col("_w") + 2), F.lit(slab)), F.col("_n")
-                ),
-            )
-            .where(F.col("_from") < F.col("_n"))
+            draws.withColumn("_end", end)
+            .withColumn("_from", F.col("_slab") * slab + F.col("_end") - F.col("_size"))
+            .where(F.col("_end") - F.col("_size") < F.col("_need"))
+            .withColumn("_to", F.col("_slab") * slab + F.least("_end", "_need"))
             .withColumn("window_id", F.col("_slab") * most + F.col("_w"))
         )
     else:
