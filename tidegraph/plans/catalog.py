@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidegraph.plans import queries_series as series
+from tidegraph.plans import queries_tests as tests
 
-QUERIES = {**series.QUERIES}
-SQL = {**series.SQL}
+QUERIES = {**series.QUERIES, **tests.QUERIES}
+SQL = {**series.SQL, **tests.SQL}
