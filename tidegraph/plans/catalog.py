@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from tidegraph.plans import queries_graphs as graphs
 from tidegraph.plans import queries_series as series
 from tidegraph.plans import queries_tests as tests
 
-QUERIES = {**series.QUERIES, **tests.QUERIES}
-SQL = {**series.SQL, **tests.SQL}
+QUERIES = {**series.QUERIES, **tests.QUERIES, **graphs.QUERIES}
+SQL = {**series.SQL, **tests.SQL, **graphs.SQL}

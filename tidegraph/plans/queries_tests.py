@@ -258,10 +258,11 @@ def correlation_dimension(spark, d):
 @query(
     "lyapunov",
     f"""WITH {SQL_HOUR}, {sql_embed('s_hour', 3)}, top AS (SELECT series_id, max(node) AS top FROM emb GROUP BY 1),
-      nn AS (SELECT a.series_id, a.node, arg_min(b.node, {{'d': sqrt((a.c0 - b.c0) * (a.c0 - b.c0) + (a.c1 - b.c1) * (a.c1 - b.c1) + (a.c2 - b.c2) * (a.c2 - b.c2)), 'n': b.node}}) AS o
+      nn AS MATERIALIZED (SELECT a.series_id, a.node, arg_min(b.node, {{'d': sqrt((a.c0 - b.c0) * (a.c0 - b.c0) + (a.c1 - b.c1) * (a.c1 - b.c1) + (a.c2 - b.c2) * (a.c2 - b.c2)), 'n': b.node}}) AS o
         FROM emb a JOIN emb b USING (series_id) JOIN top USING (series_id) WHERE abs(a.node - b.node) > 5 AND a.node <= top - 7 AND b.node <= top - 7 GROUP BY ALL),
-      f AS (SELECT nn.series_id, k, sqrt((p.c0 - q.c0) * (p.c0 - q.c0) + (p.c1 - q.c1) * (p.c1 - q.c1) + (p.c2 - q.c2) * (p.c2 - q.c2)) AS d FROM (SELECT nn.*, CAST(k AS BIGINT) AS k FROM nn CROSS JOIN range(8) r(k)) nn
-        JOIN emb p ON p.series_id = nn.series_id AND p.node = nn.node + nn.k JOIN emb q ON q.series_id = nn.series_id AND q.node = nn.o + nn.k),
+      nk AS MATERIALIZED (SELECT nn.series_id, CAST(k AS BIGINT) AS k, node + k AS i, o + k AS j FROM nn CROSS JOIN range(8) r(k)),
+      f AS (SELECT nn.series_id, k, sqrt((p.c0 - q.c0) * (p.c0 - q.c0) + (p.c1 - q.c1) * (p.c1 - q.c1) + (p.c2 - q.c2) * (p.c2 - q.c2)) AS d FROM nk nn
+        JOIN emb p ON p.series_id = nn.series_id AND p.node = nn.i JOIN emb q ON q.series_id = nn.series_id AND q.node = nn.j),
       c AS (SELECT series_id, k, avg(ln(d)) AS v FROM f WHERE d > 0 GROUP BY ALL)
       SELECT series_id, round(regr_slope(v, k), 6) AS exponent FROM c GROUP BY 1""",
 )
