@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +16,6 @@ def session(app: str = "tidegraph", master: str | None = None, partitions: int |
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -26,19 +26,31 @@ def session(app: str = "tidegraph", master: str | None = None, partitions: int |
     return builder.getOrCreate()
 
 
+def _folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidegraph-")
+        sc.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/tidegraph-{sc.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder named by ``spark.checkpoint.dir``.
+    """Write ``df`` as a table in the shared folder named by ``spark.checkpoint.dir`` and read it back.
 
-    Survives lost executors and stops plans of iterative operators from growing. Only a
-    local session without the setting gets a temporary folder.
+    Survives lost executors and stops plans of iterative operators from growing. Unlike a
+    checkpoint, which keeps the size estimate of the whole history (it multiplies at every
+    join), a written table has its true size, so small sides are broadcast only when they
+    are proven small. Only a local session without the setting gets a temporary folder.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tidegraph-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables written by ``cut`` in this application, when no result needs them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

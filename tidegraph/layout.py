@@ -79,13 +79,21 @@ def over_time(
     before=0,
     after=0,
     block=BLOCK,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``before`` / ``after`` positions.
 
     Each block of a series is one window partition; rows near a block border are copied
     into the neighbour as halo and dropped again. ``layers`` are applied in turn, so a
-    later layer may use columns of an earlier one; the reach must cover their sum.
+    later layer may use columns of an earlier one; the reach must cover their sum. ``rows``
+    (length of the longest series, when known) drops the blocks for tables whose series all
+    fit one, so that further windows of the same series need no new shuffle.
     """
+    if rows is not None and rows <= block:
+        w = Window.partitionBy(*keys).orderBy(t)
+        for layer in layers:
+            df = df.withColumns(layer(w))
+        return df
     wide, core = with_halo(df, t=t, before=before, after=after, block=block)
     w = Window.partitionBy(*keys, "_blk").orderBy(t)
     for layer in layers:

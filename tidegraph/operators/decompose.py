@@ -17,19 +17,22 @@ from tidegraph.operators import aggregates as agg
 from tidegraph.operators.shape import RESIDUAL, best_row, pivot_mean, stack
 
 
-def _sift_pass(df: DataFrame, keys, t, h: str, block: int, rows: int) -> DataFrame:
-    """Replace column ``h`` by h minus the mean of its two piecewise-linear envelopes.
+def _turns(x: Column, p: Column, n: Column, tol: Column) -> tuple[Column, Column]:
+    """(is a maximum, is a minimum) against both neighbours; steps within ``tol`` count as flat."""
+    return (x - p > tol) & (x - n >= -tol), (p - x > tol) & (n - x >= -tol)
 
-    Adds ``_nmax`` / ``_nmin`` marks of the extrema before the pass.
-    """
+
+def _sift_pass(df: DataFrame, keys, t, h: str, block: int, rows: int) -> DataFrame:
+    """Replace column ``h`` by h minus the mean of its two piecewise-linear envelopes."""
     base = list(df.columns)
     d = over_time(
-        df, lambda w: {"_p": F.lag(h).over(w), "_n": F.lead(h).over(w)}, keys=keys, t=t, before=1, after=1, block=block
+        df, lambda w: {"_p": F.lag(h).over(w), "_n": F.lead(h).over(w)},
+        keys=keys, t=t, before=1, after=1, block=block, rows=rows,
     )
-    x, p, n = F.col(h), F.col("_p"), F.col("_n")
-    inner = p.isNotNull() & n.isNotNull()
+    x = F.col(h)
+    top, low = _turns(x, F.col("_p"), F.col("_n"), F.col("_tol"))
     here = F.struct(F.col(t).alias("t"), x.alias("x"))
-    d = d.withColumns({"_max": F.when(inner & (x > p) & (x >= n), here), "_min": F.when(inner & (x < p) & (x <= n), here)})
+    d = d.withColumns({"_max": F.when(top, here), "_min": F.when(low, here)})
     d = scan(d, {"_lmax": ("max", F.col("_max")), "_lmin": ("max", F.col("_min"))}, keys=keys, t=t, block=block, rows=rows)
     d = scan(d, {"_rmax": ("min", F.col("_max")), "_rmin": ("min", F.col("_min"))}, keys=keys, t=t, block=block, rows=rows, reverse=True)
 
@@ -45,30 +48,41 @@ def _sift_pass(df: DataFrame, keys, t, h: str, block: int, rows: int) -> DataFra
     return d.withColumn(h, F.when(F.col("_go"), x - mean).otherwise(x)).select(*base)
 
 
-def _extrema_counts(df: DataFrame, keys, t, x: str, block: int) -> DataFrame:
-    d = over_time(df, lambda w: {"_p": F.lag(x).over(w), "_n": F.lead(x).over(w)}, keys=keys, t=t, before=1, after=1, block=block)
-    v, p, n = F.col(x), F.col("_p"), F.col("_n")
+def _extrema_counts(df: DataFrame, keys, t, x: str, block: int, rows: int | None = None) -> DataFrame:
+    """Per key: numbers of maxima and minima, last position; needs the flatness column ``_tol``."""
+    d = over_time(
+        df, lambda w: {"_p": F.lag(x).over(w), "_n": F.lead(x).over(w)},
+        keys=keys, t=t, before=1, after=1, block=block, rows=rows,
+    )
+    top, low = _turns(F.col(x), F.col("_p"), F.col("_n"), F.col("_tol"))
     return d.groupBy(*keys).agg(
-        F.count(F.when((v > p) & (v >= n), 1)).alias("_maxima"), F.count(F.when((v < p) & (v <= n), 1)).alias("_minima"),
-        F.max(t).alias("_last"),
+        F.count(F.when(top, 1)).alias("_maxima"), F.count(F.when(low, 1)).alias("_minima"), F.max(t).alias("_last")
     )
 
 
+FLAT = 1e-10
+
+
 def sift(
     series: DataFrame, max_imf: int = 8, sifts: int = 5, *, keys=KEYS, t="t", x="x", block=BLOCK
 ) -> DataFrame:
     """DEC-1: empirical mode decomposition with piecewise-linear envelopes.
 
     A mode is what remains after ``sifts`` envelope subtractions; a series whose rest has
-    fewer than two maxima or minima stops, its rest is the residual. One checkpoint per mode.
+    fewer than two maxima or minima stops, its rest is the residual. Steps below 1e-10
+    standard deviations of the series count as flat. One checkpoint per mode.
     """
     if max_imf < 1 or sifts < 1:
         raise ValueError("max_imf and sifts must be at least 1")
-    state = cut(series.select(*keys, t, F.col(x).cast("double").alias("_r")))
+    base = series.select(*keys, t, F.col(x).cast("double").alias("_r"))
+    flat = _spread(base, keys, t, "_r", "_sd")
+    state = cut(
+        attach(base, flat, keys=keys, t=t).select(*keys, t, "_r", (F.col("_sd") * FLAT).alias("_tol"))
+    )
     rows = longest(state, t)
     modes: list[DataFrame] = []
     for k in range(1, max_imf + 1):
-        counts = cut(_extrema_counts(state, keys, t, "_r", block))
+        counts = cut(_extrema_counts(state, keys, t, "_r", block, rows))
         alive = (F.col("_maxima") >= 2) & (F.col("_minima") >= 2)
         if counts.where(alive).isEmpty():
             break
@@ -80,7 +94,7 @@ def sift(
         modes.append(
             work.where("_go").select(*keys, F.lit(f"IMF_{k}").alias("component"), F.lit(k).alias("idx"), t, F.col("_h").alias("x"))
         )
-        state = work.select(*keys, t, F.when(F.col("_go"), F.col("_r") - F.col("_h")).otherwise(F.col("_r")).alias("_r"))
+        state = work.select(*keys, t, F.when(F.col("_go"), F.col("_r") - F.col("_h")).otherwise(F.col("_r")).alias("_r"), "_tol")
     out = state.select(*keys, F.lit(RESIDUAL).alias("component"), F.lit(max_imf + 1).alias("idx"), t, F.col("_r").alias("x"))
     for m in modes:
         out = out.unionByName(m)
@@ -143,7 +157,12 @@ def adaptive_noise_sift(
     first = noise.select(*tk, F.lit("IMF_0").alias("component"), F.lit(0).alias("idx"), t, "x")
     parts = cut(sift(noise, max_imf, sifts, keys=tk, t=t, block=block).where(F.col("component") != RESIDUAL).unionByName(first))
     unit = cut(_spread(parts, (*tk, "idx"), t, "x", "_sn"))
-    rest = cut(series.select(*keys, t, F.col(x).cast("double").alias("x")))
+    first_rest = series.select(*keys, t, F.col(x).cast("double").alias("x"))
+    rest = cut(
+        attach(first_rest, _spread(first_rest, keys, t, "x", "_sd"), keys=keys, t=t).select(
+            *keys, t, "x", (F.col("_sd") * FLAT).alias("_tol")
+        )
+    )
     modes = []
     for k in range(1, max_imf + 1):
         counts = cut(_extrema_counts(rest, keys, t, "x", block))
@@ -164,7 +183,7 @@ def adaptive_noise_sift(
         modes.append(mode.select(*keys, F.lit(f"IMF_{k}").alias("component"), F.lit(k).alias("idx"), t, "x"))
         rest = cut(
             rest.join(mode.withColumnRenamed("x", "_m"), [*keys, t], "left").select(
-                *keys, t, (F.col("x") - F.coalesce("_m", F.lit(0.0))).alias("x")
+                *keys, t, (F.col("x") - F.coalesce("_m", F.lit(0.0))).alias("x"), "_tol"
             )
         )
     out = rest.select(*keys, F.lit(RESIDUAL).alias("component"), F.lit(max_imf + 1).alias("idx"), t, "x")

@@ -132,11 +132,13 @@ def clustering(nodes: DataFrame, edges: DataFrame, *, keys=KEYS) -> DataFrame:
     a = deg.select(*keys, F.col("node").alias("src"), F.col("degree").alias("_ds"))
     b = deg.select(*keys, F.col("node").alias("dst"), F.col("degree").alias("_dd"))
     e = edges.select(*keys, "src", "dst").join(a, [*keys, "src"]).join(b, [*keys, "dst"])
-    up = F.struct("_ds", "src") < F.struct("_dd", "dst")
+    s_rank = F.struct(F.col("_ds").alias("deg"), F.col("src").alias("id"))
+    d_rank = F.struct(F.col("_dd").alias("deg"), F.col("dst").alias("id"))
+    up = s_rank < d_rank
     out = cut(
         e.select(
             *keys, F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v"),
-            F.when(up, F.struct("_dd", "dst")).otherwise(F.struct("_ds", "src")).alias("o"),
+            F.when(up, d_rank).otherwise(s_rank).alias("o"),
         )
     )
     one = out.select(*keys, "u", F.col("v").alias("v1"), F.col("o").alias("o1"))
