@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 KEYS = ("series_id",)
 
@@ -50,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows, counted by the same job."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return out, seen.get["rows"]
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables written by ``cut`` in this application, when no result needs them any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidegraph.core import KEYS, cut
+from tidegraph.core import KEYS, cut, cut_counted
 from tidegraph.functions.noise import uniform
 from tidegraph.layout import attach, ordered_position, quantiles
 
@@ -187,14 +189,15 @@ def distance_counts(nodes: DataFrame, edges: DataFrame, sources: DataFrame | Non
         merged = state.select(*keys, "batch", "node", "seen").join(sent, [*keys, "batch", "node"], "full")
         seen = F.coalesce("seen", F.lit(0).cast("long"))
         got = F.coalesce("got", F.lit(0).cast("long"))
+        fresh = Observation()
         state = cut(
             merged.select(
                 *keys, "batch", "node", seen.bitwiseOR(got).alias("seen"), got.bitwiseAND(F.bitwise_not(seen)).alias("front")
-            )
+            ).observe(fresh, F.count(F.when(F.col("front") != 0, 1)).alias("n"))
         )
-        new = state.where(F.col("front") != 0)
-        if new.isEmpty():
+        if fresh.get["n"] == 0:
             break
+        new = state.where(F.col("front") != 0)
         levels.append(new.select(*keys, "batch", "front", F.lit(d).alias("d")))
     schema_only = numbered.select(*keys, "batch", F.lit(0).cast("long").alias("front"), F.lit(0).alias("d")).where(F.lit(False))
     found = schema_only
@@ -236,21 +239,22 @@ def distance_metrics(nodes: DataFrame, edges: DataFrame, *, keys=KEYS, node_limi
 
 def bfs(edges: DataFrame, sources: DataFrame, *, keys=KEYS) -> DataFrame:
     """(keys, source, node, d): distances from listed sources by frontier joins."""
-    both = cut(arcs(edges, keys))
+    by_node = cut(arcs(edges, keys).withColumnRenamed("src", "node"))
     sk = (*keys, "source")
-    front = cut(sources.select(*keys, F.col("node").alias("source"), "node"))
-    seen, d = front.withColumn("d", F.lit(0)), 0
+    levels = [cut(sources.select(*keys, F.col("node").alias("source"), "node"))]
+    seen = levels[0]
     while True:
-        d += 1
-        step = (
-            front.join(both.withColumnRenamed("src", "node"), [*keys, "node"]).select(*sk, F.col("dst").alias("node")).distinct()
-        )
-        front = cut(step.join(seen.select(*sk, "node"), [*sk, "node"], "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front.withColumn("d", F.lit(d)))
-        if d % 8 == 0:
-            seen = cut(seen)
+        step = levels[-1].join(by_node, [*keys, "node"]).select(*sk, F.col("dst").alias("node")).distinct()
+        new, rows = cut_counted(step.join(seen, [*sk, "node"], "left_anti"))
+        if rows == 0:
+            break
+        levels.append(new)
+        # a neighbour of level d lies on level d - 1, d or d + 1
+        seen = levels[-1].unionByName(levels[-2])
+    out = levels[0].withColumn("d", F.lit(0))
+    for d, level in enumerate(levels[1:], 1):
+        out = out.unionByName(level.withColumn("d", F.lit(d)))
+    return out
 
 
 def two_sweep_diameter(nodes: DataFrame, edges: DataFrame, *, keys=KEYS, on="connected_only") -> DataFrame:
@@ -308,8 +312,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame | None = N
     by_node = both.withColumnRenamed("src", "node")
     while True:
         step = levels[-1].join(by_node, [*keys, "node"]).groupBy(*sk, "dst").agg(F.sum("sigma").alias("sigma"))
-        new = cut(step.withColumnRenamed("dst", "node").join(seen, [*sk, "node"], "left_anti"))
-        if new.isEmpty():
+        new, rows = cut_counted(step.withColumnRenamed("dst", "node").join(seen, [*sk, "node"], "left_anti"))
+        if rows == 0:
             break
         levels.append(new)
         # a node next to level d can only lie on levels d-1, d, d+1
@@ -340,33 +344,84 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame | None = N
     return d.select(*keys, "node", F.when(F.col("_n") > 2, F.col("_b") * scale).otherwise(0.0).alias("betweenness"))
 
 
+def _power_steps(v: DataFrame, both: DataFrame, keys, steps: int) -> DataFrame:
+    """(keys, node, last, ks): ks = [v, Bv, ..., B^steps v], last its final entry. One pass per step: the
+    loop arc of a node carries the entries it already has."""
+    cur = v.select(*keys, F.col("node").alias("from"), F.col("v").alias("last"), F.array("v").alias("ks"))
+    for _ in range(steps):
+        sent = both.join(cur, [*keys, "from"]).select(
+            *keys, F.col("dst").alias("from"), "last", F.when(F.col("from") == F.col("dst"), F.col("ks")).alias("ks")
+        )
+        got = sent.groupBy(*keys, "from").agg(F.sum("last").alias("last"), F.first("ks", ignorenulls=True).alias("ks"))
+        cur = got.select(*keys, "from", "last", F.concat("ks", F.array("last")).alias("ks"))
+    return cur.withColumnRenamed("from", "node")
+
+
 def eigenvector(
-    nodes: DataFrame, edges: DataFrame, *, keys=KEYS, tol=1e-9, max_rounds=1000, steps_per_cut=5, rounds: int | None = None
+    nodes: DataFrame, edges: DataFrame, *, keys=KEYS, tol=1e-7, steps=6, max_cycles=100, rounds: int | None = None
 ) -> DataFrame:
-    """MET-10: eigenvector centrality by power iteration on A + I, unit L2 norm per key.
-
-    ``nodes`` and ``edges`` should hold one component per key. ``rounds`` fixes the number
-    of steps; otherwise steps run until no key moves by more than ``tol``. Several steps go
-    into one job; scaling to unit norm is needed only at the end of each job.
+    """MET-10: eigenvector centrality, the leading eigenvector of A + I with unit L2 norm per key.
+
+    ``nodes`` and ``edges`` should hold one component per key. A cycle does ``steps``
+    products in one job and restarts from the best combination of the vectors it saw: their
+    inner products are one aggregate per key, the combination a steps x steps problem per
+    key. Long thin graphs need a few cycles where plain power iteration needs hundreds of
+    rounds. A key stops when its residual falls below ``tol`` times the eigenvalue.
+    ``rounds`` asks for that many plain power steps instead.
     """
-    both = cut(arcs(edges, keys).repartition(*keys, "src"))
+    loops = nodes.select(*keys, F.col("node").alias("from"), F.col("node").alias("dst"))
+    both = cut(arcs(edges, keys).withColumnRenamed("src", "from").unionByName(loops))
     last = cut(nodes.groupBy(*keys).agg(F.max("node").alias("_last"), F.count(F.lit(1)).alias("_n")))
     v = cut(attach(nodes.select(*keys, "node"), last, keys=keys, t="node").select(*keys, "node", (1 / F.sqrt("_n")).alias("v")))
-    done, limit = 0, rounds or max_rounds
-    while done < limit:
-        before = v
-        for _ in range(min(steps_per_cut, limit - done)):
-            sent = both.join(v.withColumnRenamed("node", "src"), [*keys, "src"]).select(*keys, F.col("dst").alias("node"), "v")
-            v = sent.unionByName(v).groupBy(*keys, "node").agg(F.sum("v").alias("v"))
-            done += 1
-        v = cut(v)
-        norm = v.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("_norm")).join(last, list(keys))
-        v = cut(attach(v, norm, keys=keys, t="node").select(*keys, "node", (F.col("v") / F.col("_norm")).alias("v")))
-        if rounds is None:
-            moved = v.join(before.withColumnRenamed("v", "_o"), [*keys, "node"]).agg(F.max(F.abs(F.col("v") - F.col("_o")))).first()[0]
-            if moved is None or moved < tol:
-                break
-    return v.select(*keys, "node", F.col("v").alias("eigenvector"))
+    if rounds is not None:
+        for done in range(0, rounds, 10):
+            part = cut(_power_steps(v, both, keys, min(10, rounds - done)).select(*keys, "node", "last"))
+            norm = part.groupBy(*keys).agg(F.sqrt(F.sum(F.col("last") ** 2)).alias("_norm")).join(last, list(keys))
+            v = attach(part, norm, keys=keys, t="node").select(*keys, "node", (F.col("last") / F.col("_norm")).alias("v"))
+        return v.select(*keys, "node", F.col("v").alias("eigenvector"))
+    m = steps
+    entry = lambda i: F.get("ks", F.lit(i))
+    products = [F.sum(entry(i) * entry(j)) for i in range(m + 1) for j in range(i, m + 1)]
+
+    @F.pandas_udf("c array<double>, resid double")
+    def combine(gram: pd.Series) -> pd.DataFrame:
+        out = []
+        for flat in gram:
+            g = np.zeros((m + 1, m + 1))
+            g[np.triu_indices(m + 1)] = flat
+            g = g + np.triu(g, 1).T
+            d = np.sqrt(np.diag(g))
+            gs = g / np.outer(d, d)
+            small = gs[:m, :m]
+            h = g[:m, 1:] / np.outer(d[:m], d[:m])
+            w, u = np.linalg.eigh(small)
+            keep = w > 1e-11 * w[-1]
+            t = u[:, keep] / np.sqrt(w[keep])
+            vals, vecs = np.linalg.eigh(t.T @ ((h + h.T) / 2) @ t)
+            c = t @ vecs[:, -1] / d[:m]
+            c = c * np.sign(c @ g[:m, 0])
+            c = c / np.sqrt(c @ g[:m, :m] @ c)
+            theta = c @ g[:m, 1:] @ c
+            resid = np.sqrt(max(c @ g[1:, 1:] @ c - 2 * theta * (c @ g[:m, 1:] @ c) + theta**2, 0.0)) / theta
+            out.append((c.tolist(), float(resid)))
+        return pd.DataFrame(out, columns=["c", "resid"])
+
+    settled = None
+    for _ in range(max_cycles):
+        seen = cut(_power_steps(v, both, keys, m).drop("last"))
+        best = cut(seen.groupBy(*keys).agg(F.array(*products).alias("gram")).select(*keys, combine("gram").alias("_s")).select(*keys, "_s.*"))
+        new = F.col("c")[0] * entry(0)
+        for i in range(1, m):
+            new = new + F.col("c")[i] * entry(i)
+        v = cut(attach(seen, best.join(last, list(keys)), keys=keys, t="node").select(*keys, "node", new.alias("v"), "resid"))
+        ready = v.where(F.col("resid") <= tol).drop("resid")
+        settled = ready if settled is None else settled.unionByName(ready)
+        v = v.where(F.col("resid") > tol).drop("resid")
+        if best.where(F.col("resid") > tol).isEmpty():
+            break
+    else:
+        settled = settled.unionByName(v)
+    return settled.select(*keys, "node", F.abs("v").alias("eigenvector"))
 
 
 def metric_flags(sizes: DataFrame) -> DataFrame:
