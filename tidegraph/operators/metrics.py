@@ -366,7 +366,8 @@ def eigenvector(
     products in one job and restarts from the best combination of the vectors it saw: their
     inner products are one aggregate per key, the combination a steps x steps problem per
     key. Long thin graphs need a few cycles where plain power iteration needs hundreds of
-    rounds. A key stops when its residual falls below ``tol`` times the eigenvalue.
+    rounds. A key stops when its cycle started from a residual below ``tol`` times the
+    eigenvalue.
     ``rounds`` asks for that many plain power steps instead.
     """
     loops = nodes.select(*keys, F.col("node").alias("from"), F.col("node").alias("dst"))
@@ -395,14 +396,14 @@ def eigenvector(
             small = gs[:m, :m]
             h = g[:m, 1:] / np.outer(d[:m], d[:m])
             w, u = np.linalg.eigh(small)
-            keep = w > 1e-11 * w[-1]
+            keep = w > 1e-10 * w[-1]
             t = u[:, keep] / np.sqrt(w[keep])
             vals, vecs = np.linalg.eigh(t.T @ ((h + h.T) / 2) @ t)
             c = t @ vecs[:, -1] / d[:m]
             c = c * np.sign(c @ g[:m, 0])
             c = c / np.sqrt(c @ g[:m, :m] @ c)
-            theta = c @ g[:m, 1:] @ c
-            resid = np.sqrt(max(c @ g[1:, 1:] @ c - 2 * theta * (c @ g[:m, 1:] @ c) + theta**2, 0.0)) / theta
+            theta = g[0, 1] / g[0, 0]
+            resid = np.sqrt(max(g[1, 1] / g[0, 0] - theta**2, 0.0)) / theta
             out.append((c.tolist(), float(resid)))
         return pd.DataFrame(out, columns=["c", "resid"])
 
