@@ -358,7 +358,7 @@ def _power_steps(v: DataFrame, both: DataFrame, keys, steps: int) -> DataFrame:
 
 
 def eigenvector(
-    nodes: DataFrame, edges: DataFrame, *, keys=KEYS, tol=1e-7, steps=6, max_cycles=100, rounds: int | None = None
+    nodes: DataFrame, edges: DataFrame, *, keys=KEYS, tol=1e-6, steps=10, max_cycles=100, rounds: int | None = None
 ) -> DataFrame:
     """MET-10: eigenvector centrality, the leading eigenvector of A + I with unit L2 norm per key.
 

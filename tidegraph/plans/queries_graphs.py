@@ -371,7 +371,7 @@ def metric_panel(spark, d):
 @query("graph_metrics_table")
 def graph_metrics_table(spark, d):
     s = cut(user_series(spark, d))
-    nodes, edges, _ = G.all_graphs(s, ("hvg", "nvg"))
+    nodes, edges, _ = G.all_graphs(s, ("hvg",))
     return rounded(M.graph_metrics(nodes, edges, keys=("series_id", "graph")))
 
 
