@@ -27,17 +27,24 @@ def session(app: str = "tidegraph", master: str | None = None, partitions: int |
     return builder.getOrCreate()
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder under ``spark.checkpoint.dir``. Only a session whose one process is driver and executor
+    (``local[...]``) may leave the setting out and gets a temporary folder."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidegraph-")
         sc.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/tidegraph-{sc.applicationId}"
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder named by ``spark.checkpoint.dir`` and read it back.
 
@@ -46,7 +53,7 @@ def cut(df: DataFrame) -> DataFrame:
     join), a written table has its true size, so small sides are broadcast only when they
     are proven small. Only a local session without the setting gets a temporary folder.
     """
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -60,5 +67,5 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 def release(spark: SparkSession) -> None:
     """Delete the tables written by ``cut`` in this application, when no result needs them any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
