@@ -4,8 +4,9 @@ Each permutation of the shingle hashes gives two signature values, its minimum a
 160 values in 32 bands of 5. Equal shingle sets become one node first. In each bucket of a band every node is compared
 with one centre, the node first in hash order, never with all others; a signature estimate well below the threshold
 rules a pair out, the full shingle sets confirm the rest. Connected components follow. Buckets whose nodes are then in
-one component need nothing more; in the others all pairs across components are estimated in blocks inside the tasks and only those near the
-threshold leave them to be confirmed. So no link between components is lost to a choice of centres, however large a bucket is.
+one component need nothing more. In the others the nodes with a partner in another component that the estimate allows
+meet again with their texts, in blocks, and all pairs across components are compared inside the task: pairs never
+become rows, and no link between components is lost to the choice of centres, however large a bucket is.
 """
 
 from __future__ import annotations
@@ -195,11 +196,31 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross_pairs(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of nodes of one bucket in different components whose signatures do not rule out ``least``.
+def _keyed_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list]]:
+    """Runs of rows with one (key, i, j) in a sorted stream."""
+    key, held = None, []
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if (row.key, row.i, row.j) != key:
+                if held:
+                    yield key, held
+                key, held = (row.key, row.i, row.j), []
+            held.append(row)
+    if held:
+        yield key, held
+
+
+def _sides(rows: list, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    owns = np.array([r.own for r in rows])
+    left = np.flatnonzero(owns == i)
+    return left, left if i == j else np.flatnonzero(owns == j)
+
+
+def _open_nodes(members: DataFrame, least: float) -> DataFrame:
+    """Rows of ``members`` with a node of another component in their bucket that signatures do not rule out.
 
     ``members``: key, node, component, n_shingles, short, m (nodes of the bucket). A bucket of more than BLOCK nodes is
-    split into blocks, and each pair of blocks is a task's work of its own.
+    split into blocks, and each pair of blocks (i, j) is a task's work of its own.
     """
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
@@ -207,43 +228,84 @@ def _cross_pairs(members: DataFrame, least: float) -> DataFrame:
     spread = spread.select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles", "short"
     )
-    stream = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
+    stream = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def pairs_of(nodes, comps, sizes, shorts, owns, i, j) -> list[tuple]:
-        sig = np.frombuffer(b"".join(shorts), np.uint8).reshape(len(shorts), -1)
-        comps, sizes, owns = np.array(comps), np.array(sizes, float), np.array(owns)
-        left = np.flatnonzero(owns == i)
-        right = left if i == j else np.flatnonzero(owns == j)
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for k in range(0, len(left), 32):
-            rows = left[k : k + 32]
-            ok = comps[rows][:, None] != comps[right][None, :]
-            ok &= np.minimum(sizes[rows][:, None], sizes[right]) >= least * np.maximum(sizes[rows][:, None], sizes[right])
-            if i == j:
-                ok &= rows[:, None] < right[None, :]
-            x, y = np.nonzero(ok)
-            for s in range(0, len(x), 50_000):
-                u, v = rows[x[s : s + 50_000]], right[y[s : s + 50_000]]
-                good = _estimate((sig[u] == sig[v]).mean(axis=1)) >= least - SLACK
-                out += [(min(nodes[p], nodes[q]), max(nodes[p], nodes[q])) for p, q in zip(u[good], v[good], strict=True)]
+        for (key, i, j), rows in _keyed_groups(batches):
+            sig = np.frombuffer(b"".join([r.short for r in rows]), np.uint8).reshape(len(rows), -1)
+            comps = np.unique([r.component for r in rows], return_inverse=True)[1]
+            sizes, wanted = np.array([r.n_shingles for r in rows], float), np.zeros(len(rows), bool)
+            left, right = _sides(rows, i, j)
+            for k in range(0, len(left), 32):
+                part = left[k : k + 32]
+                ok = comps[part][:, None] != comps[right][None, :]
+                ok &= np.minimum(sizes[part][:, None], sizes[right]) >= least * np.maximum(sizes[part][:, None], sizes[right])
+                x, y = np.nonzero(ok)
+                for c in range(0, len(x), 50_000):
+                    u, v = part[x[c : c + 50_000]], right[y[c : c + 50_000]]
+                    good = _estimate((sig[u] == sig[v]).mean(axis=1)) >= least - SLACK
+                    wanted[u[good]] = wanted[v[good]] = True
+            out += [(key, i, j, r.own, r.node, r.component) for r, w in zip(rows, wanted, strict=True) if w]
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=["key", "i", "j", "own", "node", "component"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["key", "i", "j", "own", "node", "component"])
+
+    kind = dict(members.dtypes)["node"]
+    return stream.mapInPandas(find, f"key long, i int, j int, own int, node {kind}, component {kind}")
+
+
+def _late_links(docs: DataFrame, rows: DataFrame, words: int, threshold: Fraction, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between components inside the groups of ``rows``, all pairs across components on full shingle sets.
+
+    Pairs stay inside the task; a link that joins two components of a group is given once.
+    """
+    texts = docs.select(F.col(id_col).alias("node"), text_of(text_col).alias("text"))
+    stream = texts.join(rows, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    top, bottom = threshold.numerator, threshold.denominator
+
+    def links_of(rows: list, i: int, j: int) -> list[tuple]:
+        sets = [shingle_set(r.text, words) for r in rows]
+        sizes = np.array([len(s) for s in sets])
+        left, right = _sides(rows, i, j)
+        right = right[np.argsort(sizes[right], kind="stable")]
+        known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        ids = np.split(ids, np.cumsum(sizes)[:-1])
+        joined, begins = np.concatenate([ids[v] for v in right]), np.append(0, np.cumsum(sizes[right]))
+        root = {r.component: r.component for r in rows}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        table, out = np.zeros(len(known), bool), []
+        for u in left:
+            near = np.flatnonzero((sizes[right] * bottom >= top * sizes[u]) & (sizes[u] * bottom >= top * sizes[right]) & (sizes[right] > 0))
+            if not len(near):
+                continue
+            low, high = near[0], near[-1] + 1  # one range, as ``right`` is in order of size
+            table[ids[u]] = True
+            shared = np.add.reduceat(table[joined[begins[low] : begins[high]]], begins[low:high] - begins[low], dtype=np.int64)
+            table[ids[u]] = False
+            union = sizes[u] + sizes[right[low:high]] - shared
+            for v in right[low:high][bottom * shared >= top * union]:
+                x, y = find(rows[u].component), find(rows[v].component)
+                if x != y:
+                    root[x] = y
+                    out.append((rows[u].node, rows[v].node))
         return out
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
-        for batch in batches:
-            found = []
-            for row in batch.itertuples(index=False):
-                if (row.key, row.i, row.j) != key:
-                    if len(held) > 1:
-                        found += pairs_of(*zip(*held, strict=True), *key[1:])
-                    key, held = (row.key, row.i, row.j), []
-                held.append((row.node, row.component, row.n_shingles, row.short, row.own))
-            yield pd.DataFrame(found, columns=["a", "b"]) if found else batch[["node", "component"]].iloc[:0].set_axis(["a", "b"], axis=1)
-        if len(held) > 1 and (found := pairs_of(*zip(*held, strict=True), *key[1:])):
-            yield pd.DataFrame(found, columns=["a", "b"])
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (_, i, j), rows in _keyed_groups(batches):
+            if len(rows) > 1 and all(len(s) for s in _sides(rows, i, j)) and (found := links_of(rows, i, j)):
+                yield pd.DataFrame(found, columns=["a", "b"])
 
-    kind = dict(members.dtypes)["node"]
-    return stream.mapInPandas(find, f"a {kind}, b {kind}")
+    kind = dict(docs.dtypes)[id_col]
+    return stream.mapInPandas(link, f"a {kind}, b {kind}")
 
 
 def near_groups(
@@ -277,12 +339,8 @@ def near_groups(
     seen = cut(seen)
     mixed = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     across = seen.join(mixed, "key").join(nodes.select("node", "n_shingles", "short"), "node")
-    more = _cross_pairs(across, least).distinct()
-    # a pair is in ``tested`` with its centre first, here with the lesser node first
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more, count = cut_counted(more.join(known, ["a", "b"], "left_anti"))
+    late, count = cut_counted(_late_links(docs, cut(_open_nodes(across, least)), words, threshold, id_col, text_col))
     if count:
-        late = confirm(docs, more, words, threshold, id_col, text_col)
         first = components(links.unionByName(late))
 
     groups = nodes.select("digest", "node").join(first, "node", "left").select("digest", label.alias("component_id"))
