@@ -41,6 +41,7 @@ def register(prints_path: str, schema, checkpoint: str, spark) -> DataFrame:
     with settings(
         spark,
         spark__sql__streaming__stateStore__providerClass=STORE,
+        spark__sql__streaming__stateStore__unloadOnCommit="true",  # a store's local files go when its task ends
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="200",
     ):
