@@ -22,7 +22,7 @@ class Gru:
         v, c, h = len(mass), len(bounds) - 1, hidden
         rng = np.random.Generator(np.random.PCG64(seed))
         self.bounds, self.hidden = bounds, h
-        self.cls = np.repeat(np.arange(c), np.diff(bounds))
+        self.cls = np.repeat(np.arange(c, dtype=np.int16), np.diff(bounds))
         heavy = np.add.reduceat(mass, bounds[:-1])
         self.p = {
             "emb": rng.normal(0, 0.3, (v, h)), "wx": rng.normal(0, h**-0.5, (h, 3 * h)), "wh": rng.normal(0, h**-0.5, (h, 3 * h)), "b": np.zeros(3 * h),

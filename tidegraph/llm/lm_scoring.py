@@ -22,13 +22,14 @@ from tidegraph.core import cut
 from tidegraph.llm.common import fold_of, text_of
 from tidegraph.llm.gru import HIDDEN, WINDOW, Gru, word_classes
 
-HEAD = 200_000
+HEAD = 150_000
 MODEL_WORDS = 4095
 CLASSES = 64
 ROUNDS = 2
 STRIDE = 8
 TRAIN_ROWS = 128
-SCORE_ROWS = 1024
+SCORE_ROWS = 4096
+PIECE = 16_384
 RATE = 0.01
 _FLUSH = 400_000
 END = ""  # no word is empty, so the empty string stands for the end of a text
@@ -97,20 +98,39 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The head: all words whose count is in the highest bins (a 32nd of a power of two wide) that hold HEAD words or
+    fewer together, and the end."""
     total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()  # at most HEAD rows
+    step = F.floor(F.log2("c") * 32).cast("int")
+    bins = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, sum_so_far = 1 << 30, 0
+    for at, n in bins:  # at most 32 x 63 bins
+        sum_so_far += n
+        if sum_so_far > HEAD:
+            break
+        least = at
+    head = counts.where((step >= least) | (F.col("word") == END)).toPandas().sort_values(["c", "word"], ascending=[False, True])
     return Vocabulary(head["word"].tolist(), head["c"].tolist(), total or 0, distinct)
 
 
-def _packed(rows: list[np.ndarray], begin: int, end: int, fill: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words begin..end of each row as step by row, and which of them are words."""
-    out, real = np.full((end - begin, len(rows)), fill, np.int64), np.zeros((end - begin, len(rows)), bool)
-    for i, row in enumerate(rows):
-        part = row[max(begin, 0) : end]
-        shift = max(0, -begin)
-        out[shift : shift + len(part), i] = part
-        real[shift : shift + len(part), i] = True
-    return out, real
+class Rows:
+    """Rows of model words laid end to end, longest first, and windows of them as step by row."""
+
+    def __init__(self, rows: list[np.ndarray], first: int):
+        self.order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
+        self.lengths = np.array([len(rows[i]) for i in self.order])
+        self.flat = np.concatenate([rows[i] for i in self.order]).astype(np.int32)
+        self.offsets = np.append(0, np.cumsum(self.lengths)[:-1])
+        self.first = first
+
+    def longer(self, begin: int) -> int:
+        return int(np.searchsorted(-self.lengths, -begin))
+
+    def window(self, begin: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words begin .. begin + WINDOW of the first ``n`` rows, and which of them are words."""
+        t = begin + np.arange(WINDOW)[:, None]
+        real = (t >= 0) & (t < self.lengths[:n])
+        return np.where(real, self.flat[np.where(real, self.offsets[:n] + t, 0)], self.first), real
 
 
 def train_model(train: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
@@ -125,23 +145,19 @@ def train_model(train: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np
         def learn(batches: Iterator[pd.DataFrame], start=start, rate=rate) -> Iterator[pd.DataFrame]:
             v = words.value
             model, trained, chunk = v.new_model().load(start.value), 0, 0
-            first = v.model[v.end]
+            first = int(v.model[v.end])
             for batch in batches:
-                rows = [v.model[v.places(text)[0]] for text in batch["text"]]
-                rows.sort(key=len, reverse=True)
+                rows = sorted((v.model[v.places(text)[0]] for text in batch["text"]), key=len, reverse=True)
                 for k in range(0, len(rows), TRAIN_ROWS):
-                    part = rows[k : k + TRAIN_ROWS]
+                    part = Rows(rows[k : k + TRAIN_ROWS], first)
                     chunk += 1
-                    for begin in range(chunk % STRIDE * WINDOW, len(part[0]), STRIDE * WINDOW):
-                        part = [r for r in part if len(r) > begin]
-                        state = np.zeros((len(part), HIDDEN), np.float32)
-                        shifted = [np.append(first, r[:-1]) for r in part]
+                    for begin in range(chunk % STRIDE * WINDOW, int(part.lengths[0]), STRIDE * WINDOW):
+                        n = part.longer(begin)
+                        state = np.zeros((n, HIDDEN), np.float32)
                         if begin:
-                            warm, _ = _packed(shifted, begin - WINDOW, begin, first)
-                            _, state = model.forward(model.projected()[warm], state)
-                        inputs, _ = _packed(shifted, begin, begin + WINDOW, first)
-                        target, real = _packed(part, begin, begin + WINDOW, first)
-                        model.learn(inputs, target, real, state, rate)
+                            _, state = model.forward(model.projected()[part.window(begin - WINDOW - 1, n)[0]], state)
+                        target, real = part.window(begin, n)
+                        model.learn(part.window(begin - 1, n)[0], target, real, state, rate)
                         trained += int(real.sum())
             if trained:
                 yield pd.DataFrame({"weights": [model.flat().tolist()], "n": [trained]})
@@ -158,22 +174,33 @@ def train_model(train: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np
 
 def document_log_probs(model: Gru, gates: np.ndarray, rows: list[np.ndarray], first: int) -> np.ndarray:
     """Natural log-probability of each row of model words, the state carried over all windows of the row."""
-    order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
-    rows = [rows[i] for i in order]
-    lengths = np.array([len(r) for r in rows])
+    packed = Rows(rows, first)
     total = np.zeros(len(rows))
     state = np.zeros((len(rows), model.hidden), np.float32)
-    last = np.full(len(rows), first, np.int64)
-    for begin in range(0, int(lengths[0]), WINDOW):
-        n = int((lengths > begin).sum())
-        target, real = _packed(rows[:n], begin, begin + WINDOW, first)
-        inputs = np.concatenate([last[None, :n], target[:-1]])
-        states, state = model.forward(gates[inputs], state[:n])
-        last = target[-1]
+    held: list[tuple] = []
+
+    def add() -> None:
+        if held:
+            states, words, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+            for k in range(0, len(words), PIECE):
+                part = slice(k, k + PIECE)
+                total[:] += np.bincount(owner[part], model.log_prob(states[part], words[part]), minlength=len(total))
+            held.clear()
+
+    waiting = 0
+    for begin in range(0, int(packed.lengths[0]), WINDOW):
+        n = packed.longer(begin)
+        target, real = packed.window(begin, n)
+        states, state = model.forward(gates[packed.window(begin - 1, n)[0]], state[:n])
         t, i = np.nonzero(real)
-        total[:n] += np.bincount(i, model.log_prob(states[t, i], target[t, i]).astype(np.float64), minlength=n)
+        held.append((states[t, i], target[t, i], i))
+        waiting += len(t)
+        if waiting >= PIECE:
+            add()
+            waiting = 0
+    add()
     out = np.empty(len(rows))
-    out[order] = total
+    out[packed.order] = total
     return out
 
 
