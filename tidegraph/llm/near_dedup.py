@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.core import cut, cut_counted
-from tidegraph.llm.common import text_of, with_locator
+from tidegraph.core import cut
+from tidegraph.llm.common import settings, text_of, with_locator
 
 PERMUTATIONS = 80
 ROWS = 5
@@ -28,6 +28,12 @@ BLOCK = 1024
 SLACK = 0.1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PARTS = 2048
+#: Let Spark filter the texts by a Bloom filter of the wanted ids before it shuffles them (its own default waits for 10 GB).
+BLOOM = {
+    "spark__sql__optimizer__runtime__bloomFilter__enabled": "true",
+    "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "64m",
+    "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1g",
+}
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -147,7 +153,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, threshold: Fraction,
     tails = pairs.join(counts, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
     roles = cut(heads.unionByName(tails))
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    rows = texts.join(roles, "id").select("a", "salt", "id", "text").repartition("a", "salt")
+    rows = texts.join(roles.where("salt >= 0"), "id").select("a", "salt", "id", "text").repartition("a", "salt")
     stream = rows.sortWithinPartitions("a", "salt", F.col("id") != F.col("a"))
     top, bottom = threshold.numerator, threshold.denominator
 
@@ -170,7 +176,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, threshold: Fraction,
             yield pd.DataFrame(found, columns=["a", "b"]) if found else batch[["a", "id"]].iloc[:0].rename(columns={"id": "b"})
 
     kind = dict(docs.dtypes)[id_col]
-    return cut(stream.mapInPandas(compare, f"a {kind}, b {kind}"))
+    with settings(docs.sparkSession, **BLOOM):
+        return cut(stream.mapInPandas(compare, f"a {kind}, b {kind}"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -263,7 +270,7 @@ def _late_links(docs: DataFrame, rows: DataFrame, words: int, threshold: Fractio
     Pairs stay inside the task; a link that joins two components of a group is given once.
     """
     texts = docs.select(F.col(id_col).alias("node"), text_of(text_col).alias("text"))
-    stream = texts.join(rows, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    stream = texts.join(rows.where("own >= 0"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     top, bottom = threshold.numerator, threshold.denominator
 
     def links_of(rows: list, i: int, j: int) -> list[tuple]:
@@ -305,7 +312,8 @@ def _late_links(docs: DataFrame, rows: DataFrame, words: int, threshold: Fractio
                 yield pd.DataFrame(found, columns=["a", "b"])
 
     kind = dict(docs.dtypes)[id_col]
-    return stream.mapInPandas(link, f"a {kind}, b {kind}")
+    with settings(docs.sparkSession, **BLOOM):
+        return cut(stream.mapInPandas(link, f"a {kind}, b {kind}"))
 
 
 def near_groups(
@@ -339,8 +347,8 @@ def near_groups(
     seen = cut(seen)
     mixed = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     across = seen.join(mixed, "key").join(nodes.select("node", "n_shingles", "short"), "node")
-    late, count = cut_counted(_late_links(docs, cut(_open_nodes(across, least)), words, threshold, id_col, text_col))
-    if count:
+    late = _late_links(docs, cut(_open_nodes(across, least)), words, threshold, id_col, text_col)
+    if not late.isEmpty():
         first = components(links.unionByName(late))
 
     groups = nodes.select("digest", "node").join(first, "node", "left").select("digest", label.alias("component_id"))
