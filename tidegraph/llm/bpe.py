@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import text_of
+from tidegraph.llm.common import filled, text_of
 
 STEP = 200_000
 CACHE = 400_000
@@ -135,7 +135,7 @@ def bpe_codes(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec, text_of_id = _codec(name, shared, pattern), decimal.value
-        for batch in batches:
+        for batch in filled(batches):
             rows = []
             for text in batch["text"]:
                 ids_hash, bytes_hash, n, kept = hashlib.sha256(), hashlib.sha256(), 0, []

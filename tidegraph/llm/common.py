@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
@@ -40,19 +40,30 @@ def fold_of(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def with_locator(docs: DataFrame, *cols: Column | str) -> DataFrame:
-    """``cols`` of ``docs`` and where each row lies: columns ``file`` and ``row``.
-
-    ``docs`` should be a plain scan of files. Any other table is written to the shared folder first, so that a
-    locator means the same row in every later read.
-    """
+def scanned(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is a plain scan of files, else a copy written to the shared folder, so that a row's place is the
+    same in every later read."""
     try:
-        meta = docs.metadataColumn("_metadata")
-        return docs.select(*cols, meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+        docs.metadataColumn("_metadata")
+        return docs
     except AnalysisException:
-        docs = cut(docs)
-        meta = docs.metadataColumn("_metadata")
-        return docs.select(*cols, meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+        return cut(docs)
+
+
+def with_locator(docs: DataFrame, *cols: Column | str) -> DataFrame:
+    """``cols`` of ``docs`` (see ``scanned``) and where each row lies: columns ``file`` and ``row``."""
+    meta = docs.metadataColumn("_metadata")
+    return docs.select(*cols, meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as the struct ``_doc``, and its locator."""
+    return with_locator(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+
+
+def filled(batches: Iterator) -> Iterator:
+    """Batches with at least one row."""
+    return (batch for batch in batches if len(batch))
 
 
 @contextmanager

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.core import cut
-from tidegraph.llm.common import settings
+from tidegraph.llm.common import filled, settings
 
 BLOCK = 2048
 QUERY_BLOCK = 512
@@ -220,7 +220,7 @@ def top_inner_products(table: DataFrame, queries: DataFrame, k: int = 20, id_col
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shared.value
-        for batch in batches:
+        for batch in filled(batches):
             x = _matrix(batch["v"].tolist(), width).astype(np.float64)
             near = np.argmin((p**2).sum(axis=1)[None, :] - 2 * x @ p.T, axis=1) if len(x) else []
             yield batch.assign(pivot=np.array(near, np.int32))
@@ -233,7 +233,7 @@ def top_inner_products(table: DataFrame, queries: DataFrame, k: int = 20, id_col
         """Search each pair of blocks; with the least kth score of the query block, and all results."""
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in filled(batches):
                 for row in batch.itertuples(index=False):
                     (q, keys), (d, _) = _opened(row.tree), _opened(row.data_tree)
                     best = Best(len(q.ids), k) if row.best is None else pickle.loads(row.best)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.core import cut, cut_counted, new_path
-from tidegraph.llm.common import WHITE, settings, text_of, with_locator
+from tidegraph.llm.common import WHITE, scanned, settings, text_of, whole_rows, with_locator
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -82,7 +82,7 @@ def exact_groups(
     group keeps exactly one row. An empty table gives an empty result. Other columns of ``docs`` are not looked at.
     ``digest`` may be any function of the normalised text: collisions cost time but change nothing.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, scanned(docs)
     located = with_locator(docs, F.col(id_col).alias("doc_id"), normalised(text_col).alias("body"))
     prints = located.select("doc_id", digest(F.col("body")).alias("digest"), "file", "row")
     path = new_path(spark)
@@ -116,6 +116,7 @@ def exact_groups(
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
+    docs = scanned(docs)
     stays = exact_groups(docs, id_col, text_col).where("kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    rows = with_locator(docs, F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    rows = whole_rows(docs)
     return rows.join(stays, (F.col("file") == F.col("_file")) & (F.col("row") == F.col("_row")), "left_semi").select("_doc.*")

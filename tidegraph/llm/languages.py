@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.core import cut
-from tidegraph.llm.common import fold_of, text_of
+from tidegraph.llm.common import filled, fold_of, text_of
 
 BITS = 15
 PER_LANGUAGE = 2000
@@ -97,7 +97,7 @@ def train_languages(docs: DataFrame, folds: int = 3, held: int = 1, per_language
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in filled(batches):
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 ids, n = ngrams(text)
                 if len(ids):
@@ -126,7 +126,7 @@ def predict_languages(docs: DataFrame, langs: list[str], probabilities: np.ndarr
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, p = shared.value
-        for batch in batches:
+        for batch in filled(batches):
             rows = []
             for text in batch["text"]:
                 ids, n = ngrams(text)

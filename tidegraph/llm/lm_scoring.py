@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.core import cut
-from tidegraph.llm.common import fold_of, text_of
+from tidegraph.llm.common import filled, fold_of, text_of
 from tidegraph.llm.gru import HIDDEN, WINDOW, Gru, word_classes
 
 HEAD = 150_000
@@ -50,13 +50,14 @@ def word_counts(train: DataFrame) -> DataFrame:
             sums.clear()
             return out
 
-        for batch in batches:
+        for batch in filled(batches):
             for text in batch["text"]:
                 sums.update(words_of(text))
                 if len(sums) > _FLUSH:  # sums of a part: Spark adds them up
                     yield rows()
             sums[END.encode()] += len(batch)
-        yield rows()
+        if sums:
+            yield rows()
 
     return cut(train.select("text").mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
 
@@ -146,7 +147,7 @@ def train_model(train: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np
             v = words.value
             model, trained, chunk = v.new_model().load(start.value), 0, 0
             first = int(v.model[v.end])
-            for batch in batches:
+            for batch in filled(batches):
                 rows = sorted((v.model[v.places(text)[0]] for text in batch["text"]), key=len, reverse=True)
                 for k in range(0, len(rows), TRAIN_ROWS):
                     part = Rows(rows[k : k + TRAIN_ROWS], first)
@@ -225,7 +226,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, id_col: str
         v = words.value
         model = v.new_model().load(trained.value)
         gates, first = model.projected(), int(v.model[v.end])
-        for batch in batches:
+        for batch in filled(batches):
             for k in range(0, len(batch), SCORE_ROWS):
                 part = batch.iloc[k : k + SCORE_ROWS]
                 places, tails = zip(*[v.places(text) for text in part["text"]], strict=True)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.core import cut
 from tidegraph.layout import ordered_position
-from tidegraph.llm.common import WORD, text_of, with_locator
+from tidegraph.llm.common import WORD, scanned, text_of, whole_rows, with_locator
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     repeated rows are documents each; ids that are null or repeated are told apart by their place in the files. An
     empty table gives an empty result. Other columns are not looked at.
     """
-    slim = document_sizes(docs, id_col, text_col, source_col)
+    slim = document_sizes(scanned(docs), id_col, text_col, source_col)
     histogram = cut(slim.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n")))
     solved = solve_multipliers(histogram, source_targets(histogram))
 
@@ -196,9 +196,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns."""
+    docs = scanned(docs)
     counts = mix(docs, id_col, text_col, source_col).where("copies > 0").select(
         F.col("file").alias("_file"), F.col("row").alias("_row"), F.col("copies").alias("_copies")
     )
-    rows = with_locator(docs, F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    rows = whole_rows(docs)
     taken = rows.join(counts, (F.col("file") == F.col("_file")) & (F.col("row") == F.col("_row")))
     return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_doc.*")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.core import cut
-from tidegraph.llm.common import settings, text_of, with_locator
+from tidegraph.llm.common import filled, scanned, settings, text_of, whole_rows, with_locator
 
 PERMUTATIONS = 80
 ROWS = 5
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashing = MinMax()
-        for batch in batches:
+        for batch in filled(batches):
             rows = []
             for text in batch["text"]:
                 s = shingle_set(text, words)
@@ -159,7 +159,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, threshold: Fraction,
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, heads = None, []
-        for batch in batches:
+        for batch in filled(batches):
             found = []
             for a, salt, node, text in zip(batch["a"], batch["salt"], batch["id"], batch["text"], strict=True):
                 if (a, salt) != key:
@@ -173,7 +173,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, threshold: Fraction,
                     if shared and bottom * shared >= top * (len(head) + len(own) - shared):
                         found.append((a, node))
                         break
-            yield pd.DataFrame(found, columns=["a", "b"]) if found else batch[["a", "id"]].iloc[:0].rename(columns={"id": "b"})
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
 
     kind = dict(docs.dtypes)[id_col]
     with settings(docs.sparkSession, **BLOOM):
@@ -206,7 +207,7 @@ def components(links: DataFrame) -> DataFrame:
 def _keyed_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list]]:
     """Runs of rows with one (key, i, j) in a sorted stream."""
     key, held = None, []
-    for batch in batches:
+    for batch in filled(batches):
         for row in batch.itertuples(index=False):
             if (row.key, row.i, row.j) != key:
                 if held:
@@ -326,7 +327,7 @@ def near_groups(
     of one id are one document; a row with a null id is linked with nothing and kept. An empty table gives an empty
     result. Other columns are not looked at.
     """
-    least = float(threshold)
+    docs, least = scanned(docs), float(threshold)
     rows = signatures(docs, words, id_col, text_col)
     nodes = cut(
         rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
@@ -361,6 +362,7 @@ def near_groups(
 
 def near_dedup(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group the row with the least id."""
+    docs = scanned(docs)
     stays = near_groups(docs, words, threshold).where("kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    rows = with_locator(docs, F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    rows = whole_rows(docs)
     return rows.join(stays, (F.col("file") == F.col("_file")) & (F.col("row") == F.col("_row")), "left_semi").select("_doc.*")

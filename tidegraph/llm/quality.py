@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.core import cut
-from tidegraph.llm.common import fold_of, text_of
+from tidegraph.llm.common import filled, fold_of, text_of
 
 BITS = 18
 SAMPLE = 8192
@@ -116,7 +116,7 @@ def train_quality(
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Ftrl()
-        for batch in batches:
+        for batch in filled(batches):
             for text, label in zip(batch["text"], batch["label"], strict=True):
                 model.learn(*features(text), label)
         yield pd.DataFrame({"weights": [model.weights().astype(np.float32).tobytes()]})
@@ -137,7 +137,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, folds: int = 3, held: in
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value.astype(np.float64)
-        for batch in batches:
+        for batch in filled(batches):
             scores = []
             for text in batch["text"]:
                 ids, values = features(text)
