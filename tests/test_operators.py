@@ -181,3 +181,24 @@ def test_queries_have_sql_keys():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_series_that_are_constant_zero_short_or_null(spark):
+    rows = [("zero", t, 0.0) for t in range(30)] + [("same", t, 2.0) for t in range(30)] + [("two", 0, 1.0), ("two", 1, 0.0)]
+    rows += [("null", t, None if t % 3 == 0 else float(t)) for t in range(30)] + [("fine", t, float((t * 7) % 5 + 1)) for t in range(30)]
+    df = spark.createDataFrame(rows, "series_id string, t long, x double")
+    from tidegraph.operators import aggregates, dependence, text, windows
+
+    ret = {(r["series_id"], r["t"]): r["ret"] for r in windows.change_columns(df).collect()}
+    assert ret["zero", 3] is None and ret["two", 1] == -100.0 and ret["same", 3] == 0.0
+    full = df.where("x IS NOT NULL AND series_id IN ('zero', 'same', 'fine')")
+    rho = dependence.autocorrelation(full, 3).collect()
+    assert {r["series_id"] for r in rho if r["rho"] is None} == {"zero", "same"}
+    stat = {r["series_id"]: r["kpss"] for r in dependence.kpss(full).collect()}
+    assert stat["zero"] is None and stat["fine"] is not None
+    comps = full.selectExpr("series_id", "'IMF_1' AS component", "t", "x", "'m' AS method", "1 AS idx")
+    shares = {r["series_id"]: r["fraction"] for r in aggregates.variance_fraction(comps, full).collect()}
+    assert shares["same"] is None and shares["fine"] == 1.0
+    assert {r["series_id"]: r["rel_rmse"] for r in aggregates.reconstruction(comps, full).collect()}["zero"] is None
+    doc = spark.createDataFrame([("p\\begin{document}one\\begin{document}two \\end{document}x",)], "s string")
+    assert doc.select(text.strip_latex(doc["s"])).first()[0] == "two"

@@ -92,7 +92,7 @@ def variance_fraction(comps: DataFrame, series: DataFrame, *, keys=KEYS, x="x")
     """AGG-8: population variance of a component over that of its series."""
     a = comps.groupBy(*keys, "component").agg(F.var_pop(x).alias("_c"))
     b = series.groupBy(*keys).agg(F.var_pop(x).alias("_x"))
-    return a.join(b, list(keys)).select(*keys, "component", (F.col("_c") / F.col("_x")).alias("fraction"))
+    return a.join(b, list(keys)).select(*keys, "component", F.try_divide("_c", "_x").alias("fraction"))
 
 
 def _is_res() -> Column:
@@ -104,10 +104,10 @@ def _by_time(comps: DataFrame, keys, t="t", **sums: Column) -> DataFrame:
     return comps.groupBy(*keys, t).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
 
 
-def quality(comps: DataFrame, series: DataFrame, *, keys=("series_id", "method"), skeys=KEYS, t="t", alpha_pairs=True) -> DataFrame:
+def quality(comps: DataFrame, series: DataFrame, *, keys=("series_id", "method"), skeys=KEYS, t="t", alpha_pairs=True, most: int | None = None) -> DataFrame:
     """AGG-9: modes, relative RMSE, share of IMF_1 and of the residual, pair correlation (AGG-10).
 
-    Shares use population variances: IMF_1 over the series, residual over the sum of all components.
+    Pairs are those of all components, or of the first ``most``. Shares use population variances: IMF_1 over the series, residual over the sum of all components.
     """
     total = _by_time(comps, keys, t, _sum=F.col("x"))
     fit = total.join(series.select(*skeys, t, F.col("x").alias("_x")), [*skeys, t])
@@ -129,7 +129,7 @@ def quality(comps: DataFrame, series: DataFrame, *, keys=("series_id", "method")
         (F.col("_res") / (F.col("_all") + 1e-15)).alias("residual_share"),
     )
     if alpha_pairs:
-        pairs = pair_correlation(comps.where(~_is_res() & (F.col("idx") <= 8)), keys=keys, t=t)
+        pairs = pair_correlation(comps.where(~_is_res() & (F.lit(True) if most is None else F.col("idx") <= most)), keys=keys, t=t)
         out = out.join(pairs, list(keys), "left").na.fill(0, ["pair_corr", "n_pairs"])
     return out
 
@@ -183,7 +183,7 @@ def reconstruction(comps: DataFrame, series: DataFrame, *, keys=("series_id", "m
         .groupBy(*keys)
         .agg(
             F.sqrt(F.avg(d * d)).alias("rmse"),
-            (F.sqrt(F.sum(d * d)) / F.sqrt(F.sum(F.col("_x") ** 2))).alias("rel_rmse"),
+            F.try_divide(F.sqrt(F.sum(d * d)), F.sqrt(F.sum(F.col("_x") ** 2))).alias("rel_rmse"),
             F.max(F.abs(d)).alias("max_abs"),
             F.avg(F.abs(d)).alias("mean_abs"),
         )

@@ -68,11 +68,11 @@ def _centred(df: DataFrame, value: Column, keys, t) -> DataFrame:
 
 
 def autocorrelation(df: DataFrame, lags: int = 20, *, squares=True, keys=KEYS, t="t", x="x", block=BLOCK) -> DataFrame:
-    """(keys, tau, rho, n): autocorrelation of x squared (or x) about its mean."""
+    """(keys, tau, rho, n): autocorrelation of x squared (or x) about its mean; NULL for a constant series."""
     c = _centred(df, F.col(x) * F.col(x) if squares else F.col(x), keys, t)
     total = c.groupBy(*keys).agg(F.sum(F.col("x") ** 2).alias("_v"), F.count(F.lit(1)).alias("n"))
     prod = lagged_pairs(c, lags, keys=keys, t=t, block=block).groupBy(*keys, "tau").agg(F.sum(F.col("x") * F.col("y")).alias("_p"))
-    return prod.join(total, list(keys)).select(*keys, "tau", (F.col("_p") / F.col("_v")).alias("rho"), "n")
+    return prod.join(total, list(keys)).select(*keys, "tau", F.try_divide("_p", "_v").alias("rho"), "n")
 
 
 def square_dependence(df: DataFrame, lags: int = 20, lb_lags: int = 10, *, keys=KEYS, t="t", x="x", block=BLOCK) -> DataFrame:
@@ -197,7 +197,7 @@ def kpss(df: DataFrame, *, keys=KEYS, t="t", x="x", block=BLOCK) -> DataFrame:
     width = low.groupBy(*keys).agg(
         (F.max("_rr") / F.max(n) + F.sum(c)).alias("_s0"), F.sum(F.col("tau") * c).alias("_s1"), F.max(n).alias("n")
     )
-    gamma = 1.1447 * F.pow(F.pow(F.col("_s1") / F.col("_s0"), 2), F.lit(1 / 3))
+    gamma = 1.1447 * F.pow(F.pow(F.coalesce(F.try_divide("_s1", "_s0"), F.lit(0.0)), 2), F.lit(1 / 3))
     width = cut(width.select(*keys, F.least(F.floor(gamma * F.pow(n, F.lit(1 / 3))), n - 1).cast("int").alias("lags")))
     top = max(1, width.agg(F.max("lags")).first()[0] or 1)
     long_run = (
@@ -209,9 +209,9 @@ def kpss(df: DataFrame, *, keys=KEYS, t="t", x="x", block=BLOCK) -> DataFrame:
     )
     walk = scan(r, {"_s": ("sum", F.col("x"))}, keys=keys, t=t, block=block, rows=n_max)
     eta = walk.groupBy(*keys).agg(F.sum(F.col("_s") ** 2).alias("_ss"), F.max(n).alias("n"))
-    stat = (F.col("_ss") / (n * n)) / ((F.col("_rr") + 2 * F.col("_w")) / n)
+    stat = F.try_divide(F.col("_ss") / (n * n), (F.col("_rr") + 2 * F.col("_w")) / n)
     return eta.join(long_run, list(keys)).select(*keys, "lags", stat.alias("kpss")).withColumn(
-        "kpss_p", kpss_p(F.col("kpss"))
+        "kpss_p", F.when(F.col("kpss").isNotNull(), kpss_p(F.col("kpss")))
     ).withColumn("stationary", F.col("kpss_p") > 0.05)
 
 

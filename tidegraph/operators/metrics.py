@@ -17,14 +17,12 @@ from tidegraph.core import KEYS, cut, cut_counted
 from tidegraph.functions.noise import uniform
 from tidegraph.layout import attach, ordered_position, quantiles
 
-# Edge limits and sample sizes per graph type.
+# Edge limits per graph type, for the report of metric_flags.
 NVG_CLUSTERING_LIMIT = 400_000
 NVG_CENTRALITY_LIMIT = 1_500_000
 NVG_BETWEENNESS_LIMIT = 200_000
 NVG_CLOSENESS_LIMIT = 50_000
 RECURRENCE_LIMIT = 12_000
-BETWEENNESS_PIVOTS = 600
-CLOSENESS_SOURCES = 500
 
 
 def arcs(edges: DataFrame, keys) -> DataFrame:
@@ -426,7 +424,7 @@ def eigenvector(
 
 
 def metric_flags(sizes: DataFrame) -> DataFrame:
-    """MET-11: what is omitted or approximated, by graph type and number of edges."""
+    """MET-11: where a run on one machine would omit or sample, by graph type and number of edges (a report only)."""
     g, m = F.col("graph"), F.col("m")
     nvg, rec = g == "nvg", g == "recurrence"
     omitted = nvg & (m > NVG_CENTRALITY_LIMIT)
@@ -439,36 +437,29 @@ def metric_flags(sizes: DataFrame) -> DataFrame:
     )
 
 
-def graph_metrics(nodes: DataFrame, edges: DataFrame, *, keys=("series_id", "component", "graph")) -> DataFrame:
-    """MET-12: one row per graph with structure, clustering, centralities and flags.
+def graph_metrics(
+    nodes: DataFrame, edges: DataFrame, *, keys=("series_id", "component", "graph"), pivots: int | None = None, sources: int | None = None
+) -> DataFrame:
+    """MET-12: one row per graph with structure, clustering and centralities; the flags of ``metric_flags`` are a report.
 
-    Omission and sampling are decided per graph before any expensive join.
+    Everything is exact for every graph, unless the caller asks for a sample of ``pivots`` (betweenness) or
+    ``sources`` (closeness) per graph.
     """
     nodes, e = cut(nodes.select(*keys, "node")), cut(simple_edges_of(edges, keys))
-    flags = cut(metric_flags(size_metrics(nodes, e, keys=keys)))
-
-    def pick(cond: Column):
-        k = flags.where(cond).select(*keys)
-        return nodes.join(k, list(keys), "left_semi"), e.join(k, list(keys), "left_semi")
-
-    out = flags.join(degree_metrics(nodes, e, keys=keys), list(keys))
+    out = metric_flags(size_metrics(nodes, e, keys=keys)).join(degree_metrics(nodes, e, keys=keys), list(keys))
     labels = cut(component_labels(nodes, e, keys=keys))
     out = out.join(component_metrics(labels, keys=keys), list(keys))
     out = out.join(two_sweep_diameter(nodes, e, keys=keys), list(keys), "left")
-    cn, ce = pick(~F.col("clustering_omitted"))
-    out = out.join(distribution(clustering(cn, ce, keys=keys), "clustering", keys=keys), list(keys), "left")
-    kn, ke = pick(~F.col("centrality_omitted"))
-    out = out.join(distribution(degree_centrality(kn, ke, keys=keys), "centrality", keys=keys, name="degree_centrality"), list(keys), "left")
-
-    def sampled(flag: str, size: int) -> DataFrame:
-        exact, _ = pick(~F.col("centrality_omitted") & ~F.col(flag))
-        some, _ = pick(F.col(flag))
-        return cut(exact.unionByName(hash_sample(some, size, keys=keys)))
-
-    cl = closeness(kn, ke, sampled("closeness_sampled", CLOSENESS_SOURCES), keys=keys)
-    bt = betweenness(kn, ke, sampled("betweenness_sampled", BETWEENNESS_PIVOTS), keys=keys)
-    core = cut(largest_component(labels, keys=keys).join(kn, [*keys, "node"], "left_semi"))
-    inside = ke.join(core.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi")
+    out = out.join(distribution(clustering(nodes, e, keys=keys), "clustering", keys=keys), list(keys), "left")
+    out = out.join(distribution(degree_centrality(nodes, e, keys=keys), "centrality", keys=keys, name="degree_centrality"), list(keys), "left")
+
+    def some(size: int | None) -> DataFrame:
+        return nodes if size is None else cut(hash_sample(nodes, size, keys=keys))
+
+    cl = closeness(nodes, e, some(sources), keys=keys)
+    bt = betweenness(nodes, e, some(pivots), keys=keys)
+    core = cut(largest_component(labels, keys=keys))
+    inside = e.join(core.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi")
     ev = eigenvector(core, inside, keys=keys)
     for df, name in ((cl, "closeness"), (bt, "betweenness"), (ev, "eigenvector")):
         out = out.join(distribution(cut(df), name, keys=keys), list(keys), "left")

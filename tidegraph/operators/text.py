@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Markup patterns and what stays of them, applied in this order.
 LATEX_RULES = (
-    (r"(?s)^.*?\\begin\{document\}", ""),
+    (r"(?s).*?\\begin\{document\}", ""),
     (r"(?s)\\end\{document\}.*", ""),
     (r"\\(section|subsection|subsubsection)\*?\{([^}]+)\}", "$2"),
     (r"\\(textbf|textit|emph|texttt)\{([^}]+)\}", "$2"),
@@ -37,7 +37,7 @@ def strip_latex(text: Column) -> Column:
     out = text
     for pattern, keep in LATEX_RULES:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(keep))
-    lines = F.transform(F.split(out, "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    lines = F.transform(F.split(out, "\n"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
 
 

@@ -22,15 +22,15 @@ def _full(w, width: int, agg: Column) -> Column:
 
 
 def change_columns(df: DataFrame, *, keys=KEYS, t="t", x="x", block=BLOCK) -> DataFrame:
-    """WIN-1, WIN-2, WIN-9: simple and log return in percent, first and second difference."""
+    """WIN-1, WIN-2, WIN-9: simple and log return in percent (NULL after a zero), first and second difference."""
     return over_time(
         df,
         lambda w: {"_1": F.lag(x, 1).over(w), "_2": F.lag(x, 2).over(w)},
         keys=keys, t=t, before=2, block=block,
     ).select(
         *df.columns,
-        ((F.col(x) / F.col("_1") - 1) * 100).alias("ret"),
-        (F.ln(F.col(x) / F.col("_1")) * 100).alias("log_ret"),
+        ((F.try_divide(F.col(x), F.col("_1")) - 1) * 100).alias("ret"),
+        (F.ln(F.try_divide(F.col(x), F.col("_1"))) * 100).alias("log_ret"),
         (F.col(x) - F.col("_1")).alias("d1"),
         ((F.col(x) - F.col("_1")) - (F.col("_1") - F.col("_2"))).alias("d2"),
     )
