@@ -70,6 +70,21 @@ def test_quantiles(walk):
         assert np.allclose([got[k].q10, got[k].q50, got[k].q90], np.percentile(g.x, [10, 50, 90]))
 
 
+def test_quantiles_with_a_value_that_most_rows_share(make):
+    values = {"a": [3.0] * 800 + list(range(200)), "b": [1, 5], "c": [2.0] * 50}
+    got = {r.series_id: r for r in quantiles(make(**values), "x", [0.05, 0.5, 0.95]).collect()}
+    for k, x in values.items():
+        assert np.allclose([got[k].q5, got[k].q50, got[k].q95], np.percentile(x, [5, 50, 95]))
+
+
+def test_random_windows_do_not_depend_on_blocks(make, monkeypatch):
+    df = make(a=list(range(300)), b=[1, 2])
+    whole = {tuple(r) for r in W.random_windows(df, 9, 2, seed=3).collect()}
+    monkeypatch.setattr(W, "BLOCK", 4)
+    assert whole == {tuple(r) for r in W.random_windows(df, 9, 2, seed=3).collect()}
+    assert len(whole) == 302
+
+
 def test_long_plateau_counts_once_in_small_blocks(make):
     df = make(p=[0, 2, 2, 2, 0, 1, 0], q=[0] + [5] * 40 + [1, 3, 3])
     for block in (3, 1 << 20):

@@ -6,7 +6,7 @@ Every operator on ordered series is built from these pieces:
 ``over_time``         bounded window frames on fixed blocks of a series plus a halo;
 ``scan``              running sum / max / min over a whole series, in three levels;
 ``attach``            join per-series values to rows, in chunks of rows;
-``quantiles``         exact quantiles by rank selection.
+``quantiles``         exact quantiles by rank selection over counted values.
 
 A short series is one block, so the same plan serves millions of short series and one
 series that holds a third of all rows.
@@ -174,18 +174,27 @@ def attach(df: DataFrame, stats: DataFrame, *, keys=KEYS, t="t", how="inner", ch
     return left.join(right.drop("_last"), [*keys, "_chunk"], how).drop("_chunk")
 
 
+def ranked_values(df: DataFrame, x: str, *, keys=KEYS) -> DataFrame:
+    """Distinct values of each key with their ranks: keys, x, ``_lo`` <= rank < ``_hi``, ``_n`` (rows of the key).
+
+    Equal values are counted before any sort, so a value that most rows share is one row. NULLs are ignored.
+    """
+    counted = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_rows"))
+    placed = ordered_position(counted, [x], keys=keys, name="_at")
+    running = scan(placed, {"_hi": ("sum", F.col("_rows"))}, keys=keys, t="_at")
+    sizes = summarise(placed, F.sum("_rows").alias("_n"), keys=keys, t="_at")
+    return attach(running, sizes, keys=keys, t="_at").select(*keys, x, (F.col("_hi") - F.col("_rows")).alias("_lo"), "_hi", "_n")
+
+
 def quantiles(df: DataFrame, x: str, qs: Sequence[float], *, keys=KEYS, names: Sequence[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key. NULLs are ignored."""
     names = names or [f"q{round(q * 100)}" for q in qs]
-    ranked = ordered_position(df.where(F.col(x).isNotNull()).select(*keys, x), [x], keys=keys, name="_pos")
-    sizes = ranked.groupBy(*keys).agg(F.max("_pos").alias("_last"))
-    r = attach(ranked, sizes.withColumn("_n1", F.col("_last")), keys=keys, t="_pos")
+    r = ranked_values(df, x, keys=keys)
+    at = lambda rank: F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col(x)))
     aggs = []
     for q, name in zip(qs, names):
-        rank = F.col("_n1") * F.lit(float(q))
+        rank = (F.col("_n") - 1) * F.lit(float(q))
         lo, frac = F.floor(rank), rank - F.floor(rank)
-        a = F.max(F.when(F.col("_pos") == lo, F.col(x)))
-        b = F.max(F.when(F.col("_pos") == lo + 1, F.col(x)))
-        f = F.max(frac)
+        a, b, f = at(lo), at(lo + 1), F.max(frac)
         aggs.append(F.when(f > 0, a + (b - a) * f).otherwise(a).alias(name))
     return r.groupBy(*keys).agg(*aggs)

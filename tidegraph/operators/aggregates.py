@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.core import KEYS
 from tidegraph.functions.closed import t_critical
-from tidegraph.layout import BLOCK, attach, ordered_position, over_time, quantiles
+from tidegraph.layout import BLOCK, attach, over_time, quantiles, ranked_values
 from tidegraph.operators.shape import RESIDUAL
 from tidegraph.operators.windows import change_columns, local_maxima, rolling
 
@@ -398,7 +398,6 @@ def readout(nodes: DataFrame, vec: str = "features", *, keys=KEYS, node="node")
         F.stddev_pop("v").alias("std"), F.var_pop("v").alias("var"),
     )
     gk = (*keys, "feature")
-    ranked = ordered_position(long.select(*gk, "v"), ["v"], keys=gk, name="_pos")
-    last = ranked.groupBy(*gk).agg(F.max("_pos").alias("_last"))
-    mid = attach(ranked, last.withColumn("_mid", F.floor(F.col("_last") / 2)), keys=gk, t="_pos")
-    return g.join(mid.where(F.col("_pos") == F.col("_mid")).select(*gk, F.col("v").alias("median")), list(gk))
+    mid = F.floor((F.col("_n") - 1) / 2)
+    ranked = ranked_values(long, "v", keys=gk).where((F.col("_lo") <= mid) & (mid < F.col("_hi")))
+    return g.join(ranked.select(*gk, F.col("v").alias("median")), list(gk), "left")

@@ -365,7 +365,7 @@ def eigenvector(
     inner products are one aggregate per key, the combination a steps x steps problem per
     key. Long thin graphs need a few cycles where plain power iteration needs hundreds of
     rounds. A key stops when its cycle started from a residual below ``tol`` times the
-    eigenvalue.
+    eigenvalue; keys that have not after ``max_cycles`` raise an error.
     ``rounds`` asks for that many plain power steps instead.
     """
     loops = nodes.select(*keys, F.col("node").alias("from"), F.col("node").alias("dst"))
@@ -419,7 +419,7 @@ def eigenvector(
         if best.where(F.col("resid") > tol).isEmpty():
             break
     else:
-        settled = settled.unionByName(v)
+        raise ArithmeticError(f"eigenvector: some graphs did not settle in {max_cycles} cycles of {steps} products")
     return settled.select(*keys, "node", F.abs("v").alias("eigenvector"))
 
 

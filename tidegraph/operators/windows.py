@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,9 +186,8 @@ def random_windows(
     """WIN-11: random windows, newest row first, sizes by hash.
 
     Mode 1 tiles the series without overlap (window ids from the newest end); mode 2 draws
-    ``count`` overlapping windows and drops those of one row. Mode 1 cuts the series in
-    slabs of ``max_size * 1024`` positions, sizes restart in every slab, so slabs are
-    independent and a long series spreads over many tasks.
+    ``count`` overlapping windows and drops those of one row. In mode 1 the ends are running
+    sums of the drawn sizes, block by block, so a long series spreads over many tasks.
     """
     if mode not in (1, 2):
         raise ValueError("mode must be 1 or 2")
@@ -199,21 +198,18 @@ def random_windows(
     sizes = df.groupBy(*keys).agg((F.max(t) + 1).alias("_n"))
     ident = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
     if mode == 1:
-        slab = max_size * 1024
-        most = -(-slab // min_size)
+        last = F.floor((F.col("_n") - 1) / min_size)  # draws are enough if all sizes are the least
+        first = F.col("_block") * BLOCK
         draws = (
-            sizes.withColumn("_slab", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / slab))))
-            .withColumn("_need", F.least(F.lit(slab), F.col("_n") - F.col("_slab") * slab))
-            .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_need") / min_size) - 1)).alias("_w"))
-            .withColumn("_size", between(min_size, max_size, ident, F.col("_slab"), F.col("_w"), F.lit(seed)))
+            sizes.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / BLOCK))))
+            .select(*keys, "_n", F.explode(F.sequence(first, F.least(last, first + BLOCK - 1))).alias("window_id"))
+            .withColumn("_size", between(min_size, max_size, ident, F.lit(0), F.col("window_id"), F.lit(seed)))
         )
-        end = F.sum("_size").over(Window.partitionBy(*keys, "_slab").orderBy("_w"))
+        ends = scan(draws, {"_end": ("sum", F.col("_size"))}, keys=keys, t="window_id")
         spans = (
-            draws.withColumn("_end", end)
-            .withColumn("_from", F.col("_slab") * slab + F.col("_end") - F.col("_size"))
-            .where(F.col("_end") - F.col("_size") < F.col("_need"))
-            .withColumn("_to", F.col("_slab") * slab + F.least("_end", "_need"))
-            .withColumn("window_id", F.col("_slab") * most + F.col("_w"))
+            ends.withColumn("_from", F.col("_end") - F.col("_size"))
+            .where(F.col("_from") < F.col("_n"))
+            .withColumn("_to", F.least("_end", "_n"))
         )
     else:
         spans = (
