@@ -108,3 +108,13 @@ def test_sampled_betweenness_is_close(graph):
     exact = {r.node: r.betweenness for r in M.betweenness(n, e).collect()}
     part = {r.node: r.betweenness for r in M.betweenness(n, e, M.hash_sample(n, 6)).collect()}
     assert max(abs(exact[k] - part[k]) for k in exact) < 0.3
+
+
+def test_sample_neighbours_merge_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "MERGE", 3)
+    x = np.random.default_rng(5).normal(size=(90, 2))
+    cloud = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "series_id string, node long, vec array<double>")
+    found = tiles.sample_neighbours(cloud, cloud.where("node % 9 = 0"), 5, size=4).collect()
+    for i in range(0, 90, 9):
+        want = np.sort(np.linalg.norm(x - x[i], axis=1))[1:6]
+        assert np.allclose(sorted(r.dist for r in found if r.node == i), want)

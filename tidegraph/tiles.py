@@ -21,6 +21,7 @@ from tidegraph.core import KEYS, cut
 from tidegraph.layout import attach, ordered_position, scan
 
 SIZE = 256
+MERGE = 64
 
 
 def _blocks(points: DataFrame, keys, size: int) -> DataFrame:
@@ -200,7 +201,7 @@ def sample_neighbours(points: DataFrame, sample: DataFrame, k: int, *, keys=KEYS
     """Distances (keys, node, dist) from sampled points to their k nearest others.
 
     ``sample`` has a fixed number of points per key; every block keeps at most k distances
-    per sampled point, so the merge per sampled point is small.
+    per sampled point. They are merged in levels of MERGE blocks, so no list grows with the key.
     """
     blocks = _blocks(points, keys, size)
     picked = _blocks(sample, keys, size)
@@ -218,9 +219,13 @@ def sample_neighbours(points: DataFrame, sample: DataFrame, k: int, *, keys=KEYS
         d = np.where(_same(row), np.inf, d)
         part = np.sort(d, axis=1)[:, :k]
         i, j = np.nonzero(np.isfinite(part))
-        return {"node": ia[i], "dist": part[i, j]}
+        return {"node": ia[i], "dist": part[i, j], "blk": np.full(len(i), row.b)}
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("dist", T.DoubleType())]
+    fields = [T.StructField("node", T.LongType()), T.StructField("dist", T.DoubleType()), T.StructField("blk", T.LongType())]
     found = _run(tiles, keys, fields, work, "euclidean")
+    for _ in range(2):
+        part = found.groupBy(*keys, "node", F.floor(F.col("blk") / MERGE).cast("long").alias("blk"))
+        least = part.agg(F.slice(F.sort_array(F.collect_list("dist")), 1, k).alias("_d"))
+        found = least.select(*keys, "node", "blk", F.explode("_d").alias("dist"))
     merged = found.groupBy(*keys, "node").agg(F.slice(F.sort_array(F.collect_list("dist")), 1, k).alias("_d"))
     return merged.select(*keys, "node", F.explode("_d").alias("dist"))
