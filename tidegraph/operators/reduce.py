@@ -1,7 +1,7 @@
 """Component reduction: standardisation, PCA, ICA, reconstruction, and the choice of k.
 
-A matrix is (keys, t, vec ARRAY<DOUBLE>) with p entries per row (p <= ~30). Moments come
-from one aggregate per key; p x p algebra runs per key on one small row.
+A matrix is (keys, t, vec ARRAY<DOUBLE>) with p entries per row. Plans work on whole arrays, so their size does not
+grow with p squared; moments are sums per key taken before the shuffle, p x p algebra runs per key on one small row.
 """
 
 from __future__ import annotations
@@ -45,21 +45,23 @@ def _means(matrix: DataFrame, p: int, keys, t) -> DataFrame:
     )
 
 
-def _scaled(p: int) -> list[Column]:
-    scale = lambda i: F.when(F.get("scale", F.lit(i)) > 0, F.get("scale", F.lit(i))).otherwise(1.0)
-    return [(_entry(i) - F.get("mean", F.lit(i))) / scale(i) for i in range(p)]
+def _scaled() -> Column:
+    centred = F.zip_with("vec", "mean", lambda x, m: x - m)
+    return F.zip_with(centred, "scale", lambda x, s: x / F.when(s > 0, s).otherwise(1.0))
 
 
 def standardise(matrix: DataFrame, p: int, *, keys=KEYS, t="t") -> DataFrame:
     """RED-1: zero mean and unit population standard deviation per column; constant columns become 0."""
-    return attach(matrix, _means(matrix, p, keys, t), keys=keys, t=t).select(*keys, t, F.array(*_scaled(p)).alias("vec"))
+    return attach(matrix, _means(matrix, p, keys, t), keys=keys, t=t).select(*keys, t, _scaled().alias("vec"))
 
 
-def _dot(weights: str, row: int, values: list[Column]) -> Column:
-    out = F.get(F.get(weights, F.lit(row)), F.lit(0)) * values[0]
-    for j in range(1, len(values)):
-        out = out + F.get(F.get(weights, F.lit(row)), F.lit(j)) * values[j]
-    return out
+def _dot(weights: Column, values: Column | str) -> Column:
+    return F.aggregate(F.zip_with(weights, values, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+
+def _times(matrix: str, values: Column | str) -> Column:
+    """Product of an array of rows with a vector."""
+    return F.transform(matrix, lambda row: _dot(row, values))
 
 
 def pca_model(matrix: DataFrame, p: int, k: int | None = None, *, keys=KEYS, t="t") -> DataFrame:
@@ -73,18 +75,18 @@ def pca_model(matrix: DataFrame, p: int, k: int | None = None, *, keys=KEYS, t="
         raise ValueError("k must be between 1 and p")
     stats = _means(matrix, p, keys, t)
     rows = attach(matrix, stats, keys=keys, t=t)
-    z = _scaled(p)
-    zs = rows.select(*keys, t, "mean", "scale", F.array(*z).alias("vec"))
-    cov = [F.covar_pop(_entry(i), _entry(j)) for i in range(p) for j in range(p) if j >= i]
-    g = zs.groupBy(*keys).agg(F.array(*cov).alias("cov"), F.first("mean").alias("mean"), F.first("scale").alias("scale"), F.max(t).alias("_last"))
+    zs = rows.select(*keys, _scaled().alias("vec"))
+    each = zs.select(*keys, "vec", F.posexplode("vec").alias("_i", "_x"))
+    lines = each.groupBy(*keys, "_i").agg(F.array(*[F.avg(F.col("_x") * _entry(j)) for j in range(p)]).alias("_line"))
+    g = lines.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_line"))), lambda r: r["_line"])).alias("cov"))
+    g = g.join(stats, list(keys))
 
     @F.pandas_udf("unmix array<array<double>>, mix array<array<double>>, ratio array<double>, vals array<double>")
     def solve(cov: pd.Series) -> pd.DataFrame:
         out = []
         for flat in cov:
-            m = np.zeros((p, p))
-            m[np.triu_indices(p)] = flat
-            m = m + np.triu(m, 1).T
+            m = np.asarray(flat, dtype=float).reshape(p, p)
+            m = (m + m.T) / 2
             vals, vecs = np.linalg.eigh(m)
             order = np.argsort(-vals, kind="stable")
             vals, vecs = np.maximum(vals[order], 0.0), vecs[:, order].T
@@ -99,18 +101,14 @@ def pca_model(matrix: DataFrame, p: int, k: int | None = None, *, keys=KEYS, t="
 def transform(matrix: DataFrame, model: DataFrame, p: int, k: int, *, keys=KEYS, t="t") -> DataFrame:
     """Scores of a PCA or ICA model: (keys, t, vec of length k)."""
     rows = attach(matrix, model.select(*keys, "_last", "mean", "scale", "unmix"), keys=keys, t=t)
-    z = _scaled(p)
-    return rows.select(*keys, t, F.array(*[_dot("unmix", i, z) for i in range(k)]).alias("vec"))
+    return rows.withColumn("_z", _scaled()).select(*keys, t, _times("unmix", "_z").alias("vec"))
 
 
 def inverse(scores: DataFrame, model: DataFrame, p: int, k: int, *, keys=KEYS, t="t") -> DataFrame:
     """RED-4: back to the original columns and units."""
     rows = attach(scores, model.select(*keys, "_last", "mean", "scale", "mix"), keys=keys, t=t)
-    v = [_entry(i) for i in range(k)]
-    return rows.select(
-        *keys, t,
-        F.array(*[_dot("mix", j, v) * F.get("scale", F.lit(j)) + F.get("mean", F.lit(j)) for j in range(p)]).alias("vec"),
-    )
+    back = F.zip_with(_times("mix", "vec"), "scale", lambda x, s: x * s)
+    return rows.select(*keys, t, F.zip_with(back, "mean", lambda x, m: x + m).alias("vec"))
 
 
 def explained(model: DataFrame, *, keys=KEYS) -> DataFrame:
@@ -131,13 +129,8 @@ def ica_model(
     """
     base = pca_model(matrix, p, k, keys=keys, t=t)
     rows = attach(matrix, base.select(*keys, "_last", "mean", "scale", "unmix", "vals"), keys=keys, t=t)
-    z0 = _scaled(p)
-    white = cut(
-        rows.select(
-            *keys, t,
-            F.array(*[_dot("unmix", i, z0) / F.sqrt(F.greatest(F.get("vals", F.lit(i)), F.lit(1e-12))) for i in range(k)]).alias("vec"),
-        )
-    )
+    scores = rows.withColumn("_z", _scaled()).select(*keys, t, "vals", _times("unmix", "_z").alias("vec"))
+    white = cut(scores.select(*keys, t, F.zip_with("vec", "vals", lambda x, v: x / F.sqrt(F.greatest(v, F.lit(1e-12)))).alias("vec")))
     start = np.random.default_rng(seed).standard_normal((k, k))
 
     def decorrelate(w: np.ndarray) -> np.ndarray:
@@ -163,7 +156,7 @@ def ica_model(
 
     for _ in range(max_rounds):
         r = attach(white, state.where(F.col("move") >= tol), keys=keys, t=t)
-        r = r.select(*keys, "vec", *[F.tanh(_dot("w", i, z)).alias(f"_g{i}") for i in range(k)])
+        r = r.select(*keys, "vec", *[F.tanh(_dot(F.get("w", F.lit(i)), "vec")).alias(f"_g{i}") for i in range(k)])
         sums = r.groupBy(*keys).agg(
             F.array(*[F.avg(F.col(f"_g{i}") * z[j]) for i in range(k) for j in range(k)]).alias("eg"),
             F.array(*[F.avg(1 - F.col(f"_g{i}") * F.col(f"_g{i}")) for i in range(k)]).alias("ed"),

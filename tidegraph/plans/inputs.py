@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.core import cut
+from tidegraph.layout import ordered_position
+from tidegraph.operators.graphs import horizontal_visibility
 from tidegraph.sources.readers import load_series
 
 UNIT = 10000.0
@@ -41,6 +44,19 @@ def ship_series(spark: SparkSession, folder: str) -> DataFrame:
     return load_series(ship_daily(spark, folder), "ts", "x", "l_returnflag")
 
 
+def user_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one graph a user: all events of the user in order of time, and the horizontal visibility
+    edges among those of each event type; the types are separate components."""
+    e = table(spark, folder, "events").select(F.col("user_id").cast("string").alias("series_id"), "event_type", "ts", "event_id", F.col("value").alias("x"))
+    e = ordered_position(e, ["ts", "event_id"], name="node")
+    kind = ("series_id", "event_type")
+    e = cut(ordered_position(e, ["ts", "event_id"], keys=kind, name="t"))
+    edges = horizontal_visibility(e.select(*kind, "t", "x"), keys=kind)
+    place = e.select(*kind, "t", "node")
+    edges = edges.join(place.toDF(*kind, "src", "a"), [*kind, "src"]).join(place.toDF(*kind, "dst", "b"), [*kind, "dst"])
+    return e.select("series_id", "node"), cut(edges.select("series_id", F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
 def order_daily(spark: SparkSession, folder: str) -> DataFrame:
     g = table(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").alias("ts"))
     return g.agg((F.round(F.sum("o_totalprice"), 2) / UNIT).alias("x"))
@@ -51,10 +67,10 @@ def order_series(spark: SparkSession, folder: str) -> DataFrame:
     return load_series(order_daily(spark, folder), "ts", "x", "series_id")
 
 
-def embedding_matrix(spark: SparkSession, folder: str, p: int = 8) -> DataFrame:
-    """First p coordinates of every vector as one matrix."""
+def embedding_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors as one matrix."""
     e = table(spark, folder, "embeddings")
-    vec = F.transform(F.slice("embedding", 1, p), lambda v: v.cast("double"))
+    vec = F.transform("embedding", lambda v: v.cast("double"))
     return e.select(F.lit("vectors").alias("series_id"), F.col("vec_id").alias("t"), vec.alias("vec"))
 
 

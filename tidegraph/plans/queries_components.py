@@ -339,8 +339,8 @@ def compare_methods_wide(spark, d):
 
 
 # ---------------------------------------------------------------- reduction
-EMB_SQL = """m AS MATERIALIZED (SELECT vec_id AS t, j, embedding[j]::DOUBLE AS x FROM embeddings, range(1, 9) r(j))"""
-P = 8
+EMB_SQL = """m AS MATERIALIZED (SELECT vec_id AS t, j, embedding[j]::DOUBLE AS x FROM embeddings, range(1, 65) r(j))"""
+P = 64
 
 
 @query(
@@ -348,26 +348,26 @@ P = 8
     f"""WITH {EMB_SQL}, s AS (SELECT j, avg(x) AS mu, stddev_pop(x) AS sd FROM m GROUP BY 1) SELECT t, CAST(j AS INTEGER) AS idx, round((x - mu) / sd, 6) + 0.0 AS x FROM m JOIN s USING (j)""",
 )
 def standardise(spark, d):
-    z = R.as_components(R.standardise(embedding_matrix(spark, d, P), P))
+    z = R.as_components(R.standardise(embedding_matrix(spark, d), P))
     return rounded(z.select("t", "idx", "x"))
 
 
 @query("pca_scores")
 def pca_scores(spark, d):
-    m = embedding_matrix(spark, d, P)
+    m = embedding_matrix(spark, d)
     model = R.pca_model(m, P, 3)
     return rounded(R.as_components(R.transform(m, model, P, 3)).select("t", "idx", "x"))
 
 
 @query("pca_explained")
 def pca_explained(spark, d):
-    return rounded(R.explained(R.pca_model(embedding_matrix(spark, d, P), P)))
+    return rounded(R.explained(R.pca_model(embedding_matrix(spark, d), P)))
 
 
 @query("pca_full_reconstruction", f"WITH {EMB_SQL} SELECT t, CAST(j AS INTEGER) AS idx, round(x, 6) + 0.0 AS x FROM m")
 def pca_full_reconstruction(spark, d):
     """With k = p the inverse map gives the input back."""
-    m = embedding_matrix(spark, d, P)
+    m = embedding_matrix(spark, d)
     model = R.pca_model(m, P, P)
     back = R.inverse(R.transform(m, model, P, P), model, P, P)
     return rounded(R.as_components(back).select("t", "idx", "x"))
@@ -379,7 +379,7 @@ def pca_full_reconstruction(spark, d):
       SELECT 'vectors' AS series_id, round(sqrt(sum(res) / sum(n)), 6) AS rmse, round(sqrt(sum(res)) / sqrt(sum(ss)), 6) AS frobenius, round(avg(1 - res / tot), 6) AS r2_mean FROM c""",
 )
 def reconstruction_metrics(spark, d):
-    m = embedding_matrix(spark, d, P)
+    m = embedding_matrix(spark, d)
     hat = m.withColumn("vec", F.transform("vec", lambda v: v * 0.9))
     return rounded(R.reconstruction_metrics(R.reconstruction_by_column(m, hat, P)))
 
@@ -389,26 +389,27 @@ def reconstruction_metrics(spark, d):
     f"""WITH {EMB_SQL} SELECT 'vectors' AS series_id, CAST(j AS INTEGER) AS "column", round(1 - sum((0.1 * x) * (0.1 * x)) / (var_pop(x) * count(*)), 6) AS r2, round(sqrt(avg((0.1 * x) * (0.1 * x))), 6) AS rmse FROM m GROUP BY j""",
 )
 def reconstruction_by_column(spark, d):
-    m = embedding_matrix(spark, d, P)
+    m = embedding_matrix(spark, d)
     hat = m.withColumn("vec", F.transform("vec", lambda v: v * 0.9))
     return rounded(R.reconstruction_by_column(m, hat, P).drop("ss_res", "ss", "n"))
 
 
 @query("ica_sources")
 def ica_sources(spark, d):
-    m = embedding_matrix(spark, d, P)
+    m = embedding_matrix(spark, d)
     model = R.ica_model(m, P, 3, max_rounds=20)
     return rounded(R.as_components(R.transform(m, model, P, 3)).select("t", "idx", "x"))
 
 
 @query("ica_grid")
 def ica_grid(spark, d):
-    return rounded(R.ica_grid(embedding_matrix(spark, d, 5), 5, max_rounds=10))
+    first = embedding_matrix(spark, d).withColumn("vec", F.slice("vec", 1, 5))
+    return rounded(R.ica_grid(first, 5, max_rounds=10))
 
 
 @query("reduction_report")
 def reduction_report(spark, d):
-    m = embedding_matrix(spark, d, P)
+    m = embedding_matrix(spark, d)
     model = R.ica_model(m, P, 3, max_rounds=20)
     return rounded(R.reduction_report(R.as_components(m), R.as_components(R.transform(m, model, P, 3))))
 

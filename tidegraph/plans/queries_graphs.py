@@ -11,7 +11,7 @@ from tidegraph.operators import graphs as G
 from tidegraph.operators import metrics as M
 from tidegraph.operators import shape as S
 from tidegraph.plans import registry
-from tidegraph.plans.inputs import SQL_EVENT, SQL_HOUR, SQL_USER, event_series, hour_series, user_series
+from tidegraph.plans.inputs import SQL_EVENT, SQL_HOUR, SQL_USER, event_series, hour_series, user_graph, user_series
 from tidegraph.plans.queries_series import rounded
 from tidegraph.plans.queries_tests import sql_fnn, sql_mi
 
@@ -115,12 +115,10 @@ def neighbourhood_mean(spark, d):
     return rounded(h.select("series_id", "node", F.get("features", F.lit(0)).alias("x")))
 
 
-# a disconnected graph: visibility edges between the points of at least 30, renumbered
+# visibility edges between the points of at least 30, renumbered
 SUB_SQL = f"""{SQL_USER}, {HVG_BY_DEFINITION.format(src='s_user')},
   kept AS MATERIALIZED (SELECT series_id, t, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS node FROM s_user WHERE x >= 30),
-  e AS MATERIALIZED (SELECT h.series_id, a.node AS src, b.node AS dst FROM hvg h JOIN kept a ON a.series_id = h.series_id AND a.t = h.src JOIN kept b ON b.series_id = h.series_id AND b.t = h.dst),
-  arc AS MATERIALIZED (SELECT series_id, src, dst FROM e UNION ALL SELECT series_id, dst, src FROM e),
-  size AS MATERIALIZED (SELECT series_id, count(*) AS n FROM kept GROUP BY 1)"""
+  e AS MATERIALIZED (SELECT h.series_id, a.node AS src, b.node AS dst FROM hvg h JOIN kept a ON a.series_id = h.series_id AND a.t = h.src JOIN kept b ON b.series_id = h.series_id AND b.t = h.dst)"""
 
 
 def user_subgraph(spark, d):
@@ -146,13 +144,23 @@ def edges_within(spark, d):
     return S.edges_within(G.horizontal_visibility(s), s.where("x >= 30").select("series_id", F.col("t").alias("node")))
 
 
+# a disconnected graph over all events: visibility edges among the events of each type of a user
+GRAPH_SQL = f"""kept AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS series_id, event_type, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS node,
+    row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS t FROM events),
+  kinds AS MATERIALIZED (SELECT series_id || '|' || event_type AS series_id, t, x FROM kept), {HVG_BY_DEFINITION.format(src='kinds')},
+  e AS MATERIALIZED (SELECT a.series_id, a.node AS src, b.node AS dst FROM hvg h JOIN kept a ON a.series_id || '|' || a.event_type = h.series_id AND a.t = h.src
+    JOIN kept b ON b.series_id || '|' || b.event_type = h.series_id AND b.t = h.dst),
+  arc AS MATERIALIZED (SELECT series_id, src, dst FROM e UNION ALL SELECT series_id, dst, src FROM e),
+  size AS MATERIALIZED (SELECT series_id, count(*) AS n FROM kept GROUP BY 1)"""
+
+
 @query(
     "size_metrics",
-    f"""WITH {SUB_SQL} SELECT s.series_id, n, count(src) AS m, round(2.0 * count(src) / (n * (n - 1)), 6) AS density, round(2.0 * count(src) / n, 6) AS mean_degree
+    f"""WITH {GRAPH_SQL} SELECT s.series_id, n, count(src) AS m, round(2.0 * count(src) / (n * (n - 1)), 6) AS density, round(2.0 * count(src) / n, 6) AS mean_degree
       FROM size s LEFT JOIN e USING (series_id) GROUP BY s.series_id, n""",
 )
 def size_metrics(spark, d):
-    return rounded(M.size_metrics(*user_subgraph(spark, d)))
+    return rounded(M.size_metrics(*user_graph(spark, d)))
 
 
 DEG_SQL = "deg AS MATERIALIZED (SELECT k.series_id, k.node, count(arc.dst) AS degree FROM kept k LEFT JOIN arc ON arc.series_id = k.series_id AND arc.src = k.node GROUP BY ALL)"
@@ -160,28 +168,28 @@ DEG_SQL = "deg AS MATERIALIZED (SELECT k.series_id, k.node, count(arc.dst) AS de
 
 @query(
     "degree_metrics",
-    f"""WITH {SUB_SQL}, {DEG_SQL} SELECT series_id, min(degree) AS degree_min, max(degree) AS degree_max, round(avg(degree), 6) AS degree_mean,
+    f"""WITH {GRAPH_SQL}, {DEG_SQL} SELECT series_id, min(degree) AS degree_min, max(degree) AS degree_max, round(avg(degree), 6) AS degree_mean,
       round(stddev_pop(degree), 6) AS degree_std, round(median(degree), 6) AS degree_median FROM deg GROUP BY 1""",
 )
 def degree_metrics(spark, d):
-    return rounded(M.degree_metrics(*user_subgraph(spark, d)).withColumn("degree_median", F.col("degree_median").cast("double")))
+    return rounded(M.degree_metrics(*user_graph(spark, d)).withColumn("degree_median", F.col("degree_median").cast("double")))
 
 
 @query(
     "degree_centrality",
-    f"WITH {SUB_SQL}, {DEG_SQL} SELECT series_id, node, round(degree / (n - 1), 6) AS centrality FROM deg JOIN size USING (series_id)",
+    f"WITH {GRAPH_SQL}, {DEG_SQL} SELECT series_id, node, round(degree / (n - 1), 6) AS centrality FROM deg JOIN size USING (series_id)",
 )
 def degree_centrality(spark, d):
-    return rounded(M.degree_centrality(*user_subgraph(spark, d)))
+    return rounded(M.degree_centrality(*user_graph(spark, d)))
 
 
 @query(
     "degree_histogram",
-    f"""WITH {SUB_SQL}, {DEG_SQL}, s AS (SELECT min(degree) AS lo, max(degree) AS hi FROM deg)
+    f"""WITH {GRAPH_SQL}, {DEG_SQL}, s AS (SELECT min(degree) AS lo, max(degree) AS hi FROM deg)
       SELECT 'all' AS panel, CAST(least(floor((degree - lo) * 1.0::DOUBLE / (hi - lo) * 10), 9) AS INTEGER) AS bin, count(*) AS count FROM deg, s GROUP BY ALL""",
 )
 def degree_histogram(spark, d):
-    deg = M.degrees(*user_subgraph(spark, d)).withColumn("panel", F.lit("all")).withColumn("degree", F.col("degree").cast("double"))
+    deg = M.degrees(*user_graph(spark, d)).withColumn("panel", F.lit("all")).withColumn("degree", F.col("degree").cast("double"))
     return A.histogram(deg, "degree", 10, keys=("panel",), t="node")
 
 
@@ -189,17 +197,17 @@ LABEL_SQL = """reach AS (SELECT series_id, node AS s, node AS v FROM kept UNION
   lab AS MATERIALIZED (SELECT series_id, s AS node, min(v) AS label, count(*) AS sz FROM reach GROUP BY ALL)"""
 
 
-@query("connected_components", f"WITH RECURSIVE {SUB_SQL}, {LABEL_SQL} SELECT series_id, node, label FROM lab")
+@query("connected_components", f"WITH RECURSIVE {GRAPH_SQL}, {LABEL_SQL} SELECT series_id, node, label FROM lab")
 def connected_components(spark, d):
-    return M.component_labels(*user_subgraph(spark, d))
+    return M.component_labels(*user_graph(spark, d))
 
 
 @query(
     "component_metrics",
-    f"""WITH RECURSIVE {SUB_SQL}, {LABEL_SQL} SELECT series_id, count(DISTINCT label) AS components, max(sz) AS largest FROM lab GROUP BY 1""",
+    f"""WITH RECURSIVE {GRAPH_SQL}, {LABEL_SQL} SELECT series_id, count(DISTINCT label) AS components, max(sz) AS largest FROM lab GROUP BY 1""",
 )
 def component_metrics(spark, d):
-    return M.component_metrics(M.component_labels(*user_subgraph(spark, d)))
+    return M.component_metrics(M.component_labels(*user_graph(spark, d)))
 
 
 CLUST_SQL = f"""{DEG_SQL}, tri AS (SELECT a.series_id, a.src AS node, count(*) AS t FROM arc a JOIN arc b ON b.series_id = a.series_id AND b.src = a.src AND b.dst > a.dst
@@ -208,18 +216,18 @@ CLUST_SQL = f"""{DEG_SQL}, tri AS (SELECT a.series_id, a.src AS node, count(*) A
     FROM deg d LEFT JOIN tri ON tri.series_id = d.series_id AND tri.node = d.node)"""
 
 
-@query("clustering", f"WITH {SUB_SQL}, {CLUST_SQL} SELECT series_id, node, round(clustering, 6) AS clustering FROM clust")
+@query("clustering", f"WITH {GRAPH_SQL}, {CLUST_SQL} SELECT series_id, node, round(clustering, 6) AS clustering FROM clust")
 def clustering(spark, d):
-    return rounded(M.clustering(*user_subgraph(spark, d)))
+    return rounded(M.clustering(*user_graph(spark, d)))
 
 
 @query(
     "clustering_distribution",
-    f"""WITH {SUB_SQL}, {CLUST_SQL} SELECT series_id, round(avg(clustering), 6) AS clustering_mean, round(min(clustering), 6) AS clustering_min, round(max(clustering), 6) AS clustering_max,
+    f"""WITH {GRAPH_SQL}, {CLUST_SQL} SELECT series_id, round(avg(clustering), 6) AS clustering_mean, round(min(clustering), 6) AS clustering_min, round(max(clustering), 6) AS clustering_max,
       round(stddev_pop(clustering), 6) AS clustering_std, round(median(clustering), 6) AS clustering_median FROM clust GROUP BY 1""",
 )
 def clustering_distribution(spark, d):
-    return rounded(M.distribution(M.clustering(*user_subgraph(spark, d)), "clustering"))
+    return rounded(M.distribution(M.clustering(*user_graph(spark, d)), "clustering"))
 
 
 BFS_SQL = """bfs(series_id, s, v, d) USING KEY (series_id, s, v) AS (SELECT series_id, node, node, 0 FROM kept
@@ -230,10 +238,10 @@ BFS_SQL = """bfs(series_id, s, v, d) USING KEY (series_id, s, v) AS (SELECT seri
 
 @query(
     "distance_counts",
-    f"WITH RECURSIVE {SUB_SQL}, {BFS_SQL} SELECT series_id, s AS source, d, count(*) AS cnt FROM dist WHERE d > 0 GROUP BY ALL",
+    f"WITH RECURSIVE {GRAPH_SQL}, {BFS_SQL} SELECT series_id, s AS source, d, count(*) AS cnt FROM dist WHERE d > 0 GROUP BY ALL",
 )
 def distance_counts(spark, d):
-    return M.distance_counts(*user_subgraph(spark, d))
+    return M.distance_counts(*user_graph(spark, d))
 
 
 BIG_SQL = """big AS MATERIALIZED (SELECT series_id, s AS node, min(v) AS label, count(*) AS sz FROM dist GROUP BY ALL),
@@ -242,11 +250,11 @@ BIG_SQL = """big AS MATERIALIZED (SELECT series_id, s AS node, min(v) AS label,
 
 @query(
     "distance_metrics",
-    f"""WITH RECURSIVE {SUB_SQL}, {BFS_SQL}, {BIG_SQL}, ecc AS (SELECT c.series_id, c.node, max(d) AS e FROM core c JOIN dist ON dist.series_id = c.series_id AND dist.s = c.node GROUP BY ALL)
+    f"""WITH RECURSIVE {GRAPH_SQL}, {BFS_SQL}, {BIG_SQL}, ecc AS (SELECT c.series_id, c.node, max(d) AS e FROM core c JOIN dist ON dist.series_id = c.series_id AND dist.s = c.node GROUP BY ALL)
       SELECT series_id, false AS distances_skipped, max(e) AS diameter, min(e) AS radius, round(avg(e), 6) AS ecc_mean FROM ecc GROUP BY 1""",
 )
 def distance_metrics(spark, d):
-    return rounded(M.distance_metrics(*user_subgraph(spark, d)))
+    return rounded(M.distance_metrics(*user_graph(spark, d)))
 
 
 SWEEP_SQL = """one AS (SELECT series_id, min(node) AS node FROM {src} GROUP BY 1),
@@ -256,36 +264,36 @@ SWEEP_SQL = """one AS (SELECT series_id, min(node) AS node FROM {src} GROUP BY 1
 
 @query(
     "diameter_two_sweeps",
-    f"""WITH RECURSIVE {SUB_SQL}, {BFS_SQL}, {BIG_SQL}, {SWEEP_SQL.format(src='kept')},
+    f"""WITH RECURSIVE {GRAPH_SQL}, {BFS_SQL}, {BIG_SQL}, {SWEEP_SQL.format(src='kept')},
       c1 AS (SELECT series_id, min(node) AS node, count(*) AS n FROM core GROUP BY 1),
       cf AS (SELECT o.series_id, arg_min(v, {{'d': -d, 'v': v}}) AS node FROM c1 o JOIN dist ON dist.series_id = o.series_id AND dist.s = o.node GROUP BY 1),
       c2 AS (SELECT f.series_id, max(d) AS d FROM cf f JOIN dist ON dist.series_id = f.series_id AND dist.s = f.node GROUP BY 1)
       SELECT two.series_id, CASE WHEN r = n THEN two.d END AS connected_only, c2.d AS largest FROM two JOIN size USING (series_id) JOIN c2 USING (series_id)""",
 )
 def diameter_two_sweeps(spark, d):
-    n, e = user_subgraph(spark, d)
+    n, e = user_graph(spark, d)
     a = M.two_sweep_diameter(n, e).withColumnRenamed("diameter_approx", "connected_only")
     return a.join(M.two_sweep_diameter(n, e, on="largest").withColumnRenamed("diameter_approx", "largest"), "series_id")
 
 
 @query(
     "closeness",
-    f"""WITH RECURSIVE {SUB_SQL}, {BFS_SQL} SELECT dist.series_id, s AS node, round(CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d)::DOUBLE * (count(*) - 1) / (any_value(n) - 1) ELSE 0 END, 6) AS closeness
+    f"""WITH RECURSIVE {GRAPH_SQL}, {BFS_SQL} SELECT dist.series_id, s AS node, round(CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d)::DOUBLE * (count(*) - 1) / (any_value(n) - 1) ELSE 0 END, 6) AS closeness
       FROM dist JOIN size ON size.series_id = dist.series_id GROUP BY ALL""",
 )
 def closeness(spark, d):
-    return rounded(M.closeness(*user_subgraph(spark, d)))
+    return rounded(M.closeness(*user_graph(spark, d)))
 
 
 @query("closeness_sampled")
 def closeness_sampled(spark, d):
-    n, e = user_subgraph(spark, d)
+    n, e = user_graph(spark, d)
     return rounded(M.closeness(n, e, cut(M.hash_sample(n, 10))))
 
 
 @query(
     "betweenness",
-    f"""WITH RECURSIVE {SUB_SQL}, {BFS_SQL}, step AS MATERIALIZED (SELECT a.series_id, x.s, a.src AS u, a.dst AS v FROM dist x JOIN arc a ON a.series_id = x.series_id AND a.src = x.v
+    f"""WITH RECURSIVE {GRAPH_SQL}, {BFS_SQL}, step AS MATERIALIZED (SELECT a.series_id, x.s, a.src AS u, a.dst AS v FROM dist x JOIN arc a ON a.series_id = x.series_id AND a.src = x.v
         JOIN dist y ON y.series_id = x.series_id AND y.s = x.s AND y.v = a.dst WHERE y.d = x.d + 1),
       path AS (SELECT series_id, node AS s, node AS v FROM kept UNION ALL SELECT p.series_id, p.s, t.v FROM path p JOIN step t ON t.series_id = p.series_id AND t.s = p.s AND t.u = p.v),
       sg AS MATERIALIZED (SELECT p.series_id, p.s, p.v, any_value(dist.d) AS d, count(*)::DOUBLE AS c FROM path p JOIN dist ON dist.series_id = p.series_id AND dist.s = p.s AND dist.v = p.v GROUP BY ALL),
@@ -294,12 +302,12 @@ def closeness_sampled(spark, d):
       SELECT k.series_id, k.node, round(coalesce(b / ((n - 1) * (n - 2)), 0), 6) AS betweenness FROM kept k JOIN size USING (series_id) LEFT JOIN b ON b.series_id = k.series_id AND b.node = k.node""",
 )
 def betweenness(spark, d):
-    return rounded(M.betweenness(*user_subgraph(spark, d)))
+    return rounded(M.betweenness(*user_graph(spark, d)))
 
 
 @query("betweenness_sampled")
 def betweenness_sampled(spark, d):
-    n, e = user_subgraph(spark, d)
+    n, e = user_graph(spark, d)
     return rounded(M.betweenness(n, e, cut(M.hash_sample(n, 10))))
 
 
@@ -315,20 +323,20 @@ def _power_sql(rounds: int, per: int = 5) -> str:
 
 @query(
     "eigenvector_20_steps",
-    f"WITH RECURSIVE {SUB_SQL}, {BFS_SQL}, {BIG_SQL}, {_power_sql(20)} SELECT series_id, node, round(v, 6) AS eigenvector FROM p20",
+    f"WITH RECURSIVE {GRAPH_SQL}, {BFS_SQL}, {BIG_SQL}, {_power_sql(20)} SELECT series_id, node, round(v, 6) AS eigenvector FROM p20",
 )
 def eigenvector_20_steps(spark, d):
-    n, e = user_subgraph(spark, d)
+    n, e = user_graph(spark, d)
     core = cut(M.largest_component(M.component_labels(n, e)))
     return rounded(M.eigenvector(core, S.edges_within(e, core), rounds=20))
 
 
 @query(
     "node_summary",
-    f"""WITH {SUB_SQL}, {CLUST_SQL} SELECT series_id, round(avg(clustering), 6) AS clustering_mean, round(max(clustering), 6) AS clustering_max FROM clust GROUP BY 1""",
+    f"""WITH {GRAPH_SQL}, {CLUST_SQL} SELECT series_id, round(avg(clustering), 6) AS clustering_mean, round(max(clustering), 6) AS clustering_max FROM clust GROUP BY 1""",
 )
 def node_summary(spark, d):
-    return rounded(A.node_summary(M.clustering(*user_subgraph(spark, d)), "clustering"))
+    return rounded(A.node_summary(M.clustering(*user_graph(spark, d)), "clustering"))
 
 
 KIND_SQL = f"""{SQL_HOUR}, {HVG_BY_RUN.format(src='s_hour')}, {NVG_BY_RUN.format(src='s_hour')}, n AS (SELECT series_id, count(*) AS n FROM s_hour GROUP BY 1),

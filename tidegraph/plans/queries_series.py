@@ -578,13 +578,13 @@ def embedding_dispersion(spark, d):
 
 @query(
     "readout",
-    """WITH v AS (SELECT label, unnest(embedding[1:4])::DOUBLE AS v, unnest(range(0, 4)) AS f FROM embeddings)
+    """WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(0, 64)) AS f FROM embeddings)
       SELECT label, CAST(f AS INTEGER) AS feature, round(sum(v), 6) + 0.0 AS sum, round(avg(v), 6) + 0.0 AS mean, round(quantile_disc(v, 0.5), 6) + 0.0 AS median, round(max(v), 6) + 0.0 AS max,
         round(product(v), 6) + 0.0 AS mul, round(stddev_pop(v), 6) AS std, round(var_pop(v), 6) AS var FROM v GROUP BY ALL""",
 )
 def readout(spark, d):
     e = table(spark, d, "embeddings")
-    n = e.select("label", F.col("vec_id").alias("node"), F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("features"))
+    n = e.select("label", F.col("vec_id").alias("node"), F.transform("embedding", lambda v: v.cast("double")).alias("features"))
     return rounded(A.readout(n, keys=("label",)))
 
 
