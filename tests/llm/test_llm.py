@@ -272,6 +272,26 @@ def test_lm_scores(spark, odd, empty, monkeypatch):
     assert lm_scoring.score_documents(empty).count() == 0
 
 
+def test_lm_trains_every_window(spark):
+    class Seen:
+        calls, steps = [], 0
+
+        def learn(self, inputs, words, real, state, rate):
+            self.calls.append((words[real].tolist(), state.copy()))
+            self.steps += 1
+            return np.full(state.shape, self.steps, np.float32)
+
+    rows = [np.arange(100 * i, 100 * i + n) for i, n in enumerate((3, 32, 33, 100), 1)]
+    seen = Seen()
+    assert lm_scoring.learn_rows(seen, rows, 0, 0.1) == 168
+    assert sorted(w for words, _ in seen.calls for w in words) == sorted(np.concatenate(rows))
+    assert [set(state.ravel()) for _, state in seen.calls] == [{0.0}, {1.0}, {2.0}, {3.0}]  # carried, not started anew
+    # one partition, fewer than 8 chunks, all texts in one window
+    train = spark.createDataFrame([(i, "the old harbour was closed at night") for i in range(40)], "doc_id long, text string").coalesce(1)
+    vocab = lm_scoring.vocabulary(lm_scoring.word_counts(train))
+    assert not np.array_equal(lm_scoring.train_model(train, vocab), vocab.new_model().flat())
+
+
 def test_bpe(spark, odd, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     tokens = bpe.load_ranks(path)

@@ -78,14 +78,15 @@ class Gru:
             out[rows] += inner[np.arange(len(rows)), words[rows] - begin] - np.log(np.exp(inner).sum(axis=1))
         return out
 
-    def learn(self, inputs: np.ndarray, words: np.ndarray, real: np.ndarray, state: np.ndarray, rate: float) -> None:
-        """One step on a window (step by row), back through the window only; ``real`` marks words, not padding."""
+    def learn(self, inputs: np.ndarray, words: np.ndarray, real: np.ndarray, state: np.ndarray, rate: float) -> np.ndarray:
+        """One step on a window (step by row), back through the window only; ``real`` marks words, not padding. Gives
+        the state behind the window, as before the step."""
         p, h, keep = self.p, self.hidden, []
         x = p["emb"][inputs]
-        states, _ = self.forward(x @ p["wx"] + p["b"], state, keep)
+        states, last = self.forward(x @ p["wx"] + p["b"], state, keep)
         t, i = np.nonzero(real)
         if not len(t):
-            return
+            return last
         s, w = states[t, i], words[t, i]
         cls, rows = self.cls[w], np.arange(len(w))
         g = {k: np.zeros_like(v) for k, v in p.items()}
@@ -122,6 +123,7 @@ class Gru:
         for j in range(h):
             g["emb"][:, j] = np.bincount(inputs.ravel(), dx[:, j], minlength=len(p["emb"]))
         self._step(g, len(t), rate)
+        return last
 
     def _step(self, g: dict, n: int, rate: float) -> None:
         """Adam on the mean gradient."""

@@ -3,8 +3,9 @@
 Word counts cover all training documents. The most frequent words (at most ``MODEL_WORDS``) are the model's; any other
 word is the model's unknown word times its share in the smoothed unigrams, so every text has a proper probability. Training
 is local steps with averaging: in each round every partition of a part of the training documents starts from the same
-weights and takes truncated backpropagation steps on every ``STRIDE``-th window of 32 words (state warmed up on the window before), then
-the weights are averaged by Spark, by trained words. Scoring carries the state across the windows of a document to its end.
+weights and takes truncated backpropagation steps on every window of 32 words of every document (the state is carried from
+window to window, gradients are not), then the weights are averaged by Spark, by trained words. Scoring carries the state
+across the windows of a document to its end in the same way.
 Counts of the ``HEAD`` most frequent words go to the workers; rarer words are joined with the counts by Spark.
 """
 
@@ -26,7 +27,6 @@ HEAD = 150_000
 MODEL_WORDS = 4095
 CLASSES = 64
 ROUNDS = 2
-STRIDE = 8
 TRAIN_ROWS = 128
 SCORE_ROWS = 4096
 PIECE = 16_384
@@ -134,6 +134,18 @@ class Rows:
         return np.where(real, self.flat[np.where(real, self.offsets[:n] + t, 0)], self.first), real
 
 
+def learn_rows(model: Gru, rows: list[np.ndarray], first: int, rate: float) -> int:
+    """A step on each window of ``rows``, the state carried over all windows of a row; words trained."""
+    part, trained = Rows(rows, first), 0
+    state = np.zeros((len(rows), HIDDEN), np.float32)
+    for begin in range(0, int(part.lengths[0]), WINDOW):
+        n = part.longer(begin)
+        target, real = part.window(begin, n)
+        state = model.learn(part.window(begin - 1, n)[0], target, real, state[:n], rate)
+        trained += int(real.sum())
+    return trained
+
+
 def train_model(train: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Weights of the model after ``rounds`` rounds, each over its own part of ``train`` (columns doc_id, text)."""
     sc = train.sparkSession.sparkContext
@@ -145,21 +157,12 @@ def train_model(train: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np
 
         def learn(batches: Iterator[pd.DataFrame], start=start, rate=rate) -> Iterator[pd.DataFrame]:
             v = words.value
-            model, trained, chunk = v.new_model().load(start.value), 0, 0
+            model, trained = v.new_model().load(start.value), 0
             first = int(v.model[v.end])
             for batch in filled(batches):
                 rows = sorted((v.model[v.places(text)[0]] for text in batch["text"]), key=len, reverse=True)
                 for k in range(0, len(rows), TRAIN_ROWS):
-                    part = Rows(rows[k : k + TRAIN_ROWS], first)
-                    chunk += 1
-                    for begin in range(chunk % STRIDE * WINDOW, int(part.lengths[0]), STRIDE * WINDOW):
-                        n = part.longer(begin)
-                        state = np.zeros((n, HIDDEN), np.float32)
-                        if begin:
-                            _, state = model.forward(model.projected()[part.window(begin - WINDOW - 1, n)[0]], state)
-                        target, real = part.window(begin, n)
-                        model.learn(part.window(begin - 1, n)[0], target, real, state, rate)
-                        trained += int(real.sum())
+                    trained += learn_rows(model, rows[k : k + TRAIN_ROWS], first, rate)
             if trained:
                 yield pd.DataFrame({"weights": [model.flat().tolist()], "n": [trained]})
 
