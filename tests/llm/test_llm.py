@@ -218,6 +218,19 @@ def test_near_groups(spark, odd, empty, monkeypatch):
     assert kept.columns == odd.columns and near_dedup.near_groups(empty).count() == 0
 
 
+def test_near_pairs_with_unlike_signatures(spark):
+    hashing, rows = near_dedup.MinMax(), []
+    for seed in (6627, 9305, 9496):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(102)]
+        pair = [" ".join(words), " ".join(words[:87])]  # 85 of 100 shingles: exactly at the threshold
+        x, y = (hashing.values(near_dedup.shingle_set(t, 3)) for t in pair)
+        assert (x == y).mean() < 0.745  # an estimate with a slack of 0.1 drops the pair
+        rows += [(2 * seed, pair[0]), (2 * seed + 1, pair[1])]
+    got = near_dedup.near_groups(documents(spark, rows), 3, Fraction(85, 100)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 500)]
     got = near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()

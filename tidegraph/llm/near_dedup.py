@@ -2,11 +2,12 @@
 
 Each permutation of the shingle hashes gives two signature values, its minimum and its maximum, so 80 permutations make
 160 values in 32 bands of 5. Equal shingle sets become one node first. In each bucket of a band every node is compared
-with one centre, the node first in hash order, never with all others; a signature estimate well below the threshold
-rules a pair out, the full shingle sets confirm the rest. Connected components follow. Buckets whose nodes are then in
-one component need nothing more. In the others the nodes with a partner in another component that the estimate allows
-meet again with their texts, in blocks, and all pairs across components are compared inside the task: pairs never
-become rows, and no link between components is lost to the choice of centres, however large a bucket is.
+with one centre, the node first in hash order, never with all others; the sizes of the sets rule a pair out where no
+shared part could reach the threshold, the full shingle sets decide the rest. Connected components follow. Buckets whose
+nodes are then in one component need nothing more. In the others the nodes with a partner in another component that the
+sizes allow meet again with their texts, in blocks, and all pairs across components are compared inside the task: pairs
+never become rows, and no link between components is lost to the choice of centres, however large a bucket is. A pair
+that shares a bucket is never dropped by an estimate; only a pair of which all 32 bands differ is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from tidegraph.llm.common import filled, scanned, settings, text_of, whole_rows,
 PERMUTATIONS = 80
 ROWS = 5
 BLOCK = 1024
-SLACK = 0.1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PARTS = 2048
 #: Let Spark filter the texts by a Bloom filter of the wanted ids before it shuffles them (its own default waits for 10 GB).
@@ -87,14 +87,9 @@ class MinMax:
             out = _mixed(out + parts[:, i])
         return out.view(np.int64)
 
-    @staticmethod
-    def short(values: np.ndarray) -> bytes:
-        """One byte of each value, for estimates."""
-        return (_mixed(values) >> np.uint64(56)).astype(np.uint8).tobytes()
-
 
 def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, file, row, n_shingles, digest of the set, bands and short signature of each row; written once."""
+    """doc_id, file, row, n_shingles, digest of the set and bands of each row; written once."""
     import xxhash
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,15 +100,15 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
                 s = shingle_set(text, words)
                 if len(s):
                     v = hashing.values(s)
-                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), hashing.bands(v), hashing.short(v)))
+                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), hashing.bands(v)))
                 else:
-                    rows.append((0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "short"])
+                    rows.append((0, None, None))
+            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "bands"])
             yield pd.concat([batch[["doc_id", "file", "row"]].reset_index(drop=True), out], axis=1)
 
     kind = dict(docs.dtypes)[id_col]
     rows = with_locator(docs, F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    schema = f"doc_id {kind}, file string, row long, n_shingles long, digest binary, bands array<long>, short binary"
+    schema = f"doc_id {kind}, file string, row long, n_shingles long, digest binary, bands array<long>"
     return cut(rows.mapInPandas(sign, schema))
 
 
@@ -121,24 +116,11 @@ def _order(node: Column) -> Column:
     return F.xxhash64(node, F.lit(5))
 
 
-def _short_matches(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose signatures and set sizes do not rule out a similarity of ``least``."""
-    size = nodes.select("node", "n_shingles", "short")
-    both = pairs.join(size.toDF("a", "n_a", "short_a"), "a").join(size.toDF("b", "n_b", "short_b"), "b")
-    both = both.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least)
-
-    @F.pandas_udf("double")
-    def estimate(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=float)
-        left, right = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
-        return pd.Series(_estimate((left == right).mean(axis=1)))
-
-    return both.where(estimate("short_a", "short_b") >= least - SLACK).select("a", "b")
-
-
-def _estimate(equal):
-    return (equal - 1 / 256) / (1 - 1 / 256)
+def _size_matches(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs (a, b) whose set sizes do not rule out a similarity of ``threshold``."""
+    size = nodes.select("node", "n_shingles")
+    both = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
+    return both.where(F.least("n_a", "n_b") * threshold.denominator >= F.greatest("n_a", "n_b") * threshold.numerator).select("a", "b")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, words: int, threshold: Fraction, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,36 +206,33 @@ def _sides(rows: list, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     return left, left if i == j else np.flatnonzero(owns == j)
 
 
-def _open_nodes(members: DataFrame, least: float) -> DataFrame:
-    """Rows of ``members`` with a node of another component in their bucket that signatures do not rule out.
+def _open_nodes(members: DataFrame, threshold: Fraction) -> DataFrame:
+    """Rows of ``members`` with a node of another component in their bucket that set sizes do not rule out.
 
-    ``members``: key, node, component, n_shingles, short, m (nodes of the bucket). A bucket of more than BLOCK nodes is
+    ``members``: key, node, component, n_shingles, m (nodes of the bucket). A bucket of more than BLOCK nodes is
     split into blocks, and each pair of blocks (i, j) is a task's work of its own.
     """
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles", "short"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles"
     )
     stream = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    top, bottom = threshold.numerator, threshold.denominator
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for (key, i, j), rows in _keyed_groups(batches):
-            sig = np.frombuffer(b"".join([r.short for r in rows]), np.uint8).reshape(len(rows), -1)
             comps = np.unique([r.component for r in rows], return_inverse=True)[1]
-            sizes, wanted = np.array([r.n_shingles for r in rows], float), np.zeros(len(rows), bool)
+            sizes, wanted = np.array([r.n_shingles for r in rows]), np.zeros(len(rows), bool)
             left, right = _sides(rows, i, j)
             for k in range(0, len(left), 32):
                 part = left[k : k + 32]
                 ok = comps[part][:, None] != comps[right][None, :]
-                ok &= np.minimum(sizes[part][:, None], sizes[right]) >= least * np.maximum(sizes[part][:, None], sizes[right])
-                x, y = np.nonzero(ok)
-                for c in range(0, len(x), 50_000):
-                    u, v = part[x[c : c + 50_000]], right[y[c : c + 50_000]]
-                    good = _estimate((sig[u] == sig[v]).mean(axis=1)) >= least - SLACK
-                    wanted[u[good]] = wanted[v[good]] = True
+                ok &= bottom * np.minimum(sizes[part][:, None], sizes[right]) >= top * np.maximum(sizes[part][:, None], sizes[right])
+                wanted[part] |= ok.any(axis=1)
+                wanted[right] |= ok.any(axis=0)
             out += [(key, i, j, r.own, r.node, r.component) for r, w in zip(rows, wanted, strict=True) if w]
             if len(out) > 50_000:
                 yield pd.DataFrame(out, columns=["key", "i", "j", "own", "node", "component"])
@@ -327,19 +306,19 @@ def near_groups(
     of one id are one document; a row with a null id is linked with nothing and kept. An empty table gives an empty
     result. Other columns are not looked at.
     """
-    docs, least = scanned(docs), float(threshold)
+    docs = scanned(docs)
     rows = signatures(docs, words, id_col, text_col)
     nodes = cut(
         rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("short").alias("short"))
+        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     )
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     centres = buckets.groupBy("key").agg(F.min(F.struct(_order(F.col("node")).alias("o"), "node")).alias("first"), F.count(F.lit(1)).alias("m"))
     members = cut(buckets.join(centres.where("m > 1").select("key", "m", F.col("first.node").alias("centre")), "key"))
 
     near_centre = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    tested = cut(_short_matches(near_centre, nodes, least))
+    tested = cut(_size_matches(near_centre, nodes, threshold))
     links = confirm(docs, tested, words, threshold, id_col, text_col)
     first = components(links)
 
@@ -347,8 +326,8 @@ def near_groups(
     seen = members.select("key", "node", "m").join(first, "node", "left").select("key", "node", "m", label.alias("component"))
     seen = cut(seen)
     mixed = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    across = seen.join(mixed, "key").join(nodes.select("node", "n_shingles", "short"), "node")
-    late = _late_links(docs, cut(_open_nodes(across, least)), words, threshold, id_col, text_col)
+    across = seen.join(mixed, "key").join(nodes.select("node", "n_shingles"), "node")
+    late = _late_links(docs, cut(_open_nodes(across, threshold)), words, threshold, id_col, text_col)
     if not late.isEmpty():
         first = components(links.unionByName(late))
 
