@@ -156,6 +156,23 @@ def test_pseudonyms(spark, odd, empty):
     assert same[8] == "12345 !!! ***" and same[2] == "" and pseudonyms.pseudonymise(empty, "k").count() == 0
 
 
+def test_day_first_dates(spark):
+    text = "on 25/12/1999, 31/01/2024 and 13/02/1310 not 13/31/1999 30/02/2000"
+    given = documents(spark, [(0, text)])
+    out = pseudonyms.pseudonymise(given, "k")
+    row = out.first()
+    assert [text[f["start"] : f["end"]] for f in row["found"]] == ["25/12/1999", "31/01/2024", "13/02/1310"]
+    for f in row["found"]:
+        assert datetime.datetime.strptime(f["value"], "%d/%m/%Y").day > 12 and f["value"] in row["text"]
+    assert "25/12/1999" not in row["text"] and row["text"].endswith("not 13/31/1999 30/02/2000")
+    assert pseudonyms.pseudonymise(out, "k", inverse=True).first()["text"] == text
+    day = F.date_add(F.lit("1700-01-01").cast("date"), F.col("id").cast("int"))
+    days = spark.range(0, 189 * 773).where(F.dayofmonth(day) > 12).select(F.date_format(day, "dd/MM/yyyy").alias("d"))
+    new = days.select("d", pseudonyms._day_first(F.col("d"), "k", False).alias("n"))
+    assert new.agg(F.count_distinct("n"), F.min(F.substring("n", 1, 2).cast("int"))).first()[:] == (9 * 9833, 13)
+    assert new.where(pseudonyms._day_first(F.col("n"), "k", True).eqNullSafe(F.col("d"))).count() == 9 * 9833
+
+
 def test_quality(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     weights = quality.train_quality(docs, labels)

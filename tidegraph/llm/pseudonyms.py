@@ -6,7 +6,9 @@ letters stay letters, digits stay digits, separators stay, a card keeps a right
 values get equal pseudonyms in every document; whoever holds the key can undo them (``inverse=True``).
 
 Two networks: strings of letters and digits (halves shifted character by character by a keyed hash of the other half),
-and pairs (a, b) of whole numbers in Z_A x Z_B. The 146,097 days of a 400-year cycle are Z_189 x Z_773.
+and pairs (a, b) of whole numbers in Z_A x Z_B. The 146,097 days of a 400-year cycle are Z_189 x Z_773. Of a date with
+slashes the month is read first; where that is no date, the day is, and such dates (day above 12) stay among themselves:
+88,497 in a cycle, Z_9 x Z_9833.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])"
 KINDS = {"email": EMAIL, "ssn": SSN, "phone": PHONE, "card": CARD, "ip": IP, "date": DATE}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 _A, _B, _CYCLE = 189, 773, 189 * 773
+_LATE_A, _LATE_B, _LATE = 9, 9833, 9 * 9833
 
 
 def _hash_number(*parts: Column | str) -> Column:
@@ -196,6 +199,30 @@ def _date(hit: Column, form: str, key: str, inverse: bool) -> Column:
     return let(F.datediff(F.try_to_timestamp(hit, F.lit(form)).cast("date"), first), moved)
 
 
+def _day_first(hit: Column, key: str, inverse: bool) -> Column:
+    """dd/MM/yyyy with a day above 12. Days are counted without the first 12 of each month, so that the pseudonym has
+    such a day too and can't be read month first."""
+    first = F.lit("1700-01-01").cast("date")
+
+    def counted(day: Column) -> Column:
+        month = (F.year(day) - 1700) * 12 + F.month(day)
+        return F.when(F.dayofmonth(day) > 12, F.datediff(day, first) - 12 * month)
+
+    def written(n: Column) -> Column:
+        near = F.floor(n * 4800 / _LATE).cast("int")
+        begins = lambda m: F.datediff(F.add_months(first, m), first) - 12 * m <= n
+        month = F.array_max(F.filter(F.array(near - 1, near, near + 1), begins))
+        return F.date_format(F.date_add(first, (n + 12 * (month + 1)).cast("int")), "dd/MM/yyyy")
+
+    def moved(n: Column) -> Column:
+        cycle = F.floor(n / _LATE).cast("int")
+        inside = n - cycle * _LATE
+        pair = permute_pair(F.floor(inside / _LATE_B), inside % _LATE_B, _LATE_A, _LATE_B, key, "day first", inverse)
+        return F.when(n.isNotNull(), let(let(pair, lambda p: cycle * _LATE + p["a"] * _LATE_B + p["b"]), written))
+
+    return let(let(F.try_to_timestamp(hit, F.lit("dd/MM/yyyy")).cast("date"), counted), moved)
+
+
 def _email(hit: Column, key: str, inverse: bool) -> Column:
     name, domain = F.substring_index(hit, "@", 1), F.substring_index(hit, "@", -1)
     return F.concat(let(name, lambda n: permute_string(n, key, "email", inverse)), F.lit("@"), domain)
@@ -218,7 +245,7 @@ def _pseudonym(hit: Column, kind: Column, key: str, inverse: bool) -> Column:
         .when(kind == "ip", _ip(hit, key, inverse))
         .when(F.rlike(hit, F.lit("^[0-9]{4}-")), _date(hit, "yyyy-MM-dd", key, inverse))
         .when(F.rlike(hit, F.lit("[.]")), _date(hit, "dd.MM.yyyy", key, inverse))
-        .otherwise(_date(hit, "MM/dd/yyyy", key, inverse))
+        .otherwise(F.coalesce(_date(hit, "MM/dd/yyyy", key, inverse), _day_first(hit, key, inverse)))
     )
 
 
