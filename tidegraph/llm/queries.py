@@ -11,6 +11,8 @@ from tidegraph.llm.bpe import bpe_codes
 from tidegraph.llm.common import table
 from tidegraph.llm.cover_trees import top_inner_products
 from tidegraph.llm.exact_dedup import exact_groups
+from tidegraph.llm.filter_audit import audit_filters
+from tidegraph.llm.hard_negatives import labelled_vectors, mine
 from tidegraph.llm.languages import predict_languages, train_languages
 from tidegraph.llm.lm_scoring import score_documents
 from tidegraph.llm.mixing import mix
@@ -19,6 +21,7 @@ from tidegraph.llm.pseudonyms import KINDS as PRIVATE_KINDS
 from tidegraph.llm.pseudonyms import pseudonymise
 from tidegraph.llm.quality import score_quality, train_quality
 from tidegraph.llm.secrets import ACCESS, ASSIGN, BARE, BREAK, ENDPOINT, HEX, KEY_ID, KINDS, REACH, ROLE, STRONG, secret_report, secret_spans
+from tidegraph.llm.url_filters import ASIDE, BIN, ORDER, PRIOR, RULES, SHARE, SYMBOLS, UNKNOWN, filter_urls
 
 PSEUDONYM_KEY = "tidegraph demonstration key"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -78,11 +81,26 @@ def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return predict_languages(docs, *train_languages(docs))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(labelled_vectors(table(spark, folder, "embeddings"), label), F.col("vec_id") % 100 == 0)
+
+
+def op13_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_urls(table(spark, folder, "pages"))
+
+
+_UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_secret_spans, op3_top_inner_products, op4_source_mixing, op5_pseudonyms, op6_quality,
         op7_near_duplicates, op8_lm_scores, op9_byte_bpe, op10_languages,
+        op11_filter_audit, op12_hard_negatives, op13_url_verdicts,
     )
 }
 
@@ -122,8 +140,48 @@ SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in
 FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+def _urls_sql() -> str:
+    """The same models as relations: one row for each context and symbol."""
+    size = len(SYMBOLS) + 2
+    rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
+    aside = ", ".join(f"'{d}'" for d in ASIDE)
+    levels = ""
+    for k in range(ORDER + 1):
+        stays = "" if k < 2 else f"HAVING sum(a + r) >= greatest(2.0, (SELECT sum(a + r) FROM g) * {SHARE})"
+        before = f"JOIN p{k - 1} q ON q.context = substr(n.context, 2) AND q.symbol = y.symbol" if k else f"JOIN (SELECT {1 / size!r} AS pa, {1 / size!r} AS pr) q ON true"
+        levels += f"""
+g{k} AS (SELECT substr(context, {ORDER - k + 1}, {k}) AS context, symbol, sum(a) AS a, sum(r) AS r FROM g GROUP BY ALL),
+n{k} AS (SELECT context, CAST(sum(a) AS DOUBLE) AS a, CAST(sum(r) AS DOUBLE) AS r FROM g{k} GROUP BY context {stays}),
+p{k} AS (SELECT n.context, y.symbol, (coalesce(g.a, 0) + {PRIOR} * q.pa) / (n.a + {PRIOR}) AS pa, (coalesce(g.r, 0) + {PRIOR} * q.pr) / (n.r + {PRIOR}) AS pr
+  FROM n{k} n JOIN (SELECT unnest(range({size})) AS symbol) y ON true {before} LEFT JOIN g{k} g ON g.context = n.context AND g.symbol = y.symbol),
+v{k} AS (SELECT context, symbol, CAST(round(1e6 * (ln(pa) - ln(pr))) AS BIGINT) AS v FROM p{k}),"""
+    orders = range(ORDER, -1, -1)
+    looked = "\n  ".join(f"LEFT JOIN v{k} ON v{k}.context = substr(c.context, {ORDER - k + 1}, {k}) AND v{k}.symbol = c.symbol" for k in orders)
+    return f"""
+WITH u AS (SELECT row_number() OVER () AS nr, page_id, coalesce(url, '') AS url, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']) AS x FROM pages),
+h AS (SELECT nr, page_id, url, translate(x.host, '{_UP}', '{_UP.lower()}') AS host, x.path AS path FROM u),
+rules(verdict, rhost, rpath) AS (VALUES {rules}),
+j AS (SELECT h.*, verdict AS ruled, rhost || rpath AS rule,
+    chr(2) || chr(2) || chr(2) || chr(2) || chr(2) || regexp_replace(translate(url, '{_UP}', '{_UP.lower()}'), {_quoted(UNKNOWN)}, chr(1), 'g') || chr(3) AS s
+  FROM h LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  QUALIFY row_number() OVER (PARTITION BY nr ORDER BY length(rhost || rpath) DESC) = 1),
+c AS MATERIALIZED (SELECT nr, ruled, left(md5(url), 1) IN ({aside}) AS aside, instr({_quoted(SYMBOLS)} || chr(1) || chr(3), s[i]) - 1 AS symbol, substr(s, i - {ORDER}, {ORDER}) AS context
+  FROM j, unnest(range({ORDER + 1}, length(s) + 1)) AS t(i)),
+g AS MATERIALIZED (SELECT context, symbol, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS r FROM c WHERE ruled IS NOT NULL AND NOT aside GROUP BY ALL),{levels}
+f AS MATERIALIZED (SELECT nr, any_value(ruled) AS ruled, any_value(aside) AS aside, sum(coalesce({", ".join(f"v{k}.v" for k in orders)}, 0)) AS total, count(*) AS length
+  FROM c
+  {looked}
+  GROUP BY nr),
+b AS (SELECT CAST(floor(total / length / {BIN}) AS BIGINT) AS step, ruled FROM f WHERE aside AND ruled IS NOT NULL),
+e AS (SELECT DISTINCT step FROM (SELECT step FROM b UNION ALL SELECT step + 1 FROM b)),
+q AS (SELECT step, (SELECT count(*) FROM b x WHERE x.ruled = 'block' AND x.step < e.step) * (SELECT count(*) FROM b WHERE ruled = 'allow')
+    - (SELECT count(*) FROM b x WHERE x.ruled = 'allow' AND x.step < e.step) * (SELECT count(*) FROM b WHERE ruled = 'block') AS quality FROM e),
+k AS (SELECT coalesce((SELECT step FROM q WHERE (SELECT count(DISTINCT ruled) FROM b) = 2 ORDER BY quality DESC, abs(step), step LIMIT 1), 0) AS step)
+SELECT page_id, host, path, rule, coalesce(j.ruled, CASE WHEN total >= length * step * {BIN} THEN 'allow' ELSE 'block' END) AS verdict,
+  CAST(floor(total / length) AS BIGINT) AS score, step AS threshold_step FROM j JOIN f USING (nr), k"""
+
+
 _SPACE = r"[\x20\x09-\x0D]+"
-_UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SQL = {
     "op1_exact_dedup": f"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS t FROM documents)
@@ -149,4 +207,37 @@ edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, e.b FROM reach r JOIN edge e ON e.a = r.other),
 c AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
 SELECT n.doc_id, n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN c ON c.node = n.doc_id""",
+    "op11_filter_audit": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+m AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+  len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t),
+  regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS f FROM w LEFT JOIN m USING (doc_id)),
+c AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, f),
+l AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o, chr(64 + a.i::INT) || chr(64 + b.i::INT) || chr(64 + c.i::INT) || chr(64 + d.i::INT) || chr(64 + e.i::INT) AS filter_order
+  FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT filter_order, CAST(i AS INT) AS step, o[1 : i - 1] AS before, o[i] AS own FROM o, l),
+r AS (SELECT part, filter_order, step, own, n, good, toxic, f, f[own] AS fails, list_bool_or([false] || [f[j] FOR j IN before]) AS earlier FROM c, s),
+g AS (SELECT part, filter_order, step, any_value(own) AS own,
+  coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT earlier), 0) AS removed,
+  coalesce(sum(n) FILTER (fails AND earlier), 0) AS redundant, coalesce(sum(n) FILTER (fails AND len([x FOR x IN f IF x]) = 1), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (fails AND NOT earlier), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT earlier), 0) AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM g""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT row_number() OVER () AS nr, vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains([x IS NULL OR NOT isfinite(x) FOR x IN embedding], true)),
+s AS (SELECT a.nr, a.vec_id AS anchor_id, c.nr AS other, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.nr <> c.nr WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id, other) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.nr, p.place ORDER BY n.score DESC, n.vec_id, n.other) AS INTEGER) AS rank
+  FROM p JOIN s n ON n.nr = p.nr AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score WHERE p.place <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    "op13_url_verdicts": _urls_sql(),
 }
