@@ -88,53 +88,77 @@ class Gru:
         if not len(t):
             return last
         s, w = states[t, i], words[t, i]
+        order = np.argsort(self.cls[w], kind="stable")
+        t, i, s, w = t[order], i[order], s[order], w[order]  # words of a class lie together
         cls, rows = self.cls[w], np.arange(len(w))
         g = {k: np.zeros_like(v) for k, v in p.items()}
         e = _softmax(s @ p["wc"] + p["bc"])
         e[rows, cls] -= 1
         g["wc"], g["bc"] = s.T @ e, e.sum(axis=0)
         ds = e @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(self.bounds)))
+        ends = np.searchsorted(cls, np.arange(len(self.bounds)))
         for c in np.flatnonzero(np.diff(ends)):
             begin, end = self.bounds[c], self.bounds[c + 1]
-            own = order[ends[c] : ends[c + 1]]
-            e = _softmax(s[own] @ p["wo"][begin:end].T + p["bo"][begin:end])
-            e[np.arange(len(own)), w[own] - begin] -= 1
-            g["wo"][begin:end], g["bo"][begin:end] = e.T @ s[own], e.sum(axis=0)
-            ds[own] += e @ p["wo"][begin:end]
+            if end - begin == 1:  # certain within its class
+                continue
+            own, wo = slice(ends[c], ends[c + 1]), p["wo"][begin:end]
+            e = s[own] @ wo.T
+            e += p["bo"][begin:end]
+            e = _softmax(e)
+            e[rows[: len(e)], w[own] - begin] -= 1
+            np.matmul(e.T, s[own], out=g["wo"][begin:end])
+            np.sum(e, axis=0, out=g["bo"][begin:end])
+            ds[own] += e @ wo
         dout = np.zeros_like(states)
         dout[t, i] = ds
         carried = np.zeros_like(state)
         dgates = np.empty((len(inputs), inputs.shape[1], 3 * h), np.float32)
+        before, z, r, n, un = (np.stack(x) for x in zip(*keep, strict=True))
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), un * r * (1 - r)
+        du, wht = np.empty_like(dgates), np.ascontiguousarray(p["wh"].T)
         for k in range(len(inputs) - 1, -1, -1):
-            before, z, r, n, un = keep[k]
             d = dout[k] + carried
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            dgates[k] = np.concatenate([dz, dr, dn], axis=1)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            carried = d * z + du @ p["wh"].T
-            g["wh"] += before.T @ du
+            dn = d * by_n[k]
+            dgates[k, :, 2 * h :] = dn
+            np.multiply(d, by_z[k], out=du[k, :, :h])
+            np.multiply(dn, by_r[k], out=du[k, :, h : 2 * h])
+            np.multiply(dn, r[k], out=du[k, :, 2 * h :])
+            carried = d * z[k] + du[k] @ wht
+        dgates[:, :, : 2 * h] = du[:, :, : 2 * h]
+        g["wh"] = before.reshape(-1, h).T @ du.reshape(-1, 3 * h)
         flat_x, flat_g = x.reshape(-1, h), dgates.reshape(-1, 3 * h)
         g["wx"], g["b"] = flat_x.T @ flat_g, flat_g.sum(axis=0)
         dx = flat_g @ p["wx"].T
-        for j in range(h):
-            g["emb"][:, j] = np.bincount(inputs.ravel(), dx[:, j], minlength=len(p["emb"]))
+        cells = (inputs.reshape(-1, 1) * h + np.arange(h)).ravel()
+        g["emb"] = np.bincount(cells, dx.ravel(), minlength=p["emb"].size).astype(np.float32).reshape(p["emb"].shape)
         self._step(g, len(t), rate)
         return last
 
     def _step(self, g: dict, n: int, rate: float) -> None:
         """Adam on the mean gradient."""
         self.steps += 1
+        scale = rate / (1 - 0.9**self.steps)
+        root = (1 - 0.99**self.steps) ** -0.5
         for k, x in self.p.items():
-            d = g[k] / n
-            self.m[k] += 0.1 * (d - self.m[k])
-            self.s[k] += 0.01 * (d * d - self.s[k])
-            x -= rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.s[k] / (1 - 0.99**self.steps)) + 1e-6)
+            d, m, s = g[k], self.m[k], self.s[k]
+            d *= np.float32(1 / n)
+            m *= 0.9
+            s *= 0.99
+            m += np.float32(0.1) * d
+            d *= d
+            d *= np.float32(0.01)
+            s += d
+            np.sqrt(s, out=d)
+            d *= np.float32(root)
+            d += 1e-6
+            np.divide(m, d, out=d)
+            d *= np.float32(scale)
+            x -= d
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    """In place. States lie within 1, so logits beyond 80 don't occur in a sound model; the cut keeps sums finite."""
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x *= (1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
+    return x

@@ -30,6 +30,7 @@ ROUNDS = 2
 TRAIN_ROWS = 128
 SCORE_ROWS = 4096
 PIECE = 16_384
+GROUP = 16
 RATE = 0.01
 _FLUSH = 400_000
 END = ""  # no word is empty, so the empty string stands for the end of a text
@@ -99,19 +100,21 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The head: all words whose count is in the highest bins (a 32nd of a power of two wide) that hold HEAD words or
-    fewer together, and the end."""
+    """The head: the HEAD most frequent words, and the end. Whole bins of counts (a 32nd of a power of two wide) from the
+    highest on, as long as they fit; of the first bin that doesn't, words in order of their hash."""
     total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     step = F.floor(F.log2("c") * 32).cast("int")
     bins = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    least, sum_so_far = 1 << 30, 0
+    least, room = 1 << 30, HEAD
     for at, n in bins:  # at most 32 x 63 bins
-        sum_so_far += n
-        if sum_so_far > HEAD:
+        if n > room:
             break
-        least = at
-    head = counts.where((step >= least) | (F.col("word") == END)).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    return Vocabulary(head["word"].tolist(), head["c"].tolist(), total or 0, distinct)
+        least, room = at, room - n
+    head = counts.where((step >= least) | (F.col("word") == END))
+    if least == 1 << 30:  # one bin holds more words than the head
+        head = head.unionByName(counts.where(F.col("word") != END).where(step == (bins[0][0] if bins else 0)).orderBy(F.xxhash64("word"), "word").limit(HEAD))
+    table = head.toPandas().sort_values(["c", "word"], ascending=[False, True])
+    return Vocabulary(table["word"].tolist(), table["c"].tolist(), total or 0, distinct)
 
 
 class Rows:
@@ -146,8 +149,53 @@ def learn_rows(model: Gru, rows: list[np.ndarray], first: int, rate: float) -> i
     return trained
 
 
-def train_model(train: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of the model after ``rounds`` rounds, each over its own part of ``train`` (columns doc_id, text)."""
+def encoded(docs: DataFrame, vocab: Vocabulary, *keep: str) -> DataFrame:
+    """``keep`` and, for each text, its model words (``codes``, packed), counts, the base score of its head words, what the
+    model adds for unknown ones (``extra``) and the words that are not in the head; written once, read by every later step."""
+    words = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = words.value
+        # an end never seen in training counts as a word never seen
+        lost = v.base[-1] if v.end < 0 else 0.0
+        for batch in filled(batches):
+            rows = []
+            for text in batch["text"]:
+                places, tail = v.places(text)
+                model = v.model[places]
+                head = places[places >= 0] if v.end >= 0 else places[:-1][places[:-1] >= 0]
+                unknown = float(v.base[head[v.model[head] == v.unknown]].sum()) + lost - int((model == v.unknown).sum()) * v.rest
+                rows.append((model.astype(np.int16).tobytes(), len(places), len(head), float(v.base[head].sum()) + lost, unknown, [w.decode("utf-8", "replace") for w in tail]))
+            out = pd.DataFrame(rows, columns=["codes", "n_tokens", "known", "base", "extra", "tail"])
+            yield pd.concat([batch.drop(columns="text").reset_index(drop=True), out], axis=1)
+
+    kinds = dict(docs.dtypes)
+    schema = "".join(f"{c} {kinds[c]}, " for c in keep) + "codes binary, n_tokens long, known long, base double, extra double, tail array<string>"
+    return cut(docs.select(*keep, "text").mapInPandas(encode, schema))
+
+
+def _rows_of(codes: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int16) for x in codes]
+
+
+def mean_weights(models: DataFrame) -> np.ndarray | None:
+    """Mean of the rows (weights: packed, n: weight of the row). Sums are taken in groups of ``GROUP`` until one group
+    is left; None without rows."""
+
+    def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(w, np.float64) for w in group["weights"])
+        return pd.DataFrame({"weights": [total.tobytes()], "n": [int(group["n"].sum())]})
+
+    sums = cut(models)
+    while (rows := sums.count()) > GROUP:
+        part = F.pmod(F.xxhash64("n", "weights"), F.lit(-(-rows * 2 // GROUP))).alias("part")
+        sums = cut(sums.groupBy(part).applyInPandas(add, "weights binary, n long"))
+    table = sums.toPandas()  # at most GROUP models
+    return sum(np.frombuffer(w, np.float64) for w in table["weights"]) / table["n"].sum() if len(table) else None
+
+
+def train_encoded(train: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of the model after ``rounds`` rounds, each over its own part of ``train`` (columns doc_id, codes)."""
     sc = train.sparkSession.sparkContext
     words = sc.broadcast(vocab)
     weights = vocab.new_model().flat()
@@ -160,22 +208,23 @@ def train_model(train: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np
             model, trained = v.new_model().load(start.value), 0
             first = int(v.model[v.end])
             for batch in filled(batches):
-                rows = sorted((v.model[v.places(text)[0]] for text in batch["text"]), key=len, reverse=True)
+                rows = sorted(_rows_of(batch["codes"]), key=len, reverse=True)
                 for k in range(0, len(rows), TRAIN_ROWS):
                     trained += learn_rows(model, rows[k : k + TRAIN_ROWS], first, rate)
             if trained:
-                yield pd.DataFrame({"weights": [model.flat().tolist()], "n": [trained]})
-
-        mine = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn).select("text")
-        models = mine.mapInPandas(learn, "weights array<float>, n long").select("n", F.posexplode("weights").alias("i", "w"))
-        mean = cut(models.groupBy("i").agg((F.sum(F.col("w").cast("double") * F.col("n")) / F.sum("n")).alias("w")))
-        table = mean.toPandas()  # a row for each weight of the model
-        if len(table):
-            weights = np.empty(len(weights), np.float32)
-            weights[table["i"].to_numpy()] = table["w"].to_numpy()
+                yield pd.DataFrame({"weights": [(model.flat().astype(np.float64) * trained).tobytes()], "n": [trained]})
+
+        mine = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn).select("codes")
+        mean = mean_weights(mine.mapInPandas(learn, "weights binary, n long"))
+        weights = weights if mean is None else mean.astype(np.float32)
     return weights
 
 
+def train_model(train: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """``train_encoded`` of texts (columns doc_id, text)."""
+    return train_encoded(encoded(train, vocab, "doc_id"), vocab, rounds)
+
+
 def document_log_probs(model: Gru, gates: np.ndarray, rows: list[np.ndarray], first: int) -> np.ndarray:
     """Natural log-probability of each row of model words, the state carried over all windows of the row."""
     packed = Rows(rows, first)
@@ -217,40 +266,28 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, id_col: str
     """
     fold = fold_of(id_col, folds)
     base = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(fold == held, F.lit(False)).alias("held_out"), (fold != held).alias("train"), text_of(text_col).alias("text")
-    )
-    train = base.where("train").select("doc_id", "text")
-    counts = word_counts(train)
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(fold == held, F.lit(False)).alias("held_out"),
+        (fold != held).alias("train"), text_of(text_col).alias("text"),
+    )
+    counts = word_counts(base.where("train"))
     vocab = vocabulary(counts)
+    rows = encoded(base, vocab, "row", "doc_id", "held_out", "train")
     sc = docs.sparkSession.sparkContext
-    words, trained = sc.broadcast(vocab), sc.broadcast(train_model(train, vocab))
+    words, trained = sc.broadcast(vocab), sc.broadcast(train_encoded(rows.where("train"), vocab))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = words.value
         model = v.new_model().load(trained.value)
         gates, first = model.projected(), int(v.model[v.end])
         for batch in filled(batches):
-            for k in range(0, len(batch), SCORE_ROWS):
-                part = batch.iloc[k : k + SCORE_ROWS]
-                places, tails = zip(*[v.places(text) for text in part["text"]], strict=True)
-                rows = [v.model[p] for p in places]
-                logs = document_log_probs(model, gates, rows, first) / np.log(10)
-                heads = [p[p >= 0] if v.end >= 0 else p[:-1][p[:-1] >= 0] for p in places]
-                unknown = [h[v.model[h] == v.unknown] for h in heads]
-                n_unknown = np.array([int((r == v.unknown).sum()) for r in rows])
-                out = part[["row", "doc_id", "held_out"]].copy()
-                out["n_tokens"] = [len(p) for p in places]
-                out["known"] = [len(h) for h in heads]
-                # an end never seen in training counts as a word never seen
-                lost = v.base[-1] if v.end < 0 else 0.0
-                out["base"] = [float(v.base[h].sum()) + lost for h in heads]
-                out["model"] = logs + [float(v.base[u].sum()) + lost for u in unknown] - n_unknown * v.rest
-                out["tail"] = [[w.decode("utf-8", "replace") for w in t] for t in tails]
-                yield out
+            codes = _rows_of(batch.pop("codes"))
+            logs = [document_log_probs(model, gates, codes[k : k + SCORE_ROWS], first) for k in range(0, len(codes), SCORE_ROWS)]
+            batch["model"] = np.concatenate(logs) / np.log(10) + batch.pop("extra")
+            yield batch
 
     kind = dict(docs.dtypes)[id_col]
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, tail array<string>"
-    rows = cut(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInPandas(score, schema))
+    kept = ("row", "doc_id", "held_out", "n_tokens", "known", "base")
+    scored = rows.select(*kept, "extra", "codes").mapInPandas(score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double")
     tail = rows.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("n"))
     floor = F.lit(float(vocab.floor))
     met = tail.join(counts, "word", "left").select(
@@ -258,7 +295,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, id_col: str
     )
     sums = met.groupBy("row").agg(F.sum("k").alias("k"), F.sum("s").alias("s"))
     more = F.coalesce("s", F.lit(0.0))
-    return rows.drop("tail").join(sums, "row", "left").select(
+    return scored.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(vocab.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"),
     )
