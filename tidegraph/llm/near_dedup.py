@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,9 @@ from tidegraph.llm.common import filled, scanned, settings, text_of, whole_rows,
 
 PERMUTATIONS = 80
 ROWS = 5
-BLOCK = 1024
+BLOCK = 1024  # nodes of a block at most, on average
+BLOCK_SHINGLES = 1 << 20  # and their shingles
+BATCH = "256"  # texts handed to Python at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PARTS = 2048
 #: Let Spark filter the texts by a Bloom filter of the wanted ids before it shuffles them (its own default waits for 10 GB).
@@ -36,6 +39,9 @@ BLOOM = {
 }
 
 
+ARROW = {"spark__sql__execution__arrow__maxRecordsPerBatch": BATCH}
+
+
 def _constants(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -109,7 +115,8 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
     kind = dict(docs.dtypes)[id_col]
     rows = with_locator(docs, F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     schema = f"doc_id {kind}, file string, row long, n_shingles long, digest binary, bands array<long>"
-    return cut(rows.mapInPandas(sign, schema))
+    with settings(docs.sparkSession, **ARROW):
+        return cut(rows.mapInPandas(sign, schema))
 
 
 def _order(node: Column) -> Column:
@@ -159,7 +166,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, threshold: Fraction,
                 yield pd.DataFrame(found, columns=["a", "b"])
 
     kind = dict(docs.dtypes)[id_col]
-    with settings(docs.sparkSession, **BLOOM):
+    with settings(docs.sparkSession, **BLOOM, **ARROW):
         return cut(stream.mapInPandas(compare, f"a {kind}, b {kind}"))
 
 
@@ -186,8 +193,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _keyed_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list]]:
-    """Runs of rows with one (key, i, j) in a sorted stream."""
+def _keyed_groups(batches: Iterator[pd.DataFrame], held_of) -> Iterator[tuple[tuple, list]]:
+    """Runs of rows with one (key, i, j) in a sorted stream; of a row only ``held_of(row)`` is kept."""
     key, held = None, []
     for batch in filled(batches):
         for row in batch.itertuples(index=False):
@@ -195,11 +202,18 @@ def _keyed_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list
                 if held:
                     yield key, held
                 key, held = (row.key, row.i, row.j), []
-            held.append(row)
+            held.append(held_of(row))
     if held:
         yield key, held
 
 
+class _Member(NamedTuple):
+    own: int
+    node: object
+    component: object
+    shingles: np.ndarray
+
+
 def _sides(rows: list, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     owns = np.array([r.own for r in rows])
     left = np.flatnonzero(owns == i)
@@ -209,10 +223,11 @@ def _sides(rows: list, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
 def _open_nodes(members: DataFrame, threshold: Fraction) -> DataFrame:
     """Rows of ``members`` with a node of another component in their bucket that set sizes do not rule out.
 
-    ``members``: key, node, component, n_shingles, m (nodes of the bucket). A bucket of more than BLOCK nodes is
-    split into blocks, and each pair of blocks (i, j) is a task's work of its own.
+    ``members``: key, node, component, n_shingles, m and load (nodes of the bucket, and their shingles). A bucket of more
+    than BLOCK nodes or BLOCK_SHINGLES shingles is split into blocks, and each pair of blocks (i, j) is a task's work of
+    its own: what a task holds is bounded in bytes, whatever the length of the texts (one text alone may be longer).
     """
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.least(F.col("load") / BLOCK_SHINGLES, F.col("m")))).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.select(
@@ -223,7 +238,7 @@ def _open_nodes(members: DataFrame, threshold: Fraction) -> DataFrame:
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for (key, i, j), rows in _keyed_groups(batches):
+        for (key, i, j), rows in _keyed_groups(batches, lambda row: row):
             comps = np.unique([r.component for r in rows], return_inverse=True)[1]
             sizes, wanted = np.array([r.n_shingles for r in rows]), np.zeros(len(rows), bool)
             left, right = _sides(rows, i, j)
@@ -254,12 +269,11 @@ def _late_links(docs: DataFrame, rows: DataFrame, words: int, threshold: Fractio
     top, bottom = threshold.numerator, threshold.denominator
 
     def links_of(rows: list, i: int, j: int) -> list[tuple]:
-        sets = [shingle_set(r.text, words) for r in rows]
-        sizes = np.array([len(s) for s in sets])
+        sizes = np.array([len(r.shingles) for r in rows])
         left, right = _sides(rows, i, j)
         right = right[np.argsort(sizes[right], kind="stable")]
-        known, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        ids = np.split(ids, np.cumsum(sizes)[:-1])
+        known, ids = np.unique(np.concatenate([r.shingles for r in rows]), return_inverse=True)
+        ids = np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1])
         joined, begins = np.concatenate([ids[v] for v in right]), np.append(0, np.cumsum(sizes[right]))
         root = {r.component: r.component for r in rows}
 
@@ -287,12 +301,15 @@ def _late_links(docs: DataFrame, rows: DataFrame, words: int, threshold: Fractio
         return out
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (_, i, j), rows in _keyed_groups(batches):
+        def hashed(row) -> _Member:  # the text goes, its shingles stay
+            return _Member(row.own, row.node, row.component, shingle_set(row.text, words))
+
+        for (_, i, j), rows in _keyed_groups(batches, hashed):
             if len(rows) > 1 and all(len(s) for s in _sides(rows, i, j)) and (found := links_of(rows, i, j)):
                 yield pd.DataFrame(found, columns=["a", "b"])
 
     kind = dict(docs.dtypes)[id_col]
-    with settings(docs.sparkSession, **BLOOM):
+    with settings(docs.sparkSession, **BLOOM, **ARROW):
         return cut(stream.mapInPandas(link, f"a {kind}, b {kind}"))
 
 
@@ -326,7 +343,8 @@ def near_groups(
     seen = members.select("key", "node", "m").join(first, "node", "left").select("key", "node", "m", label.alias("component"))
     seen = cut(seen)
     mixed = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    across = seen.join(mixed, "key").join(nodes.select("node", "n_shingles"), "node")
+    across = cut(seen.join(mixed, "key").join(nodes.select("node", "n_shingles"), "node"))
+    across = across.join(across.groupBy("key").agg(F.sum("n_shingles").alias("load")), "key")
     late = _late_links(docs, cut(_open_nodes(across, threshold)), words, threshold, id_col, text_col)
     if not late.isEmpty():
         first = components(links.unionByName(late))
