@@ -12,7 +12,7 @@ F1 = [3, 1, 2, 4, 1, 3, 2, 5]
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session("tests", "local[8]", 8)
+    s = session("tests", f"local[{os.environ.get('TEST_CPUS', '8')}]", 8)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

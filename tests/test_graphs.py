@@ -29,7 +29,7 @@ def test_visibility_equals_brute_force(make, fan, block):
               "bowl": [(i - 20) ** 2 for i in range(41)], "r1": [rng.randrange(6) for _ in range(90)], "r2": [rng.randrange(999) for _ in range(70)]}
     df = make(**series)
     h, v = {k: set() for k in series}, {k: set() for k in series}
-    for r in G.horizontal_visibility(df, fan=fan).collect():
+    for r in G.horizontal_visibility(df, block=fan).collect():
         h[r.series_id].add((r.src, r.dst))
     for r in G.natural_visibility(df, fan=fan, block=block).collect():
         v[r.series_id].add((r.src, r.dst))
@@ -118,3 +118,33 @@ def test_sample_neighbours_merge_in_levels(spark, monkeypatch):
     for i in range(0, 90, 9):
         want = np.sort(np.linalg.norm(x - x[i], axis=1))[1:6]
         assert np.allclose(sorted(r.dist for r in found if r.node == i), want)
+
+
+def plain_hvg(x):
+    return {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if all(v < min(x[i], x[j]) for v in x[i + 1 : j])}
+
+
+@pytest.mark.parametrize("block", [4, 16])
+def test_stacks_of_blocks_give_the_same_edges(make, block):
+    rng = np.random.default_rng(8)
+    series = {
+        "noise": rng.normal(size=90).tolist(), "ties": rng.integers(0, 4, 90).tolist(), "rising": list(range(60)), "falling": list(range(60, 0, -1)), "constant": [1] * 40, "one": [5],
+        "valley": [*range(40, 0, -1), *range(40)], "peak": [*range(30), *range(30, 0, -1)], "spike": [*range(50, 0, -1), 99], "comb": [i % 7 * (i % 3) for i in range(80)],
+    }
+    got = {}
+    for r in G.horizontal_visibility(make(**series), block=block).collect():
+        got.setdefault(r.series_id, []).append((r.src, r.dst))
+    for k, x in series.items():
+        assert len(got.get(k, [])) == len(set(got.get(k, []))) and set(got.get(k, [])) == plain_hvg(x), k
+
+
+def test_monotone_series_spreads_over_tasks(spark):
+    """Each block of a rising series hands on one point, of a falling one none but its last: rows stay linear and even."""
+    n = 200_000
+    rows = spark.range(n).select(F.lit("up").alias("series_id"), F.col("id").alias("t"), F.col("id").cast("double").alias("x"))
+    rows = rows.unionByName(rows.select(F.lit("down").alias("series_id"), "t", (-F.col("x")).alias("x")))
+    blocks = G._stacked_blocks(rows, ["series_id"], 4096)
+    sizes = [r.n for r in blocks.select(F.size("src").alias("n")).collect()]
+    assert max(sizes) <= 4 * sorted(sizes)[len(sizes) // 2]
+    got = G.horizontal_visibility(rows, block=4096).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("dst") - F.col("src")).alias("reach")).collect()
+    assert {(r.series_id, r.n, r.reach) for r in got} == {("up", n - 1, 1), ("down", n - 1, 1)}

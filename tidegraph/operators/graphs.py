@@ -1,15 +1,15 @@
 """Series to graphs: horizontal and natural visibility, recurrence.
 
-Nodes are positions. Visibility graphs are found with a tree of block maxima (``FAN``
-children per node) that is walked by equi-joins, so no pair table is ever formed: work
-follows the number of edges, and every tree node is one small array.
+Nodes are positions. Horizontal visibility merges monotone stacks of blocks; natural visibility walks a tree of block
+maxima (``FAN`` children per node) by equi-joins. No pair table is ever formed: work follows the number of edges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.core import KEYS, cut
@@ -19,6 +19,7 @@ from tidegraph.operators.dependence import choose_tau, embed_by, false_neighbour
 from tidegraph.tiles import near_pairs, sample_neighbours
 
 FAN = 32
+STACK = 1 << 14  # points of a block that horizontal visibility looks at in one go
 
 
 def _tree(series: DataFrame, keys, t, x, levels: int, fan: int) -> list[DataFrame]:
@@ -51,44 +52,130 @@ def _levels(rows: int, fan: int) -> int:
     return levels
 
 
-def horizontal_visibility(series: DataFrame, *, keys=KEYS, t="t", x="x", fan=FAN) -> DataFrame:
+def _block_stack(ts: list, xs: list) -> tuple[list, list, list, list]:
+    """Edges inside a block, and the places of the points that see its left and its right border."""
+    src, dst, stack, records, top = [], [], [], [], None
+    for j, v in enumerate(xs):
+        while stack and xs[stack[-1]] < v:
+            src.append(ts[stack.pop()])
+            dst.append(ts[j])
+        if stack:
+            src.append(ts[stack[-1]])
+            dst.append(ts[j])
+            if xs[stack[-1]] == v:
+                stack.pop()
+        stack.append(j)
+        if top is None or v > top:
+            records.append(j)
+            top = v
+    return src, dst, records, stack
+
+
+def _border_edges(left: list, right: list) -> tuple[list, list]:
+    """Edges across a border: ``left`` (t, x) with falling x comes before it, ``right`` (t, x) with rising x behind it."""
+    src, dst, stack = [], [], list(left)
+    for t, v in right:
+        while stack and stack[-1][1] < v:
+            src.append(stack.pop()[0])
+            dst.append(t)
+        if not stack:
+            break
+        src.append(stack[-1][0])
+        dst.append(t)
+        if stack[-1][1] == v:
+            stack.pop()
+    return src, dst
+
+
+def _stacked_blocks(base: DataFrame, keys, block: int) -> DataFrame:
+    """(keys, blk, top, src, dst, left, right), one row for each block of ``base`` (keys, t, x).
+
+    left and right: the points that see the border, as (t, x, nearer), nearer = x of the next such point towards it.
+    """
+    names = [*keys, "blk"]
+    rows = base.withColumn("blk", _div(F.col("t"), block)).repartition(*names).sortWithinPartitions(*names, "t")
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def done(key: tuple, ts: list, xs: list) -> tuple:
+            src, dst, records, stack = _block_stack(ts, xs)
+            left = [(ts[j], xs[j], xs[i] if i is not None else None) for i, j in zip([None, *records[:-1]], records, strict=True)]
+            right = [(ts[j], xs[j], xs[i] if i is not None else None) for j, i in zip(stack, [*stack[1:], None], strict=True)]
+            return (*key, max(xs), src, dst, left, right)
+
+        key, ts, xs, out = None, [], [], []
+        columns = [*names, "top", "src", "dst", "left", "right"]
+        for batch in batches:
+            if not len(batch):
+                continue
+            marks = list(zip(*(batch[c].tolist() for c in names), strict=True))
+            t, x = batch["t"].tolist(), batch["x"].tolist()
+            begin = 0
+            for i, mark in enumerate(marks):
+                if mark != key:
+                    ts += t[begin:i]
+                    xs += x[begin:i]
+                    if ts:
+                        out.append(done(key, ts, xs))
+                    key, ts, xs, begin = mark, [], [], i
+            ts += t[begin:]
+            xs += x[begin:]
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if ts:
+            yield pd.DataFrame([done(key, ts, xs)], columns=columns)
+
+    kinds = dict(rows.dtypes)
+    point = "array<struct<t: long, x: double, nearer: double>>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", top double, src array<long>, dst array<long>, `left` {point}, `right` {point}"
+    return cut(rows.mapInPandas(blocks, schema))
+
+
+def horizontal_visibility(series: DataFrame, *, keys=KEYS, t="t", x="x", block=STACK) -> DataFrame:
     """GRF-1: edges (keys, src < dst) of the horizontal visibility graph.
 
-    i sees the first j > i with x_j >= x_i, and j sees the last i < j with x_i >= x_j. Each
-    row climbs the tree until a sibling on that side is high enough, then goes down to the
-    first such leaf. Most rows finish inside their first block.
+    Each block of a series keeps a monotone stack: its own edges, and the points that still see a border. Two points of
+    different blocks see each other only if the blocks' maxima do, so the same question about the much shorter series of
+    maxima names the pairs of blocks to merge, and a pair hands over only points between the highest block in between
+    and the other block's maximum. Work and rows follow the length of the series, whatever its shape.
     """
-    levels = _levels(longest(series, t), fan)
-    tree = _tree(series, keys, t, x, levels, fan)
-
-    def first_hit(kids: Column, side: Column, c: Column, v: Column, strict_side: bool) -> Column:
-        ok = lambda k: (k["top"] >= v) & (
-            F.when(side > 0, k["c"] > c).otherwise(k["c"] < c) if strict_side else F.lit(True)
-        )
-        found = F.filter(kids, ok)
-        return F.when(F.size(found) > 0, F.when(side > 0, F.element_at(found, 1)["c"]).otherwise(F.element_at(found, -1)["c"]))
-
-    state = tree[0].select(*keys, "p", "kids", F.explode("kids").alias("k")).select(
-        *keys, "kids", F.col("k.c").alias("i"), F.col("k.top").alias("v"), F.col("k.c").alias("c"), "p",
-        F.explode(F.array(F.lit(1), F.lit(-1))).alias("side"),
-    )
-    hits = []
-    for level in range(levels):
-        if level:
-            state = waiting.join(tree[level], [*keys, "p"])
-        state = state.withColumn("hit", first_hit(F.col("kids"), F.col("side"), F.col("c"), F.col("v"), True)).drop("kids")
-        state = cut(state)
-        hits.append(state.where(F.col("hit").isNotNull()).select(*keys, "i", "v", "side", F.col("hit").alias("c")))
-        waiting = state.where(F.col("hit").isNull()).select(
-            *keys, "i", "v", "side", F.col("p").alias("c"), _div(F.col("p"), fan).alias("p")
-        )
-    found = hits[-1]
-    for level in range(levels - 1, 0, -1):
-        down = found.withColumnRenamed("c", "p").join(tree[level - 1], [*keys, "p"])
-        found = down.select(
-            *keys, "i", "v", "side", first_hit(F.col("kids"), F.col("side"), F.lit(None), F.col("v"), False).alias("c")
-        ).unionByName(hits[level - 1])
-    return found.select(*keys, F.least("i", "c").alias("src"), F.greatest("i", "c").alias("dst")).distinct()
+    if block < 2:
+        raise ValueError("a block holds at least two points")
+    names = list(keys)
+    base = series.select(*names, F.col(t).cast("long").alias("t"), F.col(x).cast("double").alias("x")).where("x IS NOT NULL")
+    blocks = _stacked_blocks(base, names, block)
+
+    def edges(rows: DataFrame) -> DataFrame:
+        return rows.select(*names, F.explode(F.arrays_zip("src", "dst")).alias("_e")).select(*names, "_e.src", "_e.dst")
+
+    inside = edges(blocks)
+    if longest(blocks, "blk") <= 1:
+        return inside
+    pairs = horizontal_visibility(blocks.select(*names, F.col("blk").alias("t"), F.col("top").alias("x")), keys=names, block=block)
+    ahead = Window.partitionBy(*names, "src").orderBy("dst")
+    near = blocks.select(*names, F.col("blk").alias("src"), F.col("top").alias("top_a"), F.col("right").alias("a"))
+    far = blocks.select(*names, F.col("blk").alias("dst"), F.col("top").alias("top_b"), F.col("left").alias("b"))
+    tops = cut(pairs.join(far.drop("b"), [*names, "dst"]).withColumn("between", F.lag("top_b").over(ahead)))
+    met = tops.join(near, [*names, "src"])
+
+    def needed(points: str, other: str) -> Column:
+        """Points above the blocks in between, up to the first that is above the other block."""
+        low, high = F.col("between"), F.col(other)
+        return F.filter(points, lambda p: (low.isNull() | (p["x"] > low)) & ((p["x"] <= high) | p["nearer"].isNull() | (p["nearer"] <= high)))
+
+    met = met.select(*names, "src", "dst", "between", "top_a", needed("a", "top_b").alias("a"))
+    met = met.join(far.drop("top_b"), [*names, "dst"]).select(*names, "a", needed("b", "top_a").alias("b"))
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_border_edges([(p["t"], p["x"]) for p in a], [(p["t"], p["x"]) for p in b]) for a, b in zip(batch["a"], batch["b"], strict=True)]
+            out = batch[names].copy()
+            out["src"], out["dst"] = [f[0] for f in found], [f[1] for f in found]
+            yield out
+
+    kinds = dict(met.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", src array<long>, dst array<long>"
+    return inside.unionByName(edges(cut(met.mapInPandas(merge, schema))))
 
 
 def natural_visibility(series: DataFrame, *, keys=KEYS, t="t", x="x", fan=FAN, block=BLOCK) -> DataFrame:

@@ -10,12 +10,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.core import KEYS, cut, cut_counted
 from tidegraph.functions.noise import uniform
 from tidegraph.layout import attach, ordered_position, quantiles
+from tidegraph.operators.distances import WIDTH, Distances, arcs_of, numbered
 
 # Edge limits per graph type, for the report of metric_flags.
 NVG_CLUSTERING_LIMIT = 400_000
@@ -23,12 +24,7 @@ NVG_CENTRALITY_LIMIT = 1_500_000
 NVG_BETWEENNESS_LIMIT = 200_000
 NVG_CLOSENESS_LIMIT = 50_000
 RECURRENCE_LIMIT = 12_000
-
-
-def arcs(edges: DataFrame, keys) -> DataFrame:
-    """Both directions of simple edges."""
-    both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return edges.select(*keys, F.explode(both).alias("_e")).select(*keys, "_e.src", "_e.dst")
+STATE_ROWS = 1 << 22  # rows of (node, batch of 64 sources) that betweenness holds at a time, about
 
 
 def size_metrics(nodes: DataFrame, edges: DataFrame, *, keys=KEYS) -> DataFrame:
@@ -166,49 +162,9 @@ def distribution(values: DataFrame, x: str, *, keys=KEYS, name: str | None = Non
 def distance_counts(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, *, keys=KEYS) -> DataFrame:
     """(keys, source, d, cnt): how many nodes lie at distance d >= 1 from each source.
 
-    Breadth-first search from 64 sources at a time: one bit per source, OR-aggregated over
-    the arcs, so the state is n * n / 64 rows instead of all pairs. ``sources`` (keys, node)
-    limits the sources.
+    ``sources`` (keys, node) limits the sources. See ``distances`` for the two ways the distances are found.
     """
-    src = nodes.select(*keys, "node") if sources is None else sources.select(*keys, "node")
-    numbered = ordered_position(src, ["node"], keys=keys, name="_pos")
-    numbered = cut(numbered.select(*keys, "node", F.floor(F.col("_pos") / 64).alias("batch"), (F.col("_pos") % 64).cast("int").alias("bit")))
-    both = cut(arcs(edges, keys))
-    mask = F.expr("shiftleft(1L, bit)")
-    state = cut(numbered.select(*keys, "batch", "node", mask.alias("seen"), mask.alias("front")))
-    levels, d = [], 0
-    while True:
-        d += 1
-        sent = (
-            state.where(F.col("front") != 0).join(both.withColumnRenamed("src", "node"), [*keys, "node"])
-            .groupBy(*keys, "batch", "dst").agg(F.bit_or("front").alias("got"))
-            .withColumnRenamed("dst", "node")
-        )
-        merged = state.select(*keys, "batch", "node", "seen").join(sent, [*keys, "batch", "node"], "full")
-        seen = F.coalesce("seen", F.lit(0).cast("long"))
-        got = F.coalesce("got", F.lit(0).cast("long"))
-        fresh = Observation()
-        state = cut(
-            merged.select(
-                *keys, "batch", "node", seen.bitwiseOR(got).alias("seen"), got.bitwiseAND(F.bitwise_not(seen)).alias("front")
-            ).observe(fresh, F.count(F.when(F.col("front") != 0, 1)).alias("n"))
-        )
-        if fresh.get["n"] == 0:
-            break
-        new = state.where(F.col("front") != 0)
-        levels.append(new.select(*keys, "batch", "front", F.lit(d).alias("d")))
-    schema_only = numbered.select(*keys, "batch", F.lit(0).cast("long").alias("front"), F.lit(0).alias("d")).where(F.lit(False))
-    found = schema_only
-    for part in levels:
-        found = found.unionByName(part)
-    bits = [F.sum(F.shiftrightunsigned("front", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
-    sums = found.groupBy(*keys, "batch", "d").agg(*bits)
-    per = sums.select(*keys, "batch", "d", F.posexplode(F.array(*[f"b{b}" for b in range(64)])).alias("bit", "cnt"))
-    return (
-        per.where(F.col("cnt") > 0)
-        .join(numbered.withColumnRenamed("node", "source"), [*keys, "batch", "bit"])
-        .select(*keys, "source", "d", "cnt")
-    )
+    return Distances(nodes, edges, sources, keys=keys).counts()
 
 
 def eccentricity(dist: DataFrame, sources: DataFrame, *, keys=KEYS) -> DataFrame:
@@ -228,31 +184,17 @@ def distance_metrics(nodes: DataFrame, edges: DataFrame, *, keys=KEYS, node_limi
     todo = skipped.where(~F.col("distances_skipped")).select(*keys)
     n, e = nodes.join(todo, list(keys), "left_semi"), edges.join(todo, list(keys), "left_semi")
     core = cut(largest_component(component_labels(n, e, keys=keys), keys=keys))
-    ecc = eccentricity(distance_counts(n, e, core, keys=keys), core, keys=keys)
-    g = ecc.groupBy(*keys).agg(
-        F.max("eccentricity").alias("diameter"), F.min("eccentricity").alias("radius"), F.avg("eccentricity").alias("ecc_mean")
-    )
+    inside = e.join(core.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi")
+    far = F.col("far")
+    g = Distances(core, inside, keys=keys).sums().groupBy(*keys).agg(F.max(far).alias("diameter"), F.min(far).alias("radius"), F.avg(far).alias("ecc_mean"))
     return skipped.join(g, list(keys), "left")
 
 
-def bfs(edges: DataFrame, sources: DataFrame, *, keys=KEYS) -> DataFrame:
-    """(keys, source, node, d): distances from listed sources by frontier joins."""
-    by_node = cut(arcs(edges, keys).withColumnRenamed("src", "node"))
-    sk = (*keys, "source")
-    levels = [cut(sources.select(*keys, F.col("node").alias("source"), "node"))]
-    seen = levels[0]
-    while True:
-        step = levels[-1].join(by_node, [*keys, "node"]).select(*sk, F.col("dst").alias("node")).distinct()
-        new, rows = cut_counted(step.join(seen, [*sk, "node"], "left_anti"))
-        if rows == 0:
-            break
-        levels.append(new)
-        # a neighbour of level d lies on level d - 1, d or d + 1
-        seen = levels[-1].unionByName(levels[-2])
-    out = levels[0].withColumn("d", F.lit(0))
-    for d, level in enumerate(levels[1:], 1):
-        out = out.unionByName(level.withColumn("d", F.lit(d)))
-    return out
+def bfs(edges: DataFrame, sources: DataFrame, *, keys=KEYS, nodes: DataFrame | None = None) -> DataFrame:
+    """(keys, source, node, d): distances from a few listed sources a graph."""
+    if nodes is None:
+        nodes = edges.select(*keys, F.explode(F.array("src", "dst")).alias("node")).unionByName(sources.select(*keys, "node")).distinct()
+    return Distances(nodes, edges, sources, keys=keys).pairs()
 
 
 def two_sweep_diameter(nodes: DataFrame, edges: DataFrame, *, keys=KEYS, on="connected_only") -> DataFrame:
@@ -264,12 +206,12 @@ def two_sweep_diameter(nodes: DataFrame, edges: DataFrame, *, keys=KEYS, on="con
     if on == "largest":
         all_nodes = cut(largest_component(component_labels(nodes, edges, keys=keys), keys=keys))
     total = all_nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("node"))
-    first = bfs(edges, total, keys=keys)
+    first = bfs(edges, total, keys=keys, nodes=all_nodes)
     far = first.groupBy(*keys).agg(
         F.min_by("node", F.struct((-F.col("d")).alias("a"), "node")).alias("node"), F.count(F.lit(1)).alias("_r")
     )
     far = cut(far)
-    second = bfs(edges, far, keys=keys).groupBy(*keys).agg(F.max("d").alias("_d"))
+    second = bfs(edges, far, keys=keys, nodes=all_nodes).groupBy(*keys).agg(F.max("d").alias("_d"))
     m = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     d = total.drop("node").join(far.drop("node"), list(keys)).join(second, list(keys)).join(m, list(keys), "left")
     value = F.when(F.coalesce("_m", F.lit(0)) == 0, 0).when(F.col("_r") == F.col("_n"), F.col("_d"))
@@ -285,57 +227,72 @@ def hash_sample(nodes: DataFrame, size: int, *, seed=42, keys=KEYS) -> DataFrame
 
 def closeness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, *, keys=KEYS) -> DataFrame:
     """MET-8: closeness with component correction, exact or for given sources."""
-    at = nodes if sources is None else sources
-    dist = distance_counts(nodes, edges, sources, keys=keys)
-    g = dist.groupBy(*keys, F.col("source").alias("node")).agg(
-        F.sum(F.col("d") * F.col("cnt")).alias("_s"), F.sum("cnt").alias("_r")
-    )
+    g = Distances(nodes, edges, sources, keys=keys).sums()
     n = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("node").alias("_last"))
-    d = attach(at.select(*keys, "node").join(g, [*keys, "node"], "left"), n, keys=keys, t="node")
-    value = F.when(F.col("_s") > 0, F.col("_r") / F.col("_s") * (F.col("_r") / (F.col("_n") - 1))).otherwise(0.0)
+    d = attach(g, n, keys=keys, t="node")
+    value = F.when(F.col("total") > 0, F.col("reached") * F.col("reached") / (F.col("total") * (F.col("_n") - 1))).otherwise(0.0)
     return d.select(*keys, "node", value.alias("closeness"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame | None = None, *, keys=KEYS) -> DataFrame:
-    """MET-9: normalised betweenness, exact or from pivot sources scaled by n / k.
+def _added(rows: DataFrame, by, name: str) -> DataFrame:
+    """Sums at each place of the arrays ``name`` over the rows of a group."""
+    return rows.groupBy(*by).agg(F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(WIDTH)]).alias(name))
+
 
-    Forward: shortest-path counts level by level for all sources at once. Backward: the
-    dependencies of a level go to its predecessors, farthest level first.
+def _dependencies(arcs: DataFrame, start: DataFrame, keys) -> DataFrame:
+    """(keys, node, delta): dependencies of all sources of ``start`` (keys, node, batch, bit), added up by node.
+
+    A row is a node and a batch of 64 sources: an array of path counts. Forward, level by level: a node next to level d
+    lies on level d - 1, d or d + 1, so the last two levels tell which counts are new. Backward, farthest level first,
+    each level hands its dependencies to the level before.
     """
-    both = cut(arcs(edges, keys))
-    src = (nodes if pivots is None else pivots).select(*keys, "node")
-    sk = (*keys, "source")
-    levels = [cut(src.select(*keys, F.col("node").alias("source"), "node", F.lit(1.0).alias("sigma")))]
-    seen = levels[0].select(*sk, "node")
-    by_node = both.withColumnRenamed("src", "node")
+    by = (*keys, "batch", "node")
+    one = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.when(i == F.col("bit"), 1.0).otherwise(0.0))
+    levels = [cut(_added(start.select(*by, one.alias("sigma")), by, "sigma"))]
+    before = levels[0].where(F.lit(False))
     while True:
-        step = levels[-1].join(by_node, [*keys, "node"]).groupBy(*sk, "dst").agg(F.sum("sigma").alias("sigma"))
-        new, rows = cut_counted(step.withColumnRenamed("dst", "node").join(seen, [*sk, "node"], "left_anti"))
+        sent = levels[-1].join(arcs, [*keys, "node"]).select(*keys, "batch", F.col("dst").alias("node"), F.col("sigma").alias("got"))
+        old = _added(levels[-1].unionByName(before).select(*by, F.col("sigma").alias("old")), by, "old")
+        met = _added(sent, by, "got").join(old, list(by), "left")
+        fresh = F.when(F.col("old").isNull(), F.col("got")).otherwise(F.zip_with("got", "old", lambda x, y: F.when(y > 0, 0.0).otherwise(x)))
+        new, rows = cut_counted(met.select(*by, fresh.alias("sigma")).where(F.exists("sigma", lambda x: x > 0)))
         if rows == 0:
             break
+        before = levels[-1]
         levels.append(new)
-        # a node next to level d can only lie on levels d-1, d, d+1
-        seen = levels[-1].select(*sk, "node").unionByName(levels[-2].select(*sk, "node"))
-    delta, parts = None, []
-    for i in range(len(levels) - 1, 0, -1):
-        here = levels[i]
-        if delta is not None:
-            here = here.join(delta, [*sk, "node"], "left")
-        else:
-            here = here.withColumn("delta", F.lit(0.0))
-        here = here.withColumn("delta", F.coalesce("delta", F.lit(0.0)))
-        parts.append(here.select(*keys, "node", "delta"))
-        share = here.select(*sk, F.col("node").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("_q"))
-        back = share.join(both, [*keys, "dst"]).select(*sk, F.col("src").alias("node"), "_q")
-        got = back.groupBy(*sk, "node").agg(F.sum("_q").alias("_q"))
-        delta = cut(
-            levels[i - 1].join(got, [*sk, "node"]).select(*sk, "node", (F.col("sigma") * F.col("_q")).alias("delta"))
-        )
-    n = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("node").alias("_last"))
+    total = start.select(*keys, "node", F.lit(0.0).alias("delta")).where(F.lit(False))
+    here = levels[-1].withColumn("got", F.transform("sigma", lambda x: F.lit(0.0)))  # sigma, and what comes back to it
+    for level in [*reversed(levels[:-1]), None]:
+        delta = F.zip_with("got", "sigma", lambda x, y: x * y)
+        here = here.select(*by, "sigma", delta.alias("delta"))
+        if level is None:  # the sources themselves
+            break
+        summed = F.aggregate("delta", F.lit(0.0), lambda a, x: a + x)
+        total = total.unionByName(here.select(*keys, "node", summed.alias("delta")))
+        share = F.zip_with("delta", "sigma", lambda x, y: F.when(y > 0, (1 + x) / y).otherwise(0.0))
+        back = here.select(*by, share.alias("got")).join(arcs, [*keys, "node"]).select(*keys, "batch", F.col("dst").alias("node"), "got")
+        nothing = F.transform("sigma", lambda x: F.lit(0.0))
+        here = cut(level.join(_added(back, by, "got"), list(by), "left").select(*by, "sigma", F.coalesce("got", nothing).alias("got")))
+    return cut(total.groupBy(*keys, "node").agg(F.sum("delta").alias("delta")))
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame | None = None, *, keys=KEYS, at_once: int = STATE_ROWS) -> DataFrame:
+    """MET-9: normalised betweenness, exact or from pivot sources scaled by n / k.
+
+    Batches of 64 sources a graph go through ``_dependencies`` together, as many at once as keep the state (nodes times
+    batches) at about ``at_once`` rows.
+    """
+    arcs = cut(arcs_of(edges, keys, "node", "dst"))
+    src = cut((nodes if pivots is None else pivots).select(*keys, "node"))
+    start = numbered(src, keys)
+    n = cut(nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("node").alias("_last")))
+    batches = (start.agg(F.max("batch")).first()[0] or 0) + 1
+    together = max(1, at_once // max(1, n.agg(F.sum("_n")).first()[0] or 0))
+    total = nodes.select(*keys, "node", F.lit(0.0).alias("delta"))
+    for first in range(0, batches, together):
+        part = start.where((F.col("batch") >= first) & (F.col("batch") < first + together))
+        total = total.unionByName(_dependencies(arcs, part, keys))
     k = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
-    total = nodes.select(*keys, "node").withColumn("delta", F.lit(0.0))
-    for p in parts:
-        total = total.unionByName(p)
     g = total.groupBy(*keys, "node").agg(F.sum("delta").alias("_b"))
     d = attach(g, n.join(k, list(keys)), keys=keys, t="node")
     scale = (F.col("_n") / F.col("_k")) / ((F.col("_n") - 1.0) * (F.col("_n") - 2.0))
@@ -369,7 +326,7 @@ def eigenvector(
     ``rounds`` asks for that many plain power steps instead.
     """
     loops = nodes.select(*keys, F.col("node").alias("from"), F.col("node").alias("dst"))
-    both = cut(arcs(edges, keys).withColumnRenamed("src", "from").unionByName(loops))
+    both = cut(arcs_of(edges, keys, "from").unionByName(loops))
     last = cut(nodes.groupBy(*keys).agg(F.max("node").alias("_last"), F.count(F.lit(1)).alias("_n")))
     v = cut(attach(nodes.select(*keys, "node"), last, keys=keys, t="node").select(*keys, "node", (1 / F.sqrt("_n")).alias("v")))
     if rounds is not None:

@@ -278,7 +278,7 @@ def diameter_two_sweeps(spark, d):
 
 @query(
     "closeness",
-    f"""WITH RECURSIVE {GRAPH_SQL}, {BFS_SQL} SELECT dist.series_id, s AS node, round(CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d)::DOUBLE * (count(*) - 1) / (any_value(n) - 1) ELSE 0 END, 6) AS closeness
+    f"""WITH RECURSIVE {GRAPH_SQL}, {BFS_SQL} SELECT dist.series_id, s AS node, round(CASE WHEN sum(d) > 0 THEN ((count(*) - 1) * (count(*) - 1))::DOUBLE / (sum(d) * (any_value(n) - 1))::DOUBLE ELSE 0 END, 6) AS closeness
       FROM dist JOIN size ON size.series_id = dist.series_id GROUP BY ALL""",
 )
 def closeness(spark, d):
