@@ -248,3 +248,21 @@ def test_urls_odd_tables(spark):
     long = ["http://a.org/" + "x" * 1_000_000, "http://" + "a." * 100_000 + "com/de/" + "1" * 300_000, "é" * 500_000]
     got = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(pages(spark, long)).collect()}
     assert got[0] == "allow" and got[1] == "block"
+
+
+UNBROKEN = {0: "a" * 1_000_000, 1: "host=a" + ".a" * 100_000, 2: "7" * 1_000_000, 3: "joe1@a" + ".a" * 100_000, 4: "a." * 300_000, 5: "AKIA" + "Z" * 500_000, 6: "%_" * 300_000 + "@x.org", 7: "token=" + "=" * 500_000}
+
+
+def test_unbroken_runs_take_linear_time(spark):
+    """One token of a million characters, a host of 100,000 labels, one long run of digits: seconds, and no overflow."""
+    import time
+
+    from tidegraph.llm import pseudonyms, secrets
+
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "f", 2, 3, "p") for i, t in UNBROKEN.items()], DOCS)
+    begin = time.time()
+    spans = {r["doc_id"]: r for r in secrets.secret_report(secrets.secret_spans(docs)).collect()}
+    assert spans[5]["n_access"] == 1 and spans[0]["n_hex"] == 1 and len(spans) == 8
+    texts = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(docs, "key").collect()}
+    assert texts[0] == UNBROKEN[0] and texts[2] == UNBROKEN[2] and len(texts[6]) == len(UNBROKEN[6])
+    assert time.time() - begin < 120

@@ -20,7 +20,7 @@ from tidegraph.llm.near_dedup import near_groups
 from tidegraph.llm.pseudonyms import KINDS as PRIVATE_KINDS
 from tidegraph.llm.pseudonyms import pseudonymise
 from tidegraph.llm.quality import score_quality, train_quality
-from tidegraph.llm.secrets import ACCESS, ASSIGN, BARE, BREAK, ENDPOINT, HEX, KEY_ID, KINDS, REACH, ROLE, STRONG, secret_report, secret_spans
+from tidegraph.llm.secrets import ACCESS, ASSIGN, BARE, BREAK, ENDPOINT, HEX, KEY_ID, KINDS, ROLE, STRONG, secret_report, secret_spans
 from tidegraph.llm.url_filters import ASIDE, BIN, ORDER, PRIOR, RULES, SHARE, SYMBOLS, UNKNOWN, filter_urls
 
 PSEUDONYM_KEY = "tidegraph demonstration key"
@@ -120,7 +120,7 @@ def _secrets_sql() -> str:
     rank = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS))
     strong = ", ".join(f"'{k}'" for k in STRONG)
     value = _quoted("[:=] *[\"'']?([A-Za-z0-9+/_.=-]+)$".replace("''", "'"))
-    near = f"EXISTS (SELECT 1 FROM r o WHERE o.doc_id = w.doc_id AND o.scope = w.scope AND o.role = '%s' AND w.s - o.e <= {REACH} AND o.s - w.e <= {REACH} AND (o.kind, o.s) <> (w.kind, w.s))"
+    near = "EXISTS (SELECT 1 FROM r o WHERE o.doc_id = w.doc_id AND o.scope = w.scope AND o.role = '%s' AND (o.kind, o.s) <> (w.kind, w.s))"
     joined = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank)%s, '')"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

@@ -1,8 +1,8 @@
 """Secrets in texts, with multipart linking, by DataFrame functions only.
 
 Three strong kinds (``assign``, ``access``, ``hex``) are always reported. Three weak kinds say little alone and are
-reported only when complementary parts lie within ``reach`` code points in the same scope (a block of lines without an
-empty line between): ``key_id`` (a named account or key id) with a secret, ``bare`` (40 mixed characters) with an
+reported only when complementary parts lie in the same scope (a block of lines without an empty line between; on
+request also within ``reach`` code points): ``key_id`` (a named account or key id) with a secret, ``bare`` (40 mixed characters) with an
 identifier, ``endpoint`` (an address) with both. A weak candidate that overlaps a strong span is dropped.
 
 Every candidate is an interval of its document. The interval join of a candidate with the nearest interval of another
@@ -25,13 +25,12 @@ HEX = r"[0-9a-f]{32,}"
 
 KEY_ID = r"""(?i:access_?key_?id|access_?key|client_?id|account|login|user_?name|user)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{4,}"""
 BARE = r"[A-Za-z0-9/+=_-]{40,}"
-ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?"""
+ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9-](?::[0-9]+)?"""
 BREAK = r"\n[\x20\t\r]*\n"
 
 KINDS = ("assign", "access", "hex", "key_id", "bare", "endpoint")
 STRONG = KINDS[:3]
 ROLE = {"access": "id", "key_id": "id", "assign": "secret", "hex": "secret", "bare": "secret", "endpoint": "endpoint"}
-REACH = 200
 
 
 def _hits(text: Column, kind: str, pattern: str, keep=lambda hit: F.lit(True)) -> Column:
@@ -63,7 +62,7 @@ def _mixed(hit: Column) -> Column:
     )
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
     """All spans: row (a number for each row of ``docs``), doc_id, kind, start, end (code points, end exclusive).
 
     A row of ``docs`` without spans (also a null or empty text) gives one row whose kind is null. Repeated rows are
@@ -118,9 +117,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def near(name: str) -> Column:
         last = F.max(F.when(F.col("role") == name, F.col("end"))).over(before)
         following = F.min(F.when(F.col("role") == name, F.col("start"))).over(behind)
-        return F.coalesce(F.col("start") - last <= reach, F.lit(False)) | F.coalesce(
-            following - F.col("end") <= reach, F.lit(False)
-        )
+        if reach is None:
+            return last.isNotNull() | following.isNotNull()
+        return F.coalesce(F.col("start") - last <= reach, F.lit(False)) | F.coalesce(following - F.col("end") <= reach, F.lit(False))
 
     is_strong = F.col("kind").isin(*STRONG)
     covered = F.coalesce(F.max(F.when(is_strong, F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(
