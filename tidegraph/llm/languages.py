@@ -26,7 +26,7 @@ _P = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917)]
 
 def _letters() -> np.ndarray:
     flags = np.zeros(0x110000, bool)
-    flags[[c for c in range(0x30000) if chr(c).isalpha()]] = True
+    flags[[c for c in range(0x110000) if chr(c).isalpha()]] = True
     return flags
 
 

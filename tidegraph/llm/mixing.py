@@ -111,8 +111,8 @@ def solve_multipliers(histogram: DataFrame, targets: DataFrame, most: float = MO
         open_sources = state.where(~F.col("done")).count()
         state = state.drop("done")
         if not open_sources:
-            break
-    return state
+            return state
+    raise ArithmeticError(f"multipliers of {open_sources} sources did not settle in {steps} steps")
 
 
 def _crossing(parts: DataFrame, by: list[str], rest: str) -> DataFrame:

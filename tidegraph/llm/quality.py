@@ -31,7 +31,7 @@ _TOP = np.uint64(64 - BITS)
 
 def _shape(token: str) -> int:
     if not (token[0].isalnum() or token[0] == "_"):
-        return 16 + zlib.crc32(token[:4].encode()) % 1000
+        return 16 + zlib.crc32(token.encode("utf-8", "replace")) % 1000
     if token.isdigit():
         return 1
     if any(c.isdigit() for c in token):
