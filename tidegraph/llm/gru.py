@@ -64,9 +64,13 @@ class Gru:
 
     def log_prob(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural logarithm of each word's probability: its class, then the word in its class."""
-        logits = states @ self.p["wc"] + self.p["bc"]
+        def picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            own = logits[np.arange(len(at)), at]
+            np.exp(logits, out=logits)
+            return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+
         cls = self.cls[words]
-        out = logits[np.arange(len(words)), cls] - np.log(np.exp(logits).sum(axis=1))
+        out = picked(states @ self.p["wc"] + self.p["bc"], cls)
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(len(self.bounds)))
         for c in np.flatnonzero(np.diff(ends)):
@@ -74,8 +78,7 @@ class Gru:
             if end - begin == 1:
                 continue
             rows = order[ends[c] : ends[c + 1]]
-            inner = states[rows] @ self.p["wo"][begin:end].T + self.p["bo"][begin:end]
-            out[rows] += inner[np.arange(len(rows)), words[rows] - begin] - np.log(np.exp(inner).sum(axis=1))
+            out[rows] += picked(states[rows] @ self.p["wo"][begin:end].T + self.p["bo"][begin:end], words[rows] - begin)
         return out
 
     def learn(self, inputs: np.ndarray, words: np.ndarray, real: np.ndarray, state: np.ndarray, rate: float) -> np.ndarray:

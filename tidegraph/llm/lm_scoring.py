@@ -11,11 +11,12 @@ Counts of the ``HEAD`` most frequent words go to the workers; rarer words are jo
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,6 @@ SCORE_ROWS = 4096
 PIECE = 16_384
 GROUP = 16
 RATE = 0.01
-_FLUSH = 400_000
 END = ""  # no word is empty, so the empty string stands for the end of a text
 
 
@@ -40,27 +40,26 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()  # bytes: only ASCII letters and white space are looked at
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """word, c over all texts of ``train``; each text ends with END."""
+def _split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts laid end to end, and the text each belongs to: bytes are compared, as ``words_of`` does."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    words = lists.flatten()
+    owner = np.repeat(np.arange(len(text)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    real = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty piece
+    return words.filter(real), owner[real.to_numpy(zero_copy_only=False)]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: Counter = Counter()
 
-        def rows() -> pd.DataFrame:
-            out = pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in sums], "c": list(sums.values())})
-            sums.clear()
-            return out
+def word_counts(train: DataFrame) -> DataFrame:
+    """word, c over all texts of ``train``; each text ends with END."""
 
-        for batch in filled(batches):
-            for text in batch["text"]:
-                sums.update(words_of(text))
-                if len(sums) > _FLUSH:  # sums of a part: Spark adds them up
-                    yield rows()
-            sums[END.encode()] += len(batch)
-        if sums:
-            yield rows()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:  # sums of a batch: Spark adds them up
+                found = pc.value_counts(_split(batch.column(0))[0])
+                words, counts = found.field("values"), found.field("counts")
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END])]), pa.concat_arrays([counts, pa.array([batch.num_rows])])], ["word", "c"])
 
-    return cut(train.select("text").mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    return cut(train.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
 
 
 class Vocabulary:
@@ -83,17 +82,8 @@ class Vocabulary:
         self.unknown = int(number[n])
         self.model = np.full(len(words) + 1, self.unknown, np.int64)
         self.model[:n] = number[:n]
-        self.place = {w.encode(): i for i, w in enumerate(words)}
-        self.end = self.place.get(END.encode(), -1)
-
-    def places(self, text: str) -> tuple[np.ndarray, list[bytes]]:
-        """Place in the head of each token (-1: not there), end included, and the words not there."""
-        words = words_of(text)
-        get = self.place.get
-        at = [get(w, -1) for w in words]
-        found = np.array([*at, self.end], np.int64)
-        tail = [w for w, i in zip(words, at, strict=True) if i < 0] if -1 in at else []
-        return found, tail
+        self.words = words
+        self.end = words.index(END) if END in words else -1
 
     def new_model(self) -> Gru:
         return Gru(self.mass, self.bounds)
@@ -154,24 +144,40 @@ def encoded(docs: DataFrame, vocab: Vocabulary, *keep: str) -> DataFrame:
     model adds for unknown ones (``extra``) and the words that are not in the head; written once, read by every later step."""
     words = docs.sparkSession.sparkContext.broadcast(vocab)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = words.value
+        head = pa.array(v.words, pa.string())
         # an end never seen in training counts as a word never seen
-        lost = v.base[-1] if v.end < 0 else 0.0
-        for batch in filled(batches):
-            rows = []
-            for text in batch["text"]:
-                places, tail = v.places(text)
-                model = v.model[places]
-                head = places[places >= 0] if v.end >= 0 else places[:-1][places[:-1] >= 0]
-                unknown = float(v.base[head[v.model[head] == v.unknown]].sum()) + lost - int((model == v.unknown).sum()) * v.rest
-                rows.append((model.astype(np.int16).tobytes(), len(places), len(head), float(v.base[head].sum()) + lost, unknown, [w.decode("utf-8", "replace") for w in tail]))
-            out = pd.DataFrame(rows, columns=["codes", "n_tokens", "known", "base", "extra", "tail"])
-            yield pd.concat([batch.drop(columns="text").reset_index(drop=True), out], axis=1)
+        known_end, end_score, end_code = (1, v.base[v.end], v.model[v.end]) if v.end >= 0 else (0, v.base[-1], v.unknown)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            found, owner = _split(batch.column("text"))
+            place = pc.fill_null(pc.index_in(found, value_set=head), -1).to_numpy(zero_copy_only=False)
+            model, met = v.model[place], place >= 0
+            length = np.bincount(owner, minlength=n) + 1
+            begins = np.append(0, np.cumsum(length))
+            codes = np.empty(begins[-1], np.int16)
+            codes[begins[1:] - 1] = end_code
+            codes[np.arange(len(model)) + owner] = model
+            unknown = model == v.unknown
+            score = np.where(met, v.base[place], 0.0)
+            extra = np.bincount(owner, np.where(unknown, score - v.rest, 0.0), minlength=n) + (end_score - v.rest if end_code == v.unknown else 0.0)
+            tail = ~met
+            ends = np.append(0, np.cumsum(np.bincount(owner[tail], minlength=n))).astype(np.int32)
+            columns = {
+                "codes": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * begins).astype(np.int32)), pa.py_buffer(codes)]),
+                "n_tokens": pa.array(length), "known": pa.array(np.bincount(owner[met], minlength=n) + known_end),
+                "base": pa.array(np.bincount(owner, score, minlength=n) + end_score), "extra": pa.array(extra),
+                "tail": pa.ListArray.from_arrays(pa.array(ends), found.filter(pa.array(tail))),
+            }
+            kept = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays(kept + list(columns.values()), [*keep, *columns])
 
     kinds = dict(docs.dtypes)
     schema = "".join(f"{c} {kinds[c]}, " for c in keep) + "codes binary, n_tokens long, known long, base double, extra double, tail array<string>"
-    return cut(docs.select(*keep, "text").mapInPandas(encode, schema))
+    return cut(docs.select(*keep, "text").mapInArrow(encode, schema))
 
 
 def _rows_of(codes: pd.Series) -> list[np.ndarray]:
