@@ -266,3 +266,20 @@ def test_unbroken_runs_take_linear_time(spark):
     texts = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(docs, "key").collect()}
     assert texts[0] == UNBROKEN[0] and texts[2] == UNBROKEN[2] and len(texts[6]) == len(UNBROKEN[6])
     assert time.time() - begin < 120
+
+
+def test_two_vectors_of_one_id_are_two_candidates(spark):
+    from tidegraph.llm import cover_trees
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 0.3, (3000, 6)).round(2)
+    rows = [(i // 2 * 2 if i % 10 == 1 else i, v.tolist(), 1) for i, v in enumerate(x)]  # ids with two vectors, in several blocks
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, pivot int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in cover_trees.top_inner_products(table, table.where("vec_id % 300 = 5"), 8).collect())
+    whole = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v, _ in rows]
+    want = []
+    for q, v in whole:
+        if q % 300 == 5:
+            best = sorted((-int(v @ w), i) for i, w in whole if i != q)[:8]
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)

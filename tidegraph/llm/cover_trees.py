@@ -108,6 +108,7 @@ class Best:
         self.score = np.full((n, k), np.iinfo(np.int64).min, np.int64)
         self.id = np.full((n, k), np.iinfo(np.int64).max, np.int64)
         self.full = np.zeros(n, np.int64)
+        self.fresh = np.zeros((n, k), bool)  # found by the present search
 
     def worst(self, begin: int, end: int) -> float:
         """Worst kth score of a range of queries; minus infinity while one has fewer than k."""
@@ -124,8 +125,9 @@ class Best:
         low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
         s = np.concatenate([self.score[begin + rows], np.where(usable[rows], scores[rows], low)], axis=1)
         i = np.concatenate([self.id[begin + rows], np.where(usable[rows], ids, high)], axis=1)
+        f = np.concatenate([self.fresh[begin + rows], usable[rows]], axis=1)
         top = np.lexsort((i, ~s), axis=1)[:, : self.k]  # ~s falls as s rises, without overflow
-        self.score[begin + rows], self.id[begin + rows] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+        self.score[begin + rows], self.id[begin + rows], self.fresh[begin + rows] = (np.take_along_axis(x, top, 1) for x in (s, i, f))
         self.full[begin + rows] = np.minimum(self.k, self.full[begin + rows] + usable[rows].sum(axis=1))
 
 
@@ -237,16 +239,11 @@ def top_inner_products(table: DataFrame, queries: DataFrame, k: int = 20, id_col
                 for row in batch.itertuples(index=False):
                     (q, keys), (d, _) = _opened(row.tree), _opened(row.data_tree)
                     best = Best(len(q.ids), k) if row.best is None else pickle.loads(row.best)
-                    before = None if row.best is None else (best.score.copy(), best.id.copy())
+                    best.fresh[:] = False  # what the first search found is there already
                     dual_search(q, d, best, exact)
-                    real = best.id != np.iinfo(np.int64).max
-                    if before is not None:  # what the first search found is there already
-                        new = np.array([~np.isin(a, b) for a, b in zip(best.id, before[1], strict=True)]) & real
-                    else:
-                        new = real
-                    i, j = np.nonzero(new)
+                    i, j = np.nonzero(best.fresh)
                     yield pd.DataFrame({
-                        "pivot": row.pivot, "salt": row.salt, "worst": best.worst(0, len(q.ids)), "best": [pickle.dumps(best) if before is None else None],
+                        "pivot": row.pivot, "salt": row.salt, "worst": best.worst(0, len(q.ids)), "best": [pickle.dumps(best) if row.best is None else None],
                         "query_id": [q.ids[i].tolist()], "query_key": [[keys[x] for x in i]], "vec_id": [best.id[i, j].tolist()], "score": [best.score[i, j].tolist()],
                     })
 
