@@ -6,6 +6,7 @@ import json
 import os
 import re
 import statistics
+import sys
 import time
 
 from tidegraph.core import release, session
@@ -36,6 +37,7 @@ def main() -> None:
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - start)
         took[name] = round(statistics.median(runs), 3)
+        print(f"{name} {took[name]}", file=sys.stderr, flush=True)  # a stop keeps the figures so far
     release(spark)
     sf = re.search(r"sf([0-9.]+)", folder)
     print(json.dumps({"metric": "total_wall", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": float(sf.group(1)) if sf else None, "cpus": cpus}))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegraph import layout
 from tidegraph.layout import attach, ordered_position, over_time, quantiles, scan, summarise
 from tidegraph.operators import windows as W
 
@@ -90,3 +91,27 @@ def test_long_plateau_counts_once_in_small_blocks(make):
     for block in (3, 1 << 20):
         got = {(r.series_id, r.t) for r in W.local_maxima(df, block=block).collect()}
         assert got == {("p", 2), ("p", 5), ("q", 20)}
+
+
+def test_affine_scan_equals_a_loop(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, t, float(a), float(m)) for k, n in (("a", 37), ("b", 1), ("c", 64)) for t, (a, m) in enumerate(rng.uniform(-1, 1, (n, 2)))]
+    df = spark.createDataFrame(rows, "series_id string, t long, add double, mul double")
+    got = {(r.series_id, r.t): (r.add, r["mul"]) for r in layout.affine_scan(df, "add", "mul", rows=64).collect()}
+    for key in "abc":
+        add, mul = 0.0, 1.0
+        for k, t, a, m in rows:
+            if k == key:
+                add, mul = a + m * add, m * mul
+                assert np.allclose(got[k, t], (add, mul), atol=1e-12)
+
+
+def test_spread_join_deals_hot_keys(spark):
+    """Nine rows of ten under one key: as many rows as a plain join, no part with more than a few of them."""
+    left = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    got = layout.spread_join(left, right, ["k"], "n")
+    assert got.columns == ["k", "v", "s"] and got.count() == 20_000 and got.select("v").distinct().count() == 20_000
+    assert got.where("k = 0").select("s").distinct().count() == 1
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan

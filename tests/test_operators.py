@@ -202,3 +202,24 @@ def test_series_that_are_constant_zero_short_or_null(spark):
     assert {r["series_id"]: r["rel_rmse"] for r in aggregates.reconstruction(comps, full).collect()}["zero"] is None
     doc = spark.createDataFrame([("p\\begin{document}one\\begin{document}two \\end{document}x",)], "s string")
     assert doc.select(text.strip_latex(doc["s"])).first()[0] == "two"
+    summary = {r["series_id"]: r for r in aggregates.price_summary(full.withColumn("ts", F.timestamp_seconds("t")), 5).collect()}
+    assert summary["zero"].total_return is None and summary["fine"].total_return is not None and len(summary) == len({*summary})
+
+
+def test_latex_marks_that_stay_open(spark):
+    """Each environment against the plain pattern, and many open marks in linear time."""
+    import re
+    import time
+
+    from tidegraph.operators import text
+
+    marks = ["\\begin{table}", "\\end{table}", "\\begin{tabular}", "\\end{tabular}", "\\begin{thebibliography}", "\\end{thebibliography}", "a", " b", "\n"]
+    rng = np.random.default_rng(3)
+    rows = [("".join(rng.choice(marks, 12)),) for _ in range(200)]
+    for name in text.ENVIRONMENTS:
+        got = [r[0] for r in spark.createDataFrame(rows, "s string").coalesce(1).select(text._without(F.col("s"), name)).collect()]
+        assert got == [re.sub(rf"(?s)\\begin\{{{name}\}}.*?\\end\{{{name}\}}", "", r[0]) for r in rows]
+    begin = time.time()
+    open_marks = spark.createDataFrame([("\\begin{table} x " * 50_000,), ("word " * 400_000,), ("\\end{table}" * 50_000,)], "s string")
+    assert [len(r[0]) > 0 for r in open_marks.select(text.strip_latex(F.col("s"))).collect()] == [True, True, False]
+    assert time.time() - begin < 60

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("series_id",)
+_SHIPPED: set[str] = set()
 
 
 def session(app: str = "tidegraph", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -24,7 +27,9 @@ def session(app: str = "tidegraph", master: str | None = None, partitions: int |
         builder = builder.master(master).config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +45,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tidegraph-{sc.applicationId}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of a session whose workers do not find it themselves: neither the working
+    folder nor PYTHONPATH holds it. Once a session."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if sc.applicationId in _SHIPPED or root in map(os.path.abspath, filter(None, known)):
+        return
+    _SHIPPED.add(sc.applicationId)
+    packed = os.path.join(tempfile.mkdtemp(prefix="tidegraph-"), "tidegraph.zip")
+    with zipfile.ZipFile(packed, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "tidegraph")):
+            for name in names:
+                if name.endswith(".py"):
+                    out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    sc.addPyFile(packed)
+
+
 def new_path(spark: SparkSession) -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
@@ -53,6 +76,7 @@ def cut(df: DataFrame) -> DataFrame:
     join), a written table has its true size, so small sides are broadcast only when they
     are proven small. Only a local session without the setting gets a temporary folder.
     """
+    ship(df.sparkSession)
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

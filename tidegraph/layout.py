@@ -5,7 +5,9 @@ Every operator on ordered series is built from these pieces:
 ``ordered_position``  exact 0-based rank inside a key, from a global range sort;
 ``over_time``         bounded window frames on fixed blocks of a series plus a halo;
 ``scan``              running sum / max / min over a whole series, in three levels;
+``affine_scan``       running composition of affine maps, for recursions over a series;
 ``attach``            join per-series values to rows, in chunks of rows;
+``spread_join``       join per-key values to rows, hot keys dealt to parts;
 ``quantiles``         exact quantiles by rank selection over counted values.
 
 A short series is one block, so the same plan serves millions of short series and one
@@ -23,6 +25,8 @@ from tidegraph.core import KEYS, cut
 
 BLOCK = 1 << 20
 CHUNK = 1 << 22
+HEAVY = 1024
+PARTS = 64
 
 
 def _div(c: Column, n: int) -> Column:
@@ -162,6 +166,22 @@ def scan(
     )
 
 
+def affine_scan(df: DataFrame, add: str, mul: str, *, keys=KEYS, t="t", rows: int) -> DataFrame:
+    """Running composition of the affine maps h -> add + mul * h of a series, in order of ``t``: columns ``add`` and
+    ``mul`` become those of the whole chain up to the row.
+
+    Composition is associative, so after a step with lag 1, 2, 4, ... a row holds the chain of its last 2, 4, 8, ... maps.
+    All steps share one sort; ``rows``: the longest series. For long series, give one row a block of points.
+    """
+    w = Window.partitionBy(*keys).orderBy(t)
+    step = 1
+    while step < rows:
+        before_add, before_mul = F.coalesce(F.lag(add, step).over(w), F.lit(0.0)), F.coalesce(F.lag(mul, step).over(w), F.lit(1.0))
+        df = df.withColumns({add: F.col(add) + F.col(mul) * before_add, mul: F.col(mul) * before_mul})
+        step *= 2
+    return df
+
+
 def summarise(df: DataFrame, *aggs: Column, keys=KEYS, t="t") -> DataFrame:
     """Per-key aggregates plus ``_last``, the largest position, which ``attach`` needs."""
     return df.groupBy(*keys).agg(*aggs, F.max(t).alias("_last"))
@@ -174,6 +194,20 @@ def attach(df: DataFrame, stats: DataFrame, *, keys=KEYS, t="t", how="inner", ch
     return left.join(right.drop("_last"), [*keys, "_chunk"], how).drop("_chunk")
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], rows: str, *, parts=PARTS, share=HEAVY) -> DataFrame:
+    """Inner join of ``left`` with one row a key of ``right``, whose column ``rows`` counts the rows of ``left`` at the key.
+
+    Keys with more than 1/share of all rows - there are fewer than ``share`` of them, so their list may be broadcast - are
+    dealt to ``parts`` parts on both sides; no task gets a hot key alone. Column ``rows`` is dropped.
+    """
+    total = right.agg(F.sum(rows)).scalar()
+    heavy = F.broadcast(right.where(F.col(rows) * share > total).select(*on, F.lit(parts).alias("_parts")))
+    deal = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int")).otherwise(0)
+    dealt = left.join(heavy, list(on), "left").withColumn("_part", deal).drop("_parts")
+    copies = right.drop(rows).join(heavy, list(on), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return dealt.join(copies.drop("_parts"), [*on, "_part"]).drop("_part")
+
+
 def ranked_values(df: DataFrame, x: str, *, keys=KEYS) -> DataFrame:
     """Distinct values of each key with their ranks: keys, x, ``_lo`` <= rank < ``_hi``, ``_n`` (rows of the key).
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.core import KEYS
 from tidegraph.functions.closed import t_critical
-from tidegraph.layout import BLOCK, attach, over_time, quantiles, ranked_values
+from tidegraph.layout import BLOCK, attach, over_time, quantiles, ranked_values, spread_join
 from tidegraph.operators.shape import RESIDUAL
 from tidegraph.operators.windows import change_columns, local_maxima, rolling
 
@@ -36,7 +36,7 @@ def price_summary(df: DataFrame, width: int = 30, *, keys=KEYS, t="t", x="x", ts
         F.avg("ret").alias("ret_mean"), F.stddev_samp("ret").alias("ret_std"),
         F.avg("_vol").alias("vol_mean"), F.max("_vol").alias("vol_max"),
     )
-    return g.withColumn("total_return", (F.col("_b") / F.col("_a") - 1) * 100).drop("_a", "_b")
+    return g.withColumn("total_return", (F.try_divide("_b", "_a") - 1) * 100).drop("_a", "_b")
 
 
 def yearly_returns(df: DataFrame, *, keys=KEYS, t="t", x="x", ts="ts", block=BLOCK) -> DataFrame:
@@ -366,8 +366,8 @@ def metric_range(metrics: DataFrame, values: Sequence[str], *, by=("graph",)) ->
 
 def histogram(df: DataFrame, x="x", bins: int = 50, *, keys=KEYS, t="t") -> DataFrame:
     """AGG-19: equal-width bins between minimum and maximum; the top edge belongs to the last bin."""
-    s = df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.max(t).alias("_last"))
-    r = attach(df, s, keys=keys, t=t).where(F.col(x).isNotNull())
+    s = df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(F.lit(1)).alias("_rows"))
+    r = spread_join(df.select(*keys, x, t), s, keys, "_rows").where(F.col(x).isNotNull())
     pos = (F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins
     b = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(pos), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
     return r.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))

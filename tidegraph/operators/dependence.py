@@ -6,13 +6,13 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegraph.core import KEYS, cut
 from tidegraph.functions.closed import adf_p, chi2_even_tail, kpss_p, normal_cdf
-from tidegraph.layout import BLOCK, attach, longest, ordered_position, over_time, scan, summarise
+from tidegraph.layout import BLOCK, affine_scan, attach, longest, ordered_position, over_time, scan, summarise
 from tidegraph.operators.aggregates import component_pairs, line_fit
 from tidegraph.operators.windows import delay_embedding, lagged_pairs
 from tidegraph.tiles import nearest, pair_counts
@@ -297,7 +297,8 @@ def volatility_grid(
 
     v is the mean square of the series and the start value of h. beta = 0 is ARCH(1)
     (2 parameters), else GARCH(1,1) (3 parameters). The recursion is affine in its start
-    value, so blocks of ``span`` points are folded on their own, chained, and evaluated again.
+    value, so blocks of ``span`` points are folded to one map each, the maps chained by ``affine_scan``, and the blocks
+    evaluated again from their start values.
     """
     points = F.array(*[F.struct(F.lit(i).alias("point"), *[F.lit(float(g[k])).alias(k) for k in ("omega", "alpha", "beta")]) for i, g in enumerate(grid)])
     v = summarise(df, F.avg(F.col(x) ** 2).alias("_v"), F.count(F.lit(1)).alias("n"), keys=keys, t=t)
@@ -310,15 +311,11 @@ def volatility_grid(
     )
     a, b, w = F.col("alpha"), F.col("beta"), F.col("omega") * F.col("_v")
     end = F.aggregate("sq", F.lit(0.0), lambda acc, s: w + a * s + b * acc)
-    maps = blocks.groupBy(*keys, "point").agg(
-        F.array_sort(F.collect_list(F.struct("blk", end.alias("add"), F.pow(b, F.size("sq").cast("double")).alias("mul")))).alias("_m"),
-        F.max("_v").alias("_v"),
-    )
-    starts = F.aggregate(
-        "_m", F.array(F.col("_v")),
-        lambda acc, m: F.concat(acc, F.array(m["add"] + m["mul"] * F.element_at(acc, -1))),
-    )
-    chain = maps.select(*keys, "point", F.posexplode(starts).alias("blk", "_h0"))
+    maps = blocks.select(*keys, "point", "blk", "_v", end.alias("add"), F.pow(b, F.size("sq").cast("double")).alias("mul"))
+    chain = affine_scan(maps, "add", "mul", keys=(*keys, "point"), t="blk", rows=longest(blocks, "blk"))
+    before = Window.partitionBy(*keys, "point").orderBy("blk")
+    reached = F.lag("add", 1).over(before) + F.lag("mul", 1).over(before) * F.col("_v")
+    chain = chain.select(*keys, "point", "blk", F.coalesce(reached, "_v").alias("_h0"))
     start = F.struct(F.col("_h0").alias("h"), F.lit(0.0).alias("l"))
     ll = F.aggregate(
         "sq", start,

@@ -220,10 +220,12 @@ def natural_visibility(series: DataFrame, *, keys=KEYS, t="t", x="x", fan=FAN, b
 
 
 def recurrence_threshold(
-    cloud: DataFrame, *, sample=1000, neighbours=99, percentile=0.10, seed: int = 42, keys=KEYS
+    cloud: DataFrame, *, sample: int | None = None, neighbours=99, percentile=0.10, seed: int = 42, keys=KEYS
 ) -> DataFrame:
-    """GRF-3: (keys, epsilon): percentile of the distances from up to ``sample`` points (by hash) to
-    their ``neighbours`` nearest points."""
+    """GRF-3: (keys, epsilon): percentile of the distances from each point to its ``neighbours`` nearest points; on
+    request only from ``sample`` points a key, in hash order."""
+    if sample is None:
+        return quantiles(sample_neighbours(cloud, cloud.select(*keys, "node", "vec"), neighbours, keys=keys), "dist", [percentile], keys=keys, names=["epsilon"])
     ident = [F.col(k).cast("string") for k in keys]
     drawn = cloud.withColumn("_u", uniform("sample", *ident, F.col("node"), F.lit(seed)))
     picked = ordered_position(drawn, ["_u", "node"], keys=keys, name="_pos").where(F.col("_pos") < sample)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.core import KEYS, cut, cut_counted
 from tidegraph.functions.noise import uniform
-from tidegraph.layout import attach, ordered_position, quantiles
+from tidegraph.layout import attach, ordered_position, quantiles, spread_join
 from tidegraph.operators.distances import WIDTH, Distances, arcs_of, numbered
 
 # Edge limits per graph type, for the report of metric_flags.
@@ -76,15 +76,15 @@ def component_labels(nodes: DataFrame, edges: DataFrame, *, keys=KEYS, max_round
     for _ in range(max_rounds):
         # large star: neighbours above u are linked to the smallest of u and its neighbours
         both = e.select(*keys, F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("_e")).select(*keys, "_e.a", "_e.b")
-        low = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("_rows"))
         large = (
-            both.where(F.col("b") > F.col("a")).join(low, [*keys, "a"])
+            spread_join(both.where(F.col("b") > F.col("a")), low, [*keys, "a"], "_rows")  # a hub is no task of its own
             .select(*keys, F.col("b").alias("u"), F.col("m").alias("v")).distinct()
         )
         large = cut(large)
         # small star: neighbours below u, and u, are linked to the smallest of them
-        low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        joined = large.join(low, [*keys, "u"])
+        low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows"))
+        joined = spread_join(large, low, [*keys, "u"], "_rows")
         small = (
             joined.where(F.col("v") != F.col("m")).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select(*keys, "u", F.col("m").alias("v")))

@@ -224,7 +224,7 @@ def reconstruction_metrics(by_column: DataFrame, *, keys=KEYS) -> DataFrame:
 
 
 def ica_grid(matrix: DataFrame, p: int, ks: Sequence[int] | None = None, *, seed=42, max_rounds=200, keys=KEYS, t="t") -> DataFrame:
-    """RED-6: (keys, k, r2_mean, frobenius, rmse, max_corr) for k = 2 .. p - 1."""
+    """RED-6: (keys, k, r2_mean, frobenius, rmse, max_corr, converged) for k = 2 .. p - 1."""
     out = None
     for k in ks or range(2, p):
         m = ica_model(matrix, p, k, seed=seed, max_rounds=max_rounds, keys=keys, t=t)
@@ -232,7 +232,7 @@ def ica_grid(matrix: DataFrame, p: int, ks: Sequence[int] | None = None, *, seed
         back = inverse(z, m, p, k, keys=keys, t=t)
         fit = reconstruction_metrics(reconstruction_by_column(matrix, back, p, keys=keys, t=t), keys=keys)
         corr = correlation_summary(as_components(z, keys=keys, t=t), keys=keys, t=t).select(*keys, F.col("max_abs").alias("max_corr"))
-        row = fit.join(corr, list(keys)).withColumn("k", F.lit(k))
+        row = fit.join(corr, list(keys)).join(m.select(*keys, "converged"), list(keys)).withColumn("k", F.lit(k))
         out = row if out is None else out.unionByName(row)
     return cut(out)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.core import KEYS
-from tidegraph.layout import attach, ordered_position
+from tidegraph.layout import ordered_position, spread_join
 
 RESIDUAL = "Residuo"
 
@@ -96,10 +96,9 @@ def missing_report(df: DataFrame, cols: Sequence[str], *, keys=KEYS) -> DataFram
 # FLT-3
 def truncate_to_common_length(df: DataFrame, *, keys=KEYS, within=("method",), t="t") -> DataFrame:
     """Cut the tables of a key (told apart by ``within``) to the shortest of them."""
-    sizes = df.groupBy(*keys, *within).agg((F.max(t) + 1).alias("_n")).groupBy(*keys).agg(
-        F.min("_n").alias("_n"), F.max("_n").alias("_last")
-    )
-    return attach(df, sizes, keys=keys, t=t).where(F.col(t) < F.col("_n")).drop("_n")
+    sizes = df.groupBy(*keys, *within).agg((F.max(t) + 1).alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    sizes = sizes.groupBy(*keys).agg(F.min("_n").alias("_n"), F.sum("_rows").alias("_rows"))
+    return spread_join(df, sizes, keys, "_rows").where(F.col(t) < F.col("_n")).drop("_n")
 
 
 # FLT-4

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Markup patterns and what stays of them, applied in this order.
+# Environments that go with their content, and markup patterns with what stays of them, in this order.
+# The environments go before the rules of ``LAST``.
+DOCUMENT = (r"\begin{document}", r"\end{document}")
+ENVIRONMENTS = ("table", "tabular", "thebibliography")
 LATEX_RULES = (
-    (r"(?s).*?\\begin\{document\}", ""),
-    (r"(?s)\\end\{document\}.*", ""),
     (r"\\(section|subsection|subsubsection)\*?\{([^}]+)\}", "$2"),
     (r"\\(textbf|textit|emph|texttt)\{([^}]+)\}", "$2"),
     (r"\\(citep|citet|ref)\{[^}]+\}", ""),
@@ -19,9 +20,8 @@ LATEX_RULES = (
     (r"\\end\{(itemize|enumerate|description)\}", ""),
     (r"\\item\s*\\(textbf)?\{([^}]+)\}", "- $2"),
     (r"\\item\s+", "- "),
-    (r"(?s)\\begin\{table\}.*?\\end\{table\}", ""),
-    (r"(?s)\\begin\{tabular\}.*?\\end\{tabular\}", ""),
-    (r"(?s)\\begin\{thebibliography\}.*?\\end\{thebibliography\}", ""),
+)
+LAST = (
     (r"\\bibitem\{[^}]+\}", ""),
     (r"\\newblock", ""),
     (r"\\(maketitle|tableofcontents|newpage|centering|caption\{[^}]+\})", ""),
@@ -32,14 +32,25 @@ LATEX_RULES = (
 )
 
 
+def _without(text: Column, name: str) -> Column:
+    """``text`` without each stretch from a begin mark to the next end mark. Cut at the end marks, a piece loses what
+    stands behind its first begin mark; behind the last end mark nothing goes. Linear, however many marks stay open."""
+    begin, end = f"\\begin{{{name}}}", f"\\end{{{name}}}"
+    pieces = F.split(text, "\\Q" + end + "\\E", -1)
+    closed = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.when(F.contains(p, F.lit(begin)), F.substring_index(p, begin, 1)).otherwise(F.concat(p, F.lit(end))))
+    return F.when(F.contains(text, F.lit(begin)), F.concat(F.array_join(closed, ""), F.element_at(pieces, -1))).otherwise(text)
+
+
 def strip_latex(text: Column) -> Column:
-    """TXT-1: prose without commands; lines trimmed, empty lines dropped."""
-    out = text
+    """TXT-1: prose without commands; lines trimmed, empty lines dropped. Only what follows the last beginning of a
+    document counts, up to the first end."""
+    begin, end = DOCUMENT
+    out = F.substring_index(F.substring_index(text, begin, -1), end, 1)
     for pattern, keep in LATEX_RULES:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(keep))
+    for name in ENVIRONMENTS:
+        out = _without(out, name)
+    for pattern, keep in LAST:
+        out = F.regexp_replace(out, F.lit(pattern), F.lit(keep))
     lines = F.transform(F.split(out, "\n"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
-
-
-def strip_latex_table(df: DataFrame, col: str = "text") -> DataFrame:
-    return df.withColumn(col, strip_latex(F.col(col)))

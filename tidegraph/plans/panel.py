@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.core import cut
-from tidegraph.operators import aggregates, decompose, graphs, metrics
+from tidegraph.operators import aggregates, decompose, graphs, metrics, reduce
 
 GKEYS = ("series_id", "method", "component")
 
@@ -34,6 +34,18 @@ def run_panel(series: DataFrame, config: PanelConfig = PanelConfig()) -> dict[st
     return {"components": comps, "quality": quality, "nodes": nodes, "edges": edges, "metrics": table}
 
 
+def ica_panel(matrix: DataFrame, p: int, k: int, kinds: Sequence[str] = ("hvg", "nvg"), *, seed: int = 42, max_rounds: int = 200) -> DataFrame:
+    """One row for each key of ``matrix`` (series_id, t, vec of p values), independent component and graph type: sizes and
+    degrees of the graph, and whether the components converged."""
+    keys = ("series_id", "component")
+    model = reduce.ica_model(matrix, p, k, seed=seed, max_rounds=max_rounds)
+    channels = cut(reduce.as_components(reduce.transform(matrix, model, p, k)).select(*keys, "t", "x"))
+    nodes, edges, _ = graphs.all_graphs(channels, kinds, keys=keys)
+    nodes, edges = cut(nodes.drop("features")), cut(edges)
+    table = metrics.size_metrics(nodes, edges, keys=(*keys, "graph")).join(metrics.degree_metrics(nodes, edges, keys=(*keys, "graph")), [*keys, "graph"])
+    return table.join(model.select("series_id", "converged"), "series_id")
+
+
 def flagship(series: DataFrame) -> DataFrame:
     """Per series: volatility of returns and the structure of its horizontal visibility graph."""
     from tidegraph.operators.aggregates import price_summary

@@ -624,11 +624,13 @@ LATEX_TAIL = (
 
 
 def _latex_sql() -> str:
-    from tidegraph.operators.text import LATEX_RULES
+    from tidegraph.operators.text import ENVIRONMENTS, LAST, LATEX_RULES
 
+    document = ((r"(?s).*?\\begin\{document\}", ""), (r"(?s)\\end\{document\}.*", ""))
+    whole = tuple((rf"(?s)\\begin\{{{n}\}}.*?\\end\{{{n}\}}", "") for n in ENVIRONMENTS)
     quote = lambda s: s.replace("'", "''")
     expr = f"'{quote(LATEX_HEAD)}' || text || '{quote(LATEX_TAIL)}'"
-    for pattern, keep in LATEX_RULES:
+    for pattern, keep in (*document, *LATEX_RULES, *whole, *LAST):
         expr = f"regexp_replace({expr}, '{quote(pattern)}', '{quote(keep.replace('$', chr(92)))}', 'g')"
     lines = f"[y for y in [regexp_replace(s, '^\\s+|\\s+$', '', 'g') for s in string_split({expr}, chr(10))] if y <> '']"
     return f"SELECT doc_id, array_to_string({lines}, chr(10)) AS text FROM documents"

@@ -17,11 +17,11 @@ def _need(df: DataFrame, *cols: str) -> None:
 
 
 def load_series(df: DataFrame, ts: str, value: str, series_id: str | None = None, name: str = "series") -> DataFrame:
-    """SRC-1: (series_id, ts, x DOUBLE, t) with t = 0-based position by time."""
+    """SRC-1: (series_id, ts, x DOUBLE, t) with t = 0-based position by time; rows of equal time in order of value."""
     _need(df, ts, value, *([series_id] if series_id else []))
     sid = F.col(series_id).cast("string") if series_id else F.lit(name)
     rows = df.select(sid.alias("series_id"), F.col(ts).alias("ts"), F.col(value).cast("double").alias("x"))
-    return ordered_position(rows, ["ts"])
+    return ordered_position(rows, ["ts", "x"])
 
 
 def read_csv_series(
@@ -65,10 +65,11 @@ def collect_table(
 ) -> DataFrame:
     """SRC-5: CSV files below ``{folder}/{graph}/{component}/`` as one table, key columns first.
 
-    Files of one graph type share their header; types are united by name.
+    Files of one graph type share their header. Columns are united by name: a column gets the type its values have,
+    double where graph types differ in the kind of number, string where they differ otherwise.
     """
-    reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    out = None
+    reader = spark.read.options(header=True, inferSchema=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    parts = []
     for graph in graphs:
         part = reader.csv(f"{folder}/{graph}")
         cols = [c for c in part.columns if c not in ("component", "graph")]
@@ -77,9 +78,19 @@ def collect_table(
             F.lit(graph).alias("graph"),
             *cols,
         )
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+        parts.append(part)
+    if not parts:
         raise ValueError("no graph types given")
+    kinds: dict[str, set[str]] = {}
+    for part in parts:
+        for column, kind in part.dtypes:
+            kinds.setdefault(column, set()).add(kind)
+    numbers = {"int", "bigint", "double"}
+    same = {c: next(iter(k)) if len(k) == 1 else "double" if k <= numbers else "string" for c, k in kinds.items()}
+    out = None
+    for part in parts:
+        part = part.select(*[F.col(c).cast(same[c]).alias(c) for c in part.columns])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
