@@ -223,3 +223,22 @@ def test_latex_marks_that_stay_open(spark):
     open_marks = spark.createDataFrame([("\\begin{table} x " * 50_000,), ("word " * 400_000,), ("\\end{table}" * 50_000,)], "s string")
     assert [len(r[0]) > 0 for r in open_marks.select(text.strip_latex(F.col("s"))).collect()] == [True, True, False]
     assert time.time() - begin < 60
+
+
+def test_grids_in_one_run_equal_single_runs(make):
+    """Points of a grid with different numbers of modes, passes, trials and widths, each as if it ran alone."""
+    from tidegraph.operators import decompose as DC
+
+    t = np.arange(240)
+    s = make(a=np.sin(t / 3) + np.sin(t / 17) + t / 100, b=np.cos(t / 5) * (1 + t / 60), flat=np.ones(240))
+    grids = {
+        "band": [{"k": 2, "dc": 0}, {"k": 4, "dc": 1}, {"k": 3}], "sift": [{"max_imf": 1, "sifts": 2}, {"max_imf": 3, "sifts": 1}, {"max_imf": 2}],
+        "ensemble": [{"trials": 2, "max_imf": 2, "sifts": 2}, {"trials": 3, "noise_width": 0.2, "max_imf": 1, "sifts": 1, "seed": 7}],
+    }
+    for method, grid in grids.items():
+        _, comps = DC.evaluate_grid(s, method, grid)
+        got = {(r.series_id, r.point, r.component, r.idx, r.t): r.x for r in comps.collect()}
+        want = {}
+        for i, g in enumerate(grid):
+            want |= {(r.series_id, i, r.component, r.idx, r.t): r.x for r in DC.decompose(s, method, g).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got), method

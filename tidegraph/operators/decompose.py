@@ -22,8 +22,8 @@ def _turns(x: Column, p: Column, n: Column, tol: Column) -> tuple[Column, Column
     return (x - p > tol) & (x - n >= -tol), (p - x > tol) & (n - x >= -tol)
 
 
-def _sift_pass(df: DataFrame, keys, t, h: str, block: int, rows: int) -> DataFrame:
-    """Replace column ``h`` by h minus the mean of its two piecewise-linear envelopes."""
+def _sift_pass(df: DataFrame, keys, t, h: str, block: int, rows: int, on: Column) -> DataFrame:
+    """Where ``on`` holds, replace column ``h`` by h minus the mean of its two piecewise-linear envelopes."""
     base = list(df.columns)
     d = over_time(
         df, lambda w: {"_p": F.lag(h).over(w), "_n": F.lead(h).over(w)},
@@ -45,18 +45,18 @@ def _sift_pass(df: DataFrame, keys, t, h: str, block: int, rows: int) -> DataFra
         )
 
     mean = (envelope("_lmax", "_rmax") + envelope("_lmin", "_rmin")) / 2.0
-    return d.withColumn(h, F.when(F.col("_go"), x - mean).otherwise(x)).select(*base)
+    return d.withColumn(h, F.when(on, x - mean).otherwise(x)).select(*base)
 
 
-def _extrema_counts(df: DataFrame, keys, t, x: str, block: int, rows: int | None = None) -> DataFrame:
-    """Per key: numbers of maxima and minima, last position; needs the flatness column ``_tol``."""
+def _extrema_counts(df: DataFrame, keys, t, x: str, block: int, rows: int | None = None, *more: Column) -> DataFrame:
+    """Per key: numbers of maxima and minima, last position and ``more``; needs the flatness column ``_tol``."""
     d = over_time(
         df, lambda w: {"_p": F.lag(x).over(w), "_n": F.lead(x).over(w)},
         keys=keys, t=t, before=1, after=1, block=block, rows=rows,
     )
     top, low = _turns(F.col(x), F.col("_p"), F.col("_n"), F.col("_tol"))
     return d.groupBy(*keys).agg(
-        F.count(F.when(top, 1)).alias("_maxima"), F.count(F.when(low, 1)).alias("_minima"), F.max(t).alias("_last")
+        F.count(F.when(top, 1)).alias("_maxima"), F.count(F.when(low, 1)).alias("_minima"), F.max(t).alias("_last"), *more
     )
 
 
@@ -74,28 +74,36 @@ def sift(
     """
     if max_imf < 1 or sifts < 1:
         raise ValueError("max_imf and sifts must be at least 1")
-    base = series.select(*keys, t, F.col(x).cast("double").alias("_r"))
+    base = series.select(*keys, t, F.col(x).cast("double").alias("_r"), F.lit(max_imf).alias("_most"), F.lit(sifts).alias("_passes"))
+    return _sift_many(base, max_imf, sifts, keys, t, block)
+
+
+def _sift_many(base: DataFrame, most: int, passes: int, keys, t, block: int) -> DataFrame:
+    """``sift`` of many series at once, each with its own numbers of modes and passes: (keys, t, _r, _most, _passes).
+    ``most`` and ``passes`` are the largest of these."""
     flat = _spread(base, keys, t, "_r", "_sd")
     state = cut(
-        attach(base, flat, keys=keys, t=t).select(*keys, t, "_r", (F.col("_sd") * FLAT).alias("_tol"))
+        attach(base, flat, keys=keys, t=t).select(*keys, t, "_r", "_most", "_passes", (F.col("_sd") * FLAT).alias("_tol"))
     )
     rows = longest(state, t)
     modes: list[DataFrame] = []
-    for k in range(1, max_imf + 1):
-        counts = cut(_extrema_counts(state, keys, t, "_r", block, rows))
-        alive = (F.col("_maxima") >= 2) & (F.col("_minima") >= 2)
+    for k in range(1, most + 1):
+        counts = cut(_extrema_counts(state, keys, t, "_r", block, rows, F.max("_most").alias("_most")))
+        alive = (F.col("_maxima") >= 2) & (F.col("_minima") >= 2) & (F.col("_most") >= k)
         if counts.where(alive).isEmpty():
             break
         go = counts.select(*keys, "_last", alive.alias("_go"))
         work = attach(state, go, keys=keys, t=t).withColumn("_h", F.col("_r"))
-        for _ in range(sifts):
-            work = _sift_pass(work, keys, t, "_h", block, rows)
+        for done in range(passes):
+            work = _sift_pass(work, keys, t, "_h", block, rows, F.col("_go") & (F.col("_passes") > done))
         work = cut(work)
         modes.append(
             work.where("_go").select(*keys, F.lit(f"IMF_{k}").alias("component"), F.lit(k).alias("idx"), t, F.col("_h").alias("x"))
         )
-        state = work.select(*keys, t, F.when(F.col("_go"), F.col("_r") - F.col("_h")).otherwise(F.col("_r")).alias("_r"), "_tol")
-    out = state.select(*keys, F.lit(RESIDUAL).alias("component"), F.lit(max_imf + 1).alias("idx"), t, F.col("_r").alias("x"))
+        state = work.select(
+            *keys, t, F.when(F.col("_go"), F.col("_r") - F.col("_h")).otherwise(F.col("_r")).alias("_r"), "_most", "_passes", "_tol"
+        )
+    out = state.select(*keys, F.lit(RESIDUAL).alias("component"), (F.col("_most") + 1).alias("idx"), t, F.col("_r").alias("x"))
     for m in modes:
         out = out.unionByName(m)
     return out
@@ -105,12 +113,12 @@ def _spread(series: DataFrame, keys, t, x, name: str) -> DataFrame:
     return summarise(series, F.stddev_pop(x).alias(name), keys=keys, t=t)
 
 
-def _with_residual(modes: DataFrame, series: DataFrame, keys, t, x, idx: int) -> DataFrame:
+def _with_residual(modes: DataFrame, series: DataFrame, keys, t, x, idx: int | Column) -> DataFrame:
     total = modes.groupBy(*keys, t).agg(F.sum("x").alias("_sum"))
     res = series.select(*keys, t, F.col(x).cast("double").alias("_x")).join(total, [*keys, t], "left")
     return modes.unionByName(
         res.select(
-            *keys, F.lit(RESIDUAL).alias("component"), F.lit(idx).alias("idx"), t,
+            *keys, F.lit(RESIDUAL).alias("component"), (F.lit(idx) if isinstance(idx, int) else idx).alias("idx"), t,
             (F.col("_x") - F.coalesce("_sum", F.lit(0.0))).alias("x"),
         )
     )
@@ -201,22 +209,30 @@ def band_split(series: DataFrame, k: int = 5, dc: int = 1, *, keys=KEYS, t="t",
     """
     if k < 2:
         raise ValueError("k must be at least 2")
-    bands = k - 1 if dc == 1 else k
+    d = _averages(series, k - 1 if dc == 1 else k, keys, t, x, block)
+    return d.select(*keys, t, F.explode(F.array(*_band_cells(k, dc))).alias("_c")).select(*keys, "_c.component", "_c.idx", t, "_c.x")
+
+
+def _averages(series: DataFrame, bands: int, keys, t, x, block: int) -> DataFrame:
+    """The series as _m0 and its centred moving averages of half-width 1, 2, 4, ... as _m1 .. _m<bands>."""
     half = [2**i for i in range(bands)]
-    d = over_time(
+    return over_time(
         series.select(*keys, t, F.col(x).cast("double").alias("_m0")),
         lambda w: {f"_m{i + 1}": F.avg("_m0").over(w.rowsBetween(-h, h)) for i, h in enumerate(half)},
         keys=keys, t=t, before=half[-1], after=half[-1], block=block,
     )
+
+
+def _band_cells(k: int, dc: int) -> list[Column]:
+    """The components of ``band_split`` as structs (component, idx, x) over the columns of ``_averages``."""
+    bands = k - 1 if dc == 1 else k
     band = [F.col(f"_m{i}") - F.col(f"_m{i + 1}") for i in range(bands)]
-    trend = F.col(f"_m{bands}")
-    modes = [trend, *reversed(band)] if dc == 1 else band
+    modes = [F.col(f"_m{bands}"), *reversed(band)] if dc == 1 else band
     total = modes[0]
     for m in modes[1:]:
         total = total + m
     cells = [F.struct(F.lit(f"IMF_{i + 1}").alias("component"), F.lit(i + 1).alias("idx"), m.alias("x")) for i, m in enumerate(modes)]
-    cells.append(F.struct(F.lit(RESIDUAL).alias("component"), F.lit(k + 1).alias("idx"), (F.col("_m0") - total).alias("x")))
-    return d.select(*keys, t, F.explode(F.array(*cells)).alias("_c")).select(*keys, "_c.component", "_c.idx", t, "_c.x")
+    return [*cells, F.struct(F.lit(RESIDUAL).alias("component"), F.lit(k + 1).alias("idx"), (F.col("_m0") - total).alias("x"))]
 
 
 METHODS = {"sift": sift, "ensemble": ensemble_sift, "adaptive": adaptive_noise_sift, "band": band_split}
@@ -230,14 +246,63 @@ def decompose(series: DataFrame, method: str, params: Mapping | None = None, *,
     return out.withColumn("method", F.lit(method))
 
 
-def evaluate_grid(series: DataFrame, method: str, grid: Sequence[Mapping], *, keys=KEYS, t="t") -> tuple[DataFrame, DataFrame]:
+def _pick(grid: Sequence[Mapping], name: str, default) -> Column:
+    """Value of a parameter at the row's ``point``."""
+    return F.get(F.array(*[F.lit(g.get(name, default)) for g in grid]), F.col("point"))
+
+
+def _at_points(df: DataFrame, grid: Sequence[Mapping]) -> DataFrame:
+    return df.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
+
+
+def _sift_grid(series: DataFrame, grid: Sequence[Mapping], keys, t, x, block) -> DataFrame:
+    base = _at_points(series.select(*keys, t, F.col(x).cast("double").alias("_r")), grid)
+    base = base.withColumns({"_most": _pick(grid, "max_imf", 8), "_passes": _pick(grid, "sifts", 5)})
+    return _sift_many(base, max(g.get("max_imf", 8) for g in grid), max(g.get("sifts", 5) for g in grid), (*keys, "point"), t, block)
+
+
+def _ensemble_grid(series: DataFrame, grid: Sequence[Mapping], keys, t, x, block) -> DataFrame:
+    ident, pk = [F.col(k).cast("string") for k in keys], (*keys, "point")
+    spread = attach(series.select(*keys, t, F.col(x).alias("x")), _spread(series, keys, t, x, "_sd"), keys=keys, t=t)
+    trials = _pick(grid, "trials", 100)
+    copies = _at_points(spread, grid).withColumn("trial", F.explode(F.sequence(F.lit(0), trials - 1)))
+    noise = gauss(*ident, F.col("trial"), F.col(t), _pick(grid, "seed", 42))
+    noisy = copies.select(*pk, "trial", t, (F.col("x") + _pick(grid, "noise_width", 0.05) * F.col("_sd") * noise).alias("_r"))
+    noisy = noisy.withColumns({"_most": _pick(grid, "max_imf", 8), "_passes": _pick(grid, "sifts", 5)})
+    modes = _sift_many(noisy, max(g.get("max_imf", 8) for g in grid), max(g.get("sifts", 5) for g in grid), (*pk, "trial"), t, block)
+    sums = modes.where(F.col("component") != RESIDUAL).groupBy(*pk, "component", "idx", t).agg(F.sum("x").alias("x"))
+    mean = cut(sums.withColumn("x", F.col("x") / trials))
+    return _with_residual(mean, _at_points(series.select(*keys, t, x), grid), pk, t, x, _pick(grid, "max_imf", 8) + 1)
+
+
+def _band_grid(series: DataFrame, grid: Sequence[Mapping], keys, t, x, block) -> DataFrame:
+    """All points share one window pass: the averages of the widest one are those of all others."""
+    out = []
+    for i, g in enumerate(grid):
+        k, dc = g.get("k", 5), g.get("dc", 1)
+        if k < 2:
+            raise ValueError("k must be at least 2")
+        out += [F.struct(F.lit(i).alias("point"), c.alias("c")) for c in _band_cells(k, dc)]
+    d = _averages(series, max(g.get("k", 5) - (g.get("dc", 1) == 1) for g in grid), keys, t, x, block)
+    cells = d.select(*keys, t, F.explode(F.array(*out)).alias("_p"))
+    return cells.select(*keys, "_p.point", "_p.c.component", "_p.c.idx", t, "_p.c.x")
+
+
+#: Methods whose grids run as one plan, the point a part of the key; others run point by point.
+GRIDS = {"sift": _sift_grid, "ensemble": _ensemble_grid, "band": _band_grid}
+
+
+def evaluate_grid(series: DataFrame, method: str, grid: Sequence[Mapping], *, keys=KEYS, t="t", x="x", block=BLOCK) -> tuple[DataFrame, DataFrame]:
     """(evaluations, components) of a method on a parameter grid; ``point`` numbers the grid."""
     if not grid:
         raise ValueError("empty grid")
-    comps = None
-    for i, g in enumerate(grid):
-        c = decompose(series, method, g, keys=keys, t=t).drop("method").withColumn("point", F.lit(i))
-        comps = c if comps is None else comps.unionByName(c)
+    if method in GRIDS:
+        comps = GRIDS[method](series, grid, tuple(keys), t, x, block)
+    else:
+        comps = None
+        for i, g in enumerate(grid):
+            c = decompose(series, method, g, keys=keys, t=t, x=x).drop("method").withColumn("point", F.lit(i))
+            comps = c if comps is None else comps.unionByName(c)
     comps = cut(comps)
     q = agg.quality(comps, series, keys=(*keys, "point"), skeys=keys, t=t)
     names = F.array(*[F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in g.items()])) for g in grid])

@@ -310,20 +310,22 @@ _LIN = """lin AS (SELECT series_id, point, 1 - sum(e * e) / (sum((x - m) * (x -
 
 @query(
     "calibrate_linear_residual",
-    f"""WITH {_GQ}, {_LIN}, ch AS (SELECT 'linear_residual' AS choice, * FROM (SELECT * FROM al WHERE rel_rmse < 1e-10 AND point IN (0, 1)) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY (NOT rising)::INT, (slope <= 0)::INT, -modes, -round(r2, 9),
+    f"""WITH {_GQ}, {_LIN}, ch AS (SELECT 'linear_residual' AS choice, * FROM (SELECT * FROM al WHERE rel_rmse < 1e-10) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY (NOT rising)::INT, (slope <= 0)::INT, -modes, -round(r2, 9),
         -round(up, 9), round(line_rmse, 9), round(rel_rmse, 9), round(pair_corr, 9), point) = 1
-      UNION ALL SELECT 'separation', * FROM (SELECT * FROM al WHERE rel_rmse < 1e-10 AND point IN (0, 1)) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(pair_corr, 9), round(residual_share, 9), point) = 1
+      UNION ALL SELECT 'separation', * FROM (SELECT * FROM al WHERE rel_rmse < 1e-10) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(pair_corr, 9), round(residual_share, 9), point) = 1
       UNION ALL SELECT 'reference', * FROM al WHERE point = 0)
       SELECT series_id, choice, point, modes - 1 AS n_imfs, round(pair_corr, 6) AS pair_corr, round(r2, 6) AS r2, round(up, 6) AS rise_share, rising FROM ch""",
 )
 def calibrate_linear_residual(spark, d):
-    c = DC.calibrate_linear_residual(cut(ship_series(spark, d)), "band", BAND_GRID[:2])
+    c = DC.calibrate_linear_residual(cut(ship_series(spark, d)), "band", BAND_GRID)
     return rounded(c.select("series_id", "choice", "point", "n_imfs", "pair_corr", "r2", "rise_share", "rising"))
 
 
 @query("compare_methods")
 def compare_methods(spark, d):
-    return rounded(DC.compare_methods(cut(hour_series(spark, d)), {"band": {"k": 3, "dc": 0}, "sift": {"max_imf": 2}})[0])
+    noisy = {"trials": 4, "max_imf": 2, "sifts": 3}
+    methods = {"band": {"k": 3, "dc": 0}, "sift": {"max_imf": 2}, "ensemble": noisy, "adaptive": noisy}
+    return rounded(DC.compare_methods(cut(hour_series(spark, d)), methods)[0])
 
 
 @query(

@@ -97,7 +97,7 @@ _COLLECTED = {"hvg": ("IMF_1", "IMF_2"), "nvg": ("IMF_1", "Residuo")}
 @query(
     "collected_table",
     "\nUNION ALL ".join(
-        f"""SELECT '{c}' AS component, '{g}' AS graph, event_type, CAST(user_id AS INTEGER) AS user_id, {"CAST(count(*) AS DOUBLE)" if g == "hvg" else "round(avg(value), 4)"} AS value,
+        f"""SELECT '{c}' AS component, '{g}' AS graph, event_type, CAST(user_id AS INTEGER) AS user_id, {"CAST(count(*) AS DOUBLE)" if g == "hvg" else "max(value)"} AS value,
           {"CAST(sum(event_id) AS INTEGER)" if g == "hvg" else "NULL"} AS ids FROM events WHERE user_id % 2 = {i} GROUP BY event_type, user_id"""
         for g, parts in _COLLECTED.items() for i, c in enumerate(parts)
     ),
@@ -111,7 +111,7 @@ def collected_table(spark, d):
             if graph == "hvg":
                 rows = rows.agg(F.count(F.lit(1)).alias("value"), F.sum("event_id").alias("ids"))
             else:
-                rows = rows.agg(F.round(F.avg("value"), 4).alias("value"))
+                rows = rows.agg(F.max("value").alias("value"))
             writers.write_table(rows, f"{path}/{graph}/{component}", fmt="csv")
     return readers.collect_table(spark, path, tuple(_COLLECTED))
 
