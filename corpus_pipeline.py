@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``; all but the last return the columns of ``documents``.
+
+Every stage works on all rows it is given and on whole texts. A null text counts as empty. Rows with a null id pass the
+deduplication by near copies and are otherwise rows like others. Repeated rows are one text to the deduplications and rows of
+their own elsewhere. Ties go to the smaller id. Further columns are carried along, whatever their names. An empty table gives
+an empty table of the same columns.
 """
 
 from __future__ import annotations

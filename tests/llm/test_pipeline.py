@@ -38,3 +38,28 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.where(F.size("ids") != F.col("n_tokens")).isEmpty()
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, file string, row long, digest string, _doc string, size long"
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in every column, repeated rows, an unbroken long text, columns whose names clash with inner ones; and nothing at all."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    texts = [None, "", " \n ", "x" * 300_000, " ".join(words * 3), " ".join(words * 3), " ".join([*words * 3, "nu"]), "one two"]
+    rows = [(i, t, None if i % 2 else "en", None if i % 3 == 0 else f"s{i % 3}", None, "f", 3, None, "d", 1) for i, t in enumerate(texts)]
+    rows += [rows[4], (None, "no id", None, None, None, None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, SCHEMA)
+    none = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        got, nothing = stage(spark, odd, SF), stage(spark, none, SF)
+        assert nothing.columns == got.columns and nothing.isEmpty(), name
+        if name != "encoding":
+            assert got.columns == odd.columns
+        found = sorted(str(r["doc_id"]) for r in got.collect())
+        if name == "exact_dedup":
+            assert found == ["0", "2", "3", "4", "6", "7", "None"]
+        if name == "near_dedup":
+            assert found == ["0", "1", "2", "3", "4", "4", "7", "None"]
+        if name == "encoding":
+            assert len(found) == len(rows)

@@ -115,7 +115,11 @@ def exact_groups(
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called.
+
+    Of equal texts one row stays, of repeated rows of the least id too; null, empty and white texts are equal as
+    ``exact_groups`` says. Texts of any length are compared whole. An empty table gives an empty result.
+    """
     docs = scanned(docs)
     stays = exact_groups(docs, id_col, text_col).where("kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
     rows = whole_rows(docs)

@@ -195,7 +195,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns."""
+    """The rows of ``docs`` as often as the mix takes them (0, 1 or 2 times), with all their columns, whatever these are
+    called. Null texts have size 0, null sources are a source of their own; see ``mix``. An empty table gives an empty
+    result."""
     docs = scanned(docs)
     counts = mix(docs, id_col, text_col, source_col).where("copies > 0").select(
         F.col("file").alias("_file"), F.col("row").alias("_row"), F.col("copies").alias("_copies")

@@ -358,7 +358,12 @@ def near_groups(
 
 
 def near_dedup(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each group the row with the least id."""
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called: of each group those with the
+    least id (repeated rows of it all stay).
+
+    Null, empty and white texts and rows with a null id stay: they are linked with nothing. Whole texts of any length are
+    compared. An empty table gives an empty result.
+    """
     docs = scanned(docs)
     stays = near_groups(docs, words, threshold).where("kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
     rows = whole_rows(docs)

@@ -155,7 +155,9 @@ def score_quality(docs: DataFrame, weights: np.ndarray, folds: int = 3, held: in
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """The rows of ``docs`` whose score is at least 0.5, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` whose score is at least 0.5, with all their columns, whatever these are called; nothing is
+    shuffled. Null texts score as empty ones; equal texts are kept or dropped together; whole texts of any length are
+    scored. An empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("boolean")
