@@ -189,18 +189,18 @@ def sql_mi(src: str, top: int) -> str:
       tau AS MATERIALIZED (SELECT series_id, CASE WHEN count(*) <= 2 THEN min(tau) ELSE coalesce(min(tau) FILTER (v < p AND v < n), min(tau) FILTER (v > p), min(tau) + 1) END AS tau FROM mil GROUP BY 1)"""
 
 
-@query("mutual_information", f"WITH {SQL_HOUR}, {sql_mi('s_hour', 20)} SELECT series_id, tau, round(mi, 6) AS mi FROM mi")
+@query("mutual_information", f"WITH {SQL_HOUR}, {sql_mi('s_hour', 50)} SELECT series_id, tau, round(mi, 6) AS mi FROM mi")
 def mutual_information(spark, d):
-    return rounded(D.mutual_information(hour_series(spark, d), 20).withColumn("tau", F.col("tau").cast("long")))
+    return rounded(D.mutual_information(hour_series(spark, d), 50).withColumn("tau", F.col("tau").cast("long")))
 
 
 @query(
     "choose_tau",
-    f"""WITH {SQL_HOUR}, {sql_mi('s_hour', 20)}, fr AS (SELECT series_id, min(tau) FILTER (v > p) - 2 AS first_rise FROM mil GROUP BY 1)
+    f"""WITH {SQL_HOUR}, {sql_mi('s_hour', 50)}, fr AS (SELECT series_id, min(tau) FILTER (v > p) - 2 AS first_rise FROM mil GROUP BY 1)
       SELECT series_id, tau, first_rise FROM tau JOIN fr USING (series_id)""",
 )
 def choose_tau(spark, d):
-    mi = cut(D.mutual_information(hour_series(spark, d), 20).withColumn("tau", F.col("tau").cast("long")))
+    mi = cut(D.mutual_information(hour_series(spark, d), 50).withColumn("tau", F.col("tau").cast("long")))
     return D.choose_tau(mi).join(D.choose_tau(mi, rule="first_rise").withColumnRenamed("tau", "first_rise"), "series_id")
 
 
