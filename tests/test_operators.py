@@ -155,7 +155,7 @@ def test_sources_and_sinks(spark, tmp_path, graph):
         (p / f"grafo_{g}_imf_1_metadata.csv").write_text(f"{head}\n{row}\n")
     c = readers.collect_table(spark, str(tmp_path / "grafos"), ("hvg", "recurrencia"))
     assert c.columns[:2] == ["component", "graph"]
-    assert {(v.graph, v.component, v.num_nodes, v.num_edges, v.tau) for v in c.collect()} == {("hvg", "imf_1", "8", "12", None), ("recurrencia", "imf_1", "6", None, "2")}
+    assert {(v.graph, v.component, v.num_nodes, v.num_edges, v.tau) for v in c.collect()} == {("hvg", "imf_1", 8, 12, None), ("recurrencia", "imf_1", 6, None, 2)}
     nodes, edges = graph(a=(3, [(0, 1), (1, 2)]))
     nodes, edges = nodes.withColumn("graph", F.lit("hvg")), edges.withColumn("graph", F.lit("hvg"))
     out = str(tmp_path / "out")
