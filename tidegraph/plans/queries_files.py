@@ -1,4 +1,4 @@
-"""Checked queries that write files with Spark and read them back, and the whole chain from series to graph metrics."""
+"""Checked queries that write files with Spark and read them back."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from tidegraph.core import cut, new_path
 from tidegraph.operators import graphs as G
 from tidegraph.operators import metrics as M
-from tidegraph.plans.inputs import SQL_USER, embedding_matrix, table, user_series
-from tidegraph.plans.panel import PanelConfig, ica_panel, run_panel
+from tidegraph.plans.inputs import SQL_USER, table, user_series
 from tidegraph.plans.queries_graphs import HVG_BY_DEFINITION
 from tidegraph.plans.queries_series import rounded
 from tidegraph.sources import readers, writers
@@ -114,16 +113,3 @@ def collected_table(spark, d):
                 rows = rows.agg(F.max("value").alias("value"))
             writers.write_table(rows, f"{path}/{graph}/{component}", fmt="csv")
     return readers.collect_table(spark, path, tuple(_COLLECTED))
-
-
-@query("panel_metrics")
-def panel_metrics(spark, d):
-    """The whole chain for every user: components, their graphs, the metrics of each graph."""
-    return rounded(run_panel(user_series(spark, d), PanelConfig(params={"k": 2, "dc": 1}, kinds=("hvg",)))["metrics"])
-
-
-@query("ica_panel_metrics")
-def ica_panel_metrics(spark, d):
-    """Independent components of all vectors, the visibility graphs of each, sizes and degrees in one table."""
-    m = embedding_matrix(spark, d)
-    return rounded(ica_panel(m, 64, 3, kinds=("hvg", "nvg")))
