@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from tidegraph.core import KEYS, cut, cut_counted
 from tidegraph.functions.noise import uniform
 from tidegraph.layout import attach, ordered_position, quantiles, spread_join
-from tidegraph.operators.distances import WIDTH, Distances, arcs_of, numbered
+from tidegraph.operators import packed
+from tidegraph.operators.distances import WIDTH, arcs_of, numbered
+from tidegraph.operators.packed import KeyedDistances
 
 # Edge limits per graph type, for the report of metric_flags.
 NVG_CLUSTERING_LIMIT = 400_000
@@ -65,12 +67,22 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame, *, keys=KEYS) -> DataF
     )
 
 
-def component_labels(nodes: DataFrame, edges: DataFrame, *, keys=KEYS, max_rounds=200) -> DataFrame:
+def component_labels(nodes: DataFrame, edges: DataFrame, *, keys=KEYS, max_rounds=200, limit: int = packed.NODES) -> DataFrame:
     """MET-3: (keys, node, label), label = smallest node of the connected component.
 
-    Alternating large-star and small-star rounds; the number of rounds grows with the
-    logarithm of the component size, not with its diameter.
+    Graphs of up to ``limit`` nodes are solved whole in a task, larger ones in rounds over all tasks.
     """
+    small, rest = packed.divide(nodes, edges, keys, limit=limit)
+    out = cut(packed.labels(small, keys)) if small is not None else None
+    if rest is None:
+        return out
+    large = _star_labels(*rest[:2], keys, max_rounds)
+    return large if out is None else out.unionByName(large)
+
+
+def _star_labels(nodes: DataFrame, edges: DataFrame, keys, max_rounds: int) -> DataFrame:
+    """Alternating large-star and small-star rounds; the number of rounds grows with the
+    logarithm of the component size, not with its diameter."""
     e = cut(edges.select(*keys, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     mark = None
     for _ in range(max_rounds):
@@ -164,7 +176,7 @@ def distance_counts(nodes: DataFrame, edges: DataFrame, sources: DataFrame | Non
 
     ``sources`` (keys, node) limits the sources. See ``distances`` for the two ways the distances are found.
     """
-    return Distances(nodes, edges, sources, keys=keys).counts()
+    return KeyedDistances(nodes, edges, sources, keys=keys).counts()
 
 
 def eccentricity(dist: DataFrame, sources: DataFrame, *, keys=KEYS) -> DataFrame:
@@ -186,7 +198,7 @@ def distance_metrics(nodes: DataFrame, edges: DataFrame, *, keys=KEYS, node_limi
     core = cut(largest_component(component_labels(n, e, keys=keys), keys=keys))
     inside = e.join(core.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi")
     far = F.col("far")
-    g = Distances(core, inside, keys=keys).sums().groupBy(*keys).agg(F.max(far).alias("diameter"), F.min(far).alias("radius"), F.avg(far).alias("ecc_mean"))
+    g = KeyedDistances(core, inside, keys=keys).sums().groupBy(*keys).agg(F.max(far).alias("diameter"), F.min(far).alias("radius"), F.avg(far).alias("ecc_mean"))
     return skipped.join(g, list(keys), "left")
 
 
@@ -194,7 +206,7 @@ def bfs(edges: DataFrame, sources: DataFrame, *, keys=KEYS, nodes: DataFrame | N
     """(keys, source, node, d): distances from a few listed sources a graph."""
     if nodes is None:
         nodes = edges.select(*keys, F.explode(F.array("src", "dst")).alias("node")).unionByName(sources.select(*keys, "node")).distinct()
-    return Distances(nodes, edges, sources, keys=keys).pairs()
+    return KeyedDistances(nodes, edges, sources, keys=keys).pairs()
 
 
 def two_sweep_diameter(nodes: DataFrame, edges: DataFrame, *, keys=KEYS, on="connected_only") -> DataFrame:
@@ -227,7 +239,7 @@ def hash_sample(nodes: DataFrame, size: int, *, seed=42, keys=KEYS) -> DataFrame
 
 def closeness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, *, keys=KEYS) -> DataFrame:
     """MET-8: closeness with component correction, exact or for given sources."""
-    g = Distances(nodes, edges, sources, keys=keys).sums()
+    g = KeyedDistances(nodes, edges, sources, keys=keys).sums()
     n = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("node").alias("_last"))
     d = attach(g, n, keys=keys, t="node")
     value = F.when(F.col("total") > 0, F.col("reached") * F.col("reached") / (F.col("total") * (F.col("_n") - 1))).otherwise(0.0)
@@ -276,27 +288,36 @@ def _dependencies(arcs: DataFrame, start: DataFrame, keys) -> DataFrame:
     return cut(total.groupBy(*keys, "node").agg(F.sum("delta").alias("delta")))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame | None = None, *, keys=KEYS, at_once: int = STATE_ROWS) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame | None = None, *, keys=KEYS, at_once: int = STATE_ROWS, limit: int = packed.NODES) -> DataFrame:
     """MET-9: normalised betweenness, exact or from pivot sources scaled by n / k.
 
-    Batches of 64 sources a graph go through ``_dependencies`` together, as many at once as keep the state (nodes times
-    batches) at about ``at_once`` rows.
+    Graphs of up to ``limit`` nodes are solved whole in a task. Of larger ones, batches of 64 sources a graph go through
+    ``_dependencies`` together, as many at once as keep the state (nodes times batches) at about ``at_once`` rows.
     """
+    small, rest = packed.divide(nodes, edges, keys, pivots, limit=limit)
+    g = packed.dependencies(small, keys) if small is not None else None
+    if rest is not None:
+        large = _spread_dependencies(*rest, keys, at_once)
+        g = large if g is None else g.unionByName(large)
+    n = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("node").alias("_last"))
+    k = (nodes if pivots is None else pivots).groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+    d = attach(g, n.join(k, list(keys)), keys=keys, t="node")
+    scale = (F.col("_n") / F.col("_k")) / ((F.col("_n") - 1.0) * (F.col("_n") - 2.0))
+    return d.select(*keys, "node", F.when(F.col("_n") > 2, F.col("delta") * scale).otherwise(0.0).alias("betweenness"))
+
+
+def _spread_dependencies(nodes: DataFrame, edges: DataFrame, pivots: DataFrame | None, keys, at_once: int) -> DataFrame:
+    """(keys, node, delta) of graphs that are spread over the tasks."""
     arcs = cut(arcs_of(edges, keys, "node", "dst"))
-    src = cut((nodes if pivots is None else pivots).select(*keys, "node"))
-    start = numbered(src, keys)
-    n = cut(nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("node").alias("_last")))
+    start = numbered(cut((nodes if pivots is None else pivots).select(*keys, "node")), keys)
+    rows = nodes.count()
     batches = (start.agg(F.max("batch")).first()[0] or 0) + 1
-    together = max(1, at_once // max(1, n.agg(F.sum("_n")).first()[0] or 0))
+    together = max(1, at_once // max(1, rows))
     total = nodes.select(*keys, "node", F.lit(0.0).alias("delta"))
     for first in range(0, batches, together):
         part = start.where((F.col("batch") >= first) & (F.col("batch") < first + together))
         total = total.unionByName(_dependencies(arcs, part, keys))
-    k = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
-    g = total.groupBy(*keys, "node").agg(F.sum("delta").alias("_b"))
-    d = attach(g, n.join(k, list(keys)), keys=keys, t="node")
-    scale = (F.col("_n") / F.col("_k")) / ((F.col("_n") - 1.0) * (F.col("_n") - 2.0))
-    return d.select(*keys, "node", F.when(F.col("_n") > 2, F.col("_b") * scale).otherwise(0.0).alias("betweenness"))
+    return total.groupBy(*keys, "node").agg(F.sum("delta").alias("delta"))
 
 
 def _power_steps(v: DataFrame, both: DataFrame, keys, steps: int) -> DataFrame:
@@ -313,17 +334,28 @@ def _power_steps(v: DataFrame, both: DataFrame, keys, steps: int) -> DataFrame:
 
 
 def eigenvector(
-    nodes: DataFrame, edges: DataFrame, *, keys=KEYS, tol=1e-6, steps=10, max_cycles=100, rounds: int | None = None
+    nodes: DataFrame, edges: DataFrame, *, keys=KEYS, tol=1e-6, steps=10, max_cycles=100, rounds: int | None = None,
+    limit: int = packed.NODES,
 ) -> DataFrame:
     """MET-10: eigenvector centrality, the leading eigenvector of A + I with unit L2 norm per key.
 
-    ``nodes`` and ``edges`` should hold one component per key. A cycle does ``steps``
-    products in one job and restarts from the best combination of the vectors it saw: their
+    ``nodes`` and ``edges`` should hold one component per key. ``rounds`` asks for that many plain power steps instead.
+    Graphs of up to ``limit`` nodes are solved whole in a task, larger ones as ``_spread_eigenvector`` says.
+    """
+    small, rest = packed.divide(nodes, edges, keys, limit=limit)
+    out = packed.leading(small, keys, rounds) if small is not None else None
+    if rest is None:
+        return out
+    large = _spread_eigenvector(*rest[:2], keys, tol, steps, max_cycles, rounds)
+    return large if out is None else out.unionByName(large)
+
+
+def _spread_eigenvector(nodes: DataFrame, edges: DataFrame, keys, tol: float, steps: int, max_cycles: int, rounds: int | None) -> DataFrame:
+    """A cycle does ``steps`` products in one job and restarts from the best combination of the vectors it saw: their
     inner products are one aggregate per key, the combination a steps x steps problem per
     key. Long thin graphs need a few cycles where plain power iteration needs hundreds of
     rounds. A key stops when its cycle started from a residual below ``tol`` times the
     eigenvalue; keys that have not after ``max_cycles`` raise an error.
-    ``rounds`` asks for that many plain power steps instead.
     """
     loops = nodes.select(*keys, F.col("node").alias("from"), F.col("node").alias("dst"))
     both = cut(arcs_of(edges, keys, "from").unionByName(loops))
