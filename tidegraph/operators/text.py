@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,13 +34,21 @@ LAST = (
 )
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once however often the body names it; a plain reuse computes it at each place."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _without(text: Column, name: str) -> Column:
     """``text`` without each stretch from a begin mark to the next end mark. Cut at the end marks, a piece loses what
     stands behind its first begin mark; behind the last end mark nothing goes. Linear, however many marks stay open."""
     begin, end = f"\\begin{{{name}}}", f"\\end{{{name}}}"
-    pieces = F.split(text, "\\Q" + end + "\\E", -1)
-    closed = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.when(F.contains(p, F.lit(begin)), F.substring_index(p, begin, 1)).otherwise(F.concat(p, F.lit(end))))
-    return F.when(F.contains(text, F.lit(begin)), F.concat(F.array_join(closed, ""), F.element_at(pieces, -1))).otherwise(text)
+
+    def joined(pieces: Column) -> Column:
+        closed = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.when(F.contains(p, F.lit(begin)), F.substring_index(p, begin, 1)).otherwise(F.concat(p, F.lit(end))))
+        return F.concat(F.array_join(closed, ""), F.element_at(pieces, -1))
+
+    return _once(text, lambda t: F.when(F.contains(t, F.lit(begin)), _once(F.split(t, "\\Q" + end + "\\E", -1), joined)).otherwise(t))
 
 
 def strip_latex(text: Column) -> Column:
