@@ -195,12 +195,13 @@ def dependencies(packed: DataFrame, keys) -> DataFrame:
     """(keys, node, delta): dependencies of all sources (Brandes), added up by node."""
 
     def work(s: Stack):
-        sigma, delta = np.zeros(s.pairs), np.zeros(s.pairs)
+        sigma, got = np.zeros(s.pairs), np.zeros(s.pairs)
         own = s.shift + s.sources
         sigma[own] = 1.0
         _, steps = s.search(sigma)
         for back, pair in reversed(steps):
-            np.add.at(delta, back, sigma[back] / sigma[pair] * (1.0 + delta[pair]))
+            np.add.at(got, back, (1.0 + got[pair] * sigma[pair]) / sigma[pair])
+        delta = got * sigma
         delta[own] = 0.0
         total = np.bincount(np.arange(s.pairs) - s.shift[s.owner()], weights=delta, minlength=len(s.ids))
         return s.graph[s.nodes], {"node": s.ids[s.nodes], "delta": total[s.nodes]}
