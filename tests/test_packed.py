@@ -1,12 +1,17 @@
 """Small graphs solved whole in a task against plain searches and against the spread way."""
 
+import contextlib
+import io
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_distances import plain_betweenness, search, shapes
 
+from tidegraph.operators import graphs as G
 from tidegraph.operators import metrics as M
 from tidegraph.operators import packed as P
+from tidegraph.operators import text
 
 
 def jobs_of(spark, group, fn):
@@ -92,3 +97,18 @@ def test_small_eigenvector_equals_power_steps(spark, graph, rounds):
             x = a @ x
             x /= np.linalg.norm(x)
         assert [got[k, i] for i in range(size)] == pytest.approx(x.tolist(), abs=1e-6), k
+
+
+def test_natural_visibility_scans_few_rows(make, monkeypatch):
+    """Hidden leaves go before the scan that carries rows across stretches."""
+    scanned, scan = [], G.scan
+    monkeypatch.setattr(G, "scan", lambda df, *a, **k: scanned.append(df.count()) or scan(df, *a, **k))
+    edges = G.natural_visibility(make(a=np.random.default_rng(5).random(1500).tolist())).count()
+    assert scanned[-1] == edges and max(scanned[:-1], default=0) < 5 * edges, (scanned, edges)
+
+
+def test_latex_rules_stand_once_in_the_plan(spark):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        spark.createDataFrame([("a",)], "s string").select(text.strip_latex(F.col("s"))).explain()
+    assert out.getvalue().count("subsubsection") <= 2

@@ -18,7 +18,7 @@ from tidegraph.layout import BLOCK, _div, attach, longest, ordered_position, qua
 from tidegraph.operators.dependence import choose_tau, embed_by, false_neighbours, mutual_information
 from tidegraph.tiles import near_pairs, sample_neighbours
 
-FAN = 32
+FAN = 8  # a wider node hands over more children that nothing hides yet
 STACK = 1 << 14  # points of a block that horizontal visibility looks at in one go
 
 
@@ -185,11 +185,12 @@ def natural_visibility(series: DataFrame, *, keys=KEYS, t="t", x="x", fan=FAN, b
     downwards, a node of the tree stays in play for i only if an upper bound of its slope
     (its maximum at its nearest end) exceeds the best slope known to come before it (slopes
     at the maxima of earlier nodes). At the leaves bound and slope coincide, so the result
-    is exact; work follows the number of visible pairs.
+    is exact; work follows the number of visible pairs. A node hands the best slope before it to its children, so those
+    below it go at once, without a shuffle.
     """
     levels = _levels(longest(series, t), fan)
     tree = _tree(series, keys, t, x, levels, fan)
-    base = series.select(*keys, F.col(t).alias("i"), F.col(x).alias("v"))
+    base = series.select(*keys, F.col(t).alias("i"), F.col(x).alias("v"), F.lit(None).cast("double").alias("best"))
     top = tree[levels - 1]
     state = base.withColumn("p", F.lit(0).cast("long"))
     for level in range(levels - 1, -1, -1):
@@ -200,23 +201,31 @@ def natural_visibility(series: DataFrame, *, keys=KEYS, t="t", x="x", fan=FAN, b
         else:
             joined = state.join(packed, [*keys, "p"])
         i, v = F.col("i"), F.col("v")
-        kids = joined.select(*keys, "i", "v", F.explode(F.filter("kids", lambda k: k["hi"] > F.col("i"))).alias("k"))
+        kids = joined.select(*keys, "i", "v", "best", F.explode(F.filter("kids", lambda k: k["hi"] > F.col("i"))).alias("k"))
         reach = F.greatest(F.col("k.lo"), i + 1)
         rise = F.col("k.top") - v
         bound = F.when(rise >= 0, rise / (reach - i)).otherwise(rise / (F.col("k.hi") - i))
         known = F.when(F.col("k.at") > i, rise / (F.col("k.at") - i))
         kids = kids.select(
-            *keys, "i", "v", F.col("k.c").alias("c"),
+            *keys, "i", "v", "best", F.col("k.c").alias("c"),
             F.when(F.col("k.at") > i, bound).otherwise(F.lit(float("inf")) if level else bound).alias("bound"),
             known.alias("known"),
         )
-        seen = scan(kids, {"before": ("max", F.col("known"))}, keys=(*keys, "i"), t="c", exclusive=True, rows=None if level == 0 else block, block=block)
+        kids = kids.where(F.col("best").isNull() | (F.col("bound") > F.col("best")))  # before rows move: slopes of the level above
+        if level == 0:  # bound and slope are one; most leaves are hidden by others of their stretch and go before the scan
+            stretch = Window.partitionBy(*keys, "i", _div(F.col("c"), block)).orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+            kids = kids.select(*keys, "i", "c", "bound").withColumn("before", F.max("bound").over(stretch))
+            kids = kids.where(F.col("before").isNull() | (F.col("bound") > F.col("before"))).drop("before")
+            seen = scan(kids, {"before": ("max", F.col("bound"))}, keys=(*keys, "i"), t="c", exclusive=True, block=block)
+            open_ones = seen.where(F.col("before").isNull() | (F.col("bound") > F.col("before")))
+            return cut(open_ones.select(*keys, F.col("i").alias("src"), F.col("c").alias("dst")))
+        seen = scan(kids, {"before": ("max", F.col("known"))}, keys=(*keys, "i"), t="c", exclusive=True, rows=block, block=block)
         state = cut(
             seen.where(F.col("before").isNull() | (F.col("bound") > F.col("before"))).select(
-                *keys, "i", "v", F.col("c").alias("p")
+                *keys, "i", "v", F.greatest("best", "before").alias("best"), F.col("c").alias("p")
             )
         )
-    return state.select(*keys, F.col("i").alias("src"), F.col("p").alias("dst"))
+    raise AssertionError("a tree has at least one level")
 
 
 def recurrence_threshold(
