@@ -29,3 +29,26 @@ def test_whole_series_are_sifted_in_bounded_tasks(spark, monkeypatch):
     monkeypatch.setattr(sifting, "SLICE", 20)
     state = df.select("series_id", "t", F.col("x").alias("_r"), F.lit(3).alias("_most"), F.lit(2).alias("_passes"))
     assert sifting.sift_series(state, ["series_id"], "t", 400, DC.FLAT, DC.RESIDUAL).rdd.getNumPartitions() == 20
+
+
+def test_user_graph_needs_one_order(spark, tmp_path):
+    """Edges are found among the nodes themselves: no second sort of all rows, no joins from positions to nodes."""
+    draw = random.Random(3)
+    rows = [(i, None if i % 31 == 0 else i % 3, draw.choice("ab") if i % 17 else None, i // 2, draw.choice([None, 1.0, 2.0, 3.0, 4.0])) for i in range(200)]
+    kinds = "event_id long, user_id long, event_type string, sec long, value double"
+    events = spark.createDataFrame(rows, kinds).withColumn("ts", F.timestamp_seconds("sec").cast("timestamp_ntz")).drop("sec")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    (nodes, edges), jobs = jobs_of(spark, "user graph", lambda: user_graph(spark, str(tmp_path)))
+    assert jobs <= 15, jobs
+    want_nodes, want_edges = set(), set()
+    for user in range(3):
+        own = [r for r in rows if r[1] == user]
+        want_nodes |= {(str(user), i) for i, r in enumerate(own) if r[2] is not None}
+        for kind in "ab":
+            seen = [(i, r[4]) for i, r in enumerate(own) if r[2] == kind and r[4] is not None]
+            for a, (i, x) in enumerate(seen):
+                for b in range(a + 1, len(seen)):
+                    if all(z < min(x, seen[b][1]) for _, z in seen[a + 1 : b]):
+                        want_edges.add((str(user), i, seen[b][0]))
+    assert {tuple(r) for r in nodes.collect()} == want_nodes
+    assert sorted(tuple(r) for r in edges.collect()) == sorted(want_edges)
