@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidegraph.core import KEYS
+from tidegraph.core import KEYS, ship
 from tidegraph.functions.closed import t_critical
-from tidegraph.layout import BLOCK, attach, over_time, quantiles, ranked_values, spread_join
+from tidegraph.layout import BLOCK, attach, deal, over_time, quantiles, ranked_values, spread_join
 from tidegraph.operators.shape import RESIDUAL
 from tidegraph.operators.windows import change_columns, local_maxima, rolling
 
 CKEYS = ("series_id", "component")
+CELLS = 1 << 17
 
 
 def price_summary(df: DataFrame, width: int = 30, *, keys=KEYS, t="t", x="x", ts="ts", block=BLOCK) -> DataFrame:
@@ -134,22 +139,86 @@ def quality(comps: DataFrame, series: DataFrame, *, keys=("series_id", "method")
     return out
 
 
+def _pair_sums(cells: pa.Table, keys: Sequence[str]) -> pa.Table:
+    """Sums over pairs of cells at the same position, for every pair of components i < j of one group of cells.
+
+    Cells are counted and added up by position and component (a component may be missing or come several times at a
+    position); products of these tables give the sums over pairs. Values are taken from a centre of each component.
+    Names: x, y over pairs with both values; a, b over pairs with a value on that side.
+    """
+    codes = lambda c: cells[c].combine_chunks().dictionary_encode("encode")
+    at, names = codes("_t").indices.to_numpy(), codes("component")
+    idx, col = np.unique(cells["idx"].to_numpy(), return_inverse=True)
+    cols, col = np.unique(col * len(names.dictionary) + names.indices.to_numpy(), return_inverse=True)
+    idx, names = idx[cols // len(names.dictionary)], names.dictionary.take(pa.array(cols % len(names.dictionary)))
+    m, p = int(at.max()) + 1, len(cols)
+    given = ~cells["_x"].is_null().to_numpy()
+    x = cells["_x"].fill_null(0.0).to_numpy()
+    use = given & np.isfinite(x)
+    centre = np.zeros(p)
+    centre[col[use][::-1]] = x[use][::-1]  # a constant is its own centre: its spread is exactly 0
+    x = np.where(use, x, centre[col])
+    gap = np.bincount(col, x - centre[col], p) / np.maximum(np.bincount(col[use], minlength=p), 1)
+    x = x - centre[col] - np.where(use, gap[col], 0.0)
+    centre = centre + gap
+    table = lambda v: np.bincount(at * p + col, v, m * p).reshape(m, p)
+    rows, has, s, q = table(np.ones(len(x))), table(given.astype(float)), table(x), table(x * x)
+    i, j = np.nonzero((idx[:, None] < idx) & (rows.T @ rows > 0))
+    over = lambda u, v: (u.T @ v)[i, j]
+    sums = {}
+    for side, of, n, sx, qx in (
+        ("x", i, over(has, has), over(s, has), over(q, has)), ("y", j, over(has, has), over(has, s), over(has, q)),
+        ("a", i, over(has, rows), over(s, rows), over(q, rows)), ("b", j, over(rows, has), over(rows, s), over(rows, q)),
+    ):
+        mean = sx / np.maximum(n, 1)
+        sums |= {f"n{side}": n, f"m{side}": centre[of] + mean, f"v{side}": np.maximum(qx - sx * mean, 0.0), f"e{side}": qx + 2 * centre[of] * sx + centre[of] ** 2 * n}
+    sums["c"] = over(s, s) - over(s, has) * over(has, s) / np.maximum(sums["nx"], 1)
+    if not use[given].all():
+        nan, odd = (table(given & v) for v in (np.isnan(cells["_x"].fill_null(0.0).to_numpy()), ~use))
+        sums["c"][over(odd, has) + over(has, odd) > 0] = np.nan
+        for side, one, two in (("a", (odd, rows), (nan, rows)), ("b", (rows, odd), (rows, nan))):
+            sums[f"v{side}"][over(*one) > 0] = np.nan
+            sums[f"e{side}"][over(*one) > 0] = np.inf
+            sums[f"e{side}"][over(*two) > 0] = np.nan
+    first = pa.array(np.zeros(len(i), dtype=np.int64))
+    out = {k: cells[k].combine_chunks().take(first) for k in keys}
+    out |= {"i": pa.array(idx[i]), "j": pa.array(idx[j]), "ci": names.take(pa.array(i)), "cj": names.take(pa.array(j)), "n": pa.array(over(rows, rows))}
+    out |= {k: pa.array(v, mask=sums[f"n{k[1]}"] == 0 if k[0] == "m" else None) for k, v in sums.items()}
+    return pa.table(out)
+
+
 def component_pairs(comps: DataFrame, *, keys=KEYS, t="t", x="x") -> DataFrame:
     """Pearson r of every pair of components i < j of a key, with n.
 
-    The p values of one position (p <= ~30) are put side by side by the shuffle on
-    (keys, t) and combined there; pairs are partially aggregated before the next shuffle.
+    No table of pairs at each position: large keys are dealt by position to groups of about ``CELLS`` cells, a group gives
+    its sums for each pair of components at once, and the sums of the groups are merged about a common reference.
     """
-    at = comps.groupBy(*keys, t).agg(F.collect_list(F.struct("idx", "component", F.col(x).alias("x"))).alias("_c"))
-    a = at.select(*keys, t, "_c", F.explode("_c").alias("a"))
-    ab = a.select(*keys, "a", F.explode(F.filter("_c", lambda s: s["idx"] > F.col("a.idx"))).alias("b"))
-    return ab.groupBy(
-        *keys, F.col("a.idx").alias("i"), F.col("b.idx").alias("j"),
-        F.col("a.component").alias("ci"), F.col("b.component").alias("cj"),
-    ).agg(
-        F.corr("a.x", "b.x").alias("r"), F.count(F.lit(1)).alias("n"),
-        F.stddev_pop("a.x").alias("si"), F.stddev_pop("b.x").alias("sj"),
-        F.sum(F.col("a.x") ** 2).alias("ei"), F.sum(F.col("b.x") ** 2).alias("ej"),
+    kinds = comps.schema
+    cells = comps.where(F.col("idx").isNotNull()).select(*keys, F.col(t).alias("_t"), "idx", "component", F.col(x).cast("double").alias("_x"))
+    schema = T.StructType([kinds[k] for k in keys])
+    for name, kind in (("i", "idx"), ("j", "idx"), ("ci", "component"), ("cj", "component")):
+        schema = schema.add(name, kinds[kind].dataType)
+    sides = [f"{v}{side}" for side in "xyab" for v in "nmve"]
+    for name in ("n", *sides, "c"):
+        schema = schema.add(name, "double")
+
+    def sums(table: pa.Table) -> pa.Table:
+        return _pair_sums(table, keys).select(schema.names).cast(to_arrow_schema(schema))
+
+    ship(comps.sparkSession)
+    parts = deal(cells, CELLS, keys=keys, t="_t").groupBy(*keys, "_part").applyInArrow(sums, schema)
+    pair = [*keys, "i", "j", "ci", "cj"]
+    every = Window.partitionBy(*pair)
+    parts = parts.withColumns({f"d{s}": F.coalesce(F.col(f"m{s}") - F.min(f"m{s}").over(every), F.lit(0.0)) for s in "xyab"})
+    shift = lambda s: F.sum(F.col(f"n{s}") * F.col(f"d{s}"))
+    total = lambda s: F.sum(f"n{s}")
+    spread = lambda s: F.greatest(F.sum(F.col(f"v{s}") + F.col(f"n{s}") * F.col(f"d{s}") ** 2) - F.try_divide(shift(s) * shift(s), total(s)), F.lit(0.0))
+    both = F.sum(F.col("c") + F.col("nx") * F.col("dx") * F.col("dy")) - F.try_divide(shift("x") * shift("y"), total("x"))
+    some = lambda s, v: F.when(total(s) > 0, v)
+    return parts.groupBy(*pair).agg(
+        F.when(total("x") > 1, both / F.sqrt(spread("x") * spread("y"))).alias("r"), F.sum("n").cast("long").alias("n"),
+        some("a", F.sqrt(spread("a") / total("a"))).alias("si"), some("b", F.sqrt(spread("b") / total("b"))).alias("sj"),
+        some("a", F.sum("ea")).alias("ei"), some("b", F.sum("eb")).alias("ej"),
     )
 
 

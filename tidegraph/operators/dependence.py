@@ -18,12 +18,22 @@ from tidegraph.operators.windows import delay_embedding, lagged_pairs
 from tidegraph.tiles import nearest, pair_counts
 
 
-def average_ranks(df: DataFrame, x: str, *, keys=KEYS, tie: str) -> DataFrame:
+def average_ranks(df: DataFrame, x: str, *, keys=KEYS, tie: str, block=BLOCK) -> DataFrame:
     """Add ``rank``: 1-based rank by value, ties share their average rank.
 
-    Runs of equal values are found along the sorted order by two scans (first and last
-    position of the run), so even one value in a third of all rows needs no join on it.
+    Where no series exceeds a block, one sort of each series gives all ranks. Else runs of equal values are found along
+    the global order by two scans (first and last position of the run), so even one value in a third of all rows needs
+    no join on it. NULLs come first in the order of ``tie``; the last of them shares the end of the run after it. Rows of
+    NULL keys have no rank.
     """
+    df = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if rows <= block:
+        w, peers = Window.partitionBy(*keys).orderBy(x, tie), Window.partitionBy(*keys).orderBy(x)
+        pos = df.withColumn("_pos", F.row_number().over(w)).withColumns({"_a": F.rank().over(peers), "_b": F.count(F.lit(1)).over(peers)})
+        pos = pos.withColumn("_n", F.when(F.lead(x).over(w).isNotNull(), F.lead("_b").over(w)))
+        null = F.col("_pos") + F.coalesce("_n", "_pos")
+        return pos.withColumn("rank", F.when(F.col(x).isNull(), null).otherwise(F.col("_a") + F.col("_b")) / 2.0).drop("_pos", "_a", "_b", "_n")
     pos = ordered_position(df, [x, tie], keys=keys, name="_pos")
     pos = over_time(pos, lambda w: {"_p": F.lag(x).over(w), "_n": F.lead(x).over(w)}, keys=keys, t="_pos", before=1, after=1)
     opens = F.when(F.col("_p").isNull() | (F.col("_p") != F.col(x)), F.col("_pos"))

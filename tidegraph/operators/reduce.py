@@ -10,11 +10,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidegraph.core import KEYS, cut
-from tidegraph.layout import attach
+from tidegraph.core import KEYS, cut, ship
+from tidegraph.layout import attach, deal
+from tidegraph.operators.aggregates import CELLS
 from tidegraph.operators.dependence import correlation_summary, rank_correlation
 
 MODEL = "mean array<double>, scale array<double>, unmix array<array<double>>, mix array<array<double>>, ratio array<double>"
@@ -38,11 +42,13 @@ def _entry(i: int) -> Column:
 
 
 def _means(matrix: DataFrame, p: int, keys, t) -> DataFrame:
-    return matrix.groupBy(*keys).agg(
-        F.array(*[F.avg(_entry(i)) for i in range(p)]).alias("mean"),
-        F.array(*[F.stddev_pop(_entry(i)) for i in range(p)]).alias("scale"),
-        F.max(t).alias("_last"),
-    )
+    """Mean, population standard deviation of every column, and the last position, as a written table: one small row a key."""
+    cells = matrix.select(*keys, t, F.posexplode_outer("vec").alias("_i", "_x"))
+    each = cells.groupBy(*keys, "_i").agg(F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("scale"), F.max(t).alias("_last"))
+    entry = F.when(F.col("_i").isNotNull(), F.struct("_i", F.struct("mean", "scale")))
+    g = each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_of"), F.max("_last").alias("_last"))
+    entries = F.transform(F.array(*[F.lit(i) for i in range(p)]), lambda i: F.try_element_at("_of", i))
+    return cut(g.select(*keys, entries["mean"].alias("mean"), entries["scale"].alias("scale"), "_last"))
 
 
 def _scaled() -> Column:
@@ -67,18 +73,29 @@ def _times(matrix: str, values: Column | str) -> Column:
 def pca_model(matrix: DataFrame, p: int, k: int | None = None, *, keys=KEYS, t="t") -> DataFrame:
     """RED-2: model row per key: mean, scale, unmix (k x p), mix (p x k), ratio of explained variance.
 
-    Correlations of the columns in one aggregate, then an eigenproblem per key. Largest
-    |loading| of each component is positive.
+    Large keys are dealt to groups of about ``CELLS`` entries, a group gives its sums of products of all columns at once;
+    then an eigenproblem per key. Largest |loading| of each component is positive.
     """
     k = k or p
     if not 1 <= k <= p:
         raise ValueError("k must be between 1 and p")
     stats = _means(matrix, p, keys, t)
     rows = attach(matrix, stats, keys=keys, t=t)
-    zs = rows.select(*keys, _scaled().alias("vec"))
-    each = zs.select(*keys, "vec", F.posexplode("vec").alias("_i", "_x"))
-    lines = each.groupBy(*keys, "_i").agg(F.array(*[F.avg(F.col("_x") * _entry(j)) for j in range(p)]).alias("_line"))
-    g = lines.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_line"))), lambda r: r["_line"])).alias("cov"))
+    zs = rows.where(F.col("vec").isNotNull()).select(*keys, t, F.slice(_scaled(), 1, p).alias("vec"))
+    schema = T.StructType([zs.schema[k] for k in keys]).add("_s", T.ArrayType(T.DoubleType())).add("_n", T.ArrayType(T.DoubleType()))
+
+    def products(rows: pa.Table) -> pa.Table:
+        """Sums and counts of the products of all columns over one part of a matrix."""
+        flat = rows["vec"].combine_chunks().flatten()
+        z, has = flat.fill_null(0.0).to_numpy().reshape(-1, p), (~flat.is_null().to_numpy(False)).astype(float).reshape(-1, p)
+        key = {k: rows[k].slice(0, 1) for k in keys}
+        return pa.table({**key, "_s": [(z.T @ z).ravel()], "_n": [(has.T @ has).ravel()]}).cast(to_arrow_schema(schema))
+
+    ship(matrix.sparkSession)
+    parts = deal(zs, max(CELLS // p, 1), keys=keys, t=t).drop(t).groupBy(*keys, "_part").applyInArrow(products, schema)
+    cells = parts.select(*keys, F.posexplode(F.arrays_zip("_s", "_n")).alias("_i", "_c"))
+    cells = cells.groupBy(*keys, "_i").agg(F.try_divide(F.sum("_c._s"), F.sum("_c._n")).alias("_line"))
+    g = cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_line"))), lambda r: r["_line"]).alias("cov"))
     g = g.join(stats, list(keys))
 
     @F.pandas_udf("unmix array<array<double>>, mix array<array<double>>, ratio array<double>, vals array<double>")
