@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.common import filled, text_of
 
-STEP = 200_000
-CACHE = 400_000
+STEP = 1 << 16  # words of a slice
+CACHE = 1 << 16  # words a worker keeps, also through later stages
 #: Java and Python disagree with the rank file's pattern about white space; this class is the Unicode property.
 SPACE = r"\p{White_Space}"
 

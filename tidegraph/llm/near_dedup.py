@@ -2,7 +2,7 @@
 
 Each permutation of the shingle hashes gives two signature values, its minimum and its maximum, so 80 permutations make
 160 values in 32 bands of 5. Equal shingle sets become one node first. In each bucket of a band every node is compared
-with one centre, the node first in hash order, never with all others; the sizes of the sets rule a pair out where no
+with one centre, the least node, never with all others; the sizes of the sets rule a pair out where no
 shared part could reach the threshold, the full shingle sets decide the rest. Connected components follow. Buckets whose
 nodes are then in one component need nothing more. In the others the nodes with a partner in another component that the
 sizes allow meet again with their texts, in blocks, and all pairs across components are compared inside the task: pairs
@@ -18,10 +18,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.core import cut
+from tidegraph.core import cut, cut_counted
 from tidegraph.llm.common import filled, scanned, settings, text_of, whole_rows, with_locator
 
 PERMUTATIONS = 80
@@ -29,6 +29,7 @@ ROWS = 5
 BLOCK = 1024  # nodes of a block at most, on average
 BLOCK_SHINGLES = 1 << 20  # and their shingles
 BATCH = "256"  # texts handed to Python at once
+NODES = 8192  # of a task that makes the rows of buckets, 32 each
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PARTS = 2048
 #: Let Spark filter the texts by a Bloom filter of the wanted ids before it shuffles them (its own default waits for 10 GB).
@@ -119,8 +120,16 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
         return cut(rows.mapInPandas(sign, schema))
 
 
-def _order(node: Column) -> Column:
-    return F.xxhash64(node, F.lit(5))
+def _buckets(nodes: DataFrame, count: int) -> DataFrame:
+    """node, key: each node once for each band; a task makes the rows of about ``NODES`` nodes, however the files of
+    ``nodes`` are packed into tasks."""
+    dealt = nodes.select("node", "bands").repartition(max(1, -(-count // NODES)), "node")
+    return dealt.select("node", F.explode("bands").alias("key"))
+
+
+def _centres(buckets: DataFrame) -> DataFrame:
+    """key, centre (least node), m (nodes) of each bucket, summed by hash for ids of fixed width: nothing is sorted."""
+    return buckets.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m"))
 
 
 def _size_matches(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
@@ -325,14 +334,13 @@ def near_groups(
     """
     docs = scanned(docs)
     rows = signatures(docs, words, id_col, text_col)
-    nodes = cut(
+    nodes, count = cut_counted(
         rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("digest")
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     )
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
-    centres = buckets.groupBy("key").agg(F.min(F.struct(_order(F.col("node")).alias("o"), "node")).alias("first"), F.count(F.lit(1)).alias("m"))
-    members = cut(buckets.join(centres.where("m > 1").select("key", "m", F.col("first.node").alias("centre")), "key"))
+    buckets = _buckets(nodes, count)
+    members = cut(buckets.join(_centres(buckets).where("m > 1"), "key"))
 
     near_centre = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     tested = cut(_size_matches(near_centre, nodes, threshold))

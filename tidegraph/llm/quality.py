@@ -24,7 +24,7 @@ BITS = 18
 SAMPLE = 8192
 EPOCHS = 2
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-CACHE = 500_000
+CACHE = 1 << 16  # tokens a worker keeps, also through later stages
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(64 - BITS)
 
