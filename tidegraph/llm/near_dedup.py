@@ -39,6 +39,8 @@ BLOOM = {
     "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1g",
 }
 
+#: Rows of buckets are small when compressed: partitions merged by that size would sort twice as many rows in a task.
+APART = {"spark__sql__adaptive__coalescePartitions__enabled": "false"}
 
 ARROW = {"spark__sql__execution__arrow__maxRecordsPerBatch": BATCH}
 
@@ -340,7 +342,8 @@ def near_groups(
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     )
     buckets = _buckets(nodes, count)
-    members = cut(buckets.join(_centres(buckets).where("m > 1"), "key"))
+    with settings(docs.sparkSession, **APART):
+        members = cut(buckets.join(_centres(buckets).where("m > 1"), "key"))
 
     near_centre = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     tested = cut(_size_matches(near_centre, nodes, threshold))
