@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegraph import layout
+from tidegraph.core import cut
 from tidegraph.layout import attach, ordered_position, over_time, quantiles, scan, summarise
 from tidegraph.operators import windows as W
 
@@ -115,3 +116,19 @@ def test_spread_join_deals_hot_keys(spark):
     assert got.where("k = 0").select("s").distinct().count() == 1
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_part" in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_tables_are_sized_by_their_rows(spark):
+    """Two million rows of sorted keys are a few hundred kB of files; no join may take that for their size."""
+    rows = spark.range(1 << 21).select(F.floor(F.col("id") / 64).cast("string").alias("series_id"), (F.col("id") % 64).alias("node"))
+    labels, core = cut(rows.withColumn("label", F.lit(0).cast("long"))), cut(rows.where("node < 32"))
+    few = cut(rows.where("series_id < 3").select("series_id").distinct())
+    both = labels.join(core, ["series_id", "node"], "left_semi")
+    assert "BroadcastHashJoin" not in plan_of(both)
+    assert "BroadcastHashJoin" in plan_of(labels.join(few, ["series_id"], "left_semi"))
+    assert both.count() == 1 << 20
+    assert labels.unionByName(labels).groupBy("label").count().first()["count"] == 1 << 22
